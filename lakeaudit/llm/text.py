@@ -93,11 +93,19 @@ def strings(column: pa.Array | pa.ChunkedArray) -> list[str | None]:
 def durable(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where that is unset.
+    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where that is unset. A checkpoint hands
+    the inferred constraints of its plan on, and in a loop they grow with every round until planning takes longer than the
+    work; so they are not inferred here.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
