@@ -17,21 +17,19 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.where("a <> b").select("a", "b")
     graph = durable(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    known: DataFrame | None = None
-    turn = 0
+    steps: list[DataFrame] = []
     while not graph.isEmpty():
-        turn += 1
+        turn = len(steps)
         rank = lambda c: F.xxhash64(F.col(c), F.lit(turn))  # noqa: B023, E731
         least = graph.groupBy("a").agg(F.min(F.struct(rank("b").alias("h"), F.col("b").alias("v"))).alias("m"))
         own = F.struct(rank("a").alias("h"), F.col("a").alias("v"))
         to = durable(least.select(F.col("a").alias("node"), F.least(F.col("m"), own)["v"].alias("root")))
         moved = graph.join(to.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(to.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         graph = durable(moved.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-        if known is None:
-            known = to
-        else:
-            step = to.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            known = durable(known.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
-    if known is None:
-        return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return known
+        steps.append(to)
+    if not steps:
+        return graph.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    known = steps[0]
+    for to in steps[1:]:
+        known = known.join(to.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return durable(known) if len(steps) > 1 else known

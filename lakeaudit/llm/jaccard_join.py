@@ -128,11 +128,12 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     sets = described.where("n > 0").groupBy("f1", "f2", "n").agg(first, F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("tree").alias("tree"))
     classes = durable(sets.withColumn("node", F.monotonically_increasing_id()))
 
-    edges = durable(_candidates(classes))
-    parts = components(edges)
+    parts = components(_candidates(classes))
     found = _verified(slim, classes, parts, least)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    # A component of one block was settled by the task that held it.
+    groups = components(found.where("not whole").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    groups = groups.unionByName(found.where("whole").select("node", "root"))
     state = classes.select("f1", "f2", "n", "rep", "copies", "node").join(links, "node", "left").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = state.groupBy("root").agg(F.min("rep").alias("class"))
     state = state.join(named, "root").select("f1", "f2", "n", "rep", "copies", "class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
@@ -205,7 +206,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
                 at = np.flatnonzero(root != np.arange(len(keys)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root[at]])], ["a", "b"])
 
-    return rows.repartition("p").sortWithinPartitions("p").mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+    return rows.repartition("p").sortWithinPartitions("p").mapInArrow(compare, "a long, b long")
 
 
 def _alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -214,10 +215,11 @@ def _alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _verified(slim: DataFrame, classes: DataFrame, parts: DataFrame, least: float) -> DataFrame:
-    """(node, links, root) for each node with links, from each pair of blocks of each candidate component."""
+    """(node, links, root, whole) for each node with links, from each pair of blocks of each candidate component; root is the
+    least node it hangs together with in the pair, and whole tells that the component has one block."""
     members = parts.join(classes.select("node", "rep", "copies", "n"), "node")
     weights = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
-    members = durable(members.join(weights, "root").select("node", "root", "copies", "blocks", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")))
+    members = members.join(weights, "root").select("node", "root", "copies", "blocks", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
     texts = slim.join(members, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select("node", "root", "copies", "blocks", "text")
 
     def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,11 +232,11 @@ def _verified(slim: DataFrame, classes: DataFrame, parts: DataFrame, least: floa
     sets = texts.mapInArrow(to_sets, "node long, root long, copies long, blocks int, set binary")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")})
-    sets = sets.withColumn("grp", F.xxhash64("root", "b1", "b2")).select("grp", "block", "b1", "b2", "node", "copies", "set")
+    sets = sets.withColumn("grp", F.xxhash64("root", "b1", "b2")).select("grp", "block", "b1", "b2", "blocks", "node", "copies", "set")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "grp"):
-            keys, node, copies, block, b1, b2 = (table.column(c).to_numpy() for c in ("grp", "node", "copies", "block", "b1", "b2"))
+            keys, node, copies, block, b1, b2, blocks = (table.column(c).to_numpy() for c in ("grp", "node", "copies", "block", "b1", "b2", "blocks"))
             raw = table.column("set")
             cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).tolist()
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -246,9 +248,10 @@ def _verified(slim: DataFrame, classes: DataFrame, parts: DataFrame, least: floa
                 right = left if same else np.flatnonzero(block[at] == b2[a])
                 i, j = similar_pairs(members, left, right, least)
                 if len(i):
-                    yield _links(i, j, 0, len(at), node[at], copies[at])
+                    rows = _links(i, j, 0, len(at), node[at], copies[at])
+                    yield rows.append_column("whole", pa.array([bool(blocks[a] == 1)] * rows.num_rows))
 
-    return durable(sets.repartition("grp").sortWithinPartitions("grp").mapInArrow(verify, "node long, links long, root long"))
+    return durable(sets.repartition("grp").sortWithinPartitions("grp").mapInArrow(verify, "node long, links long, root long, whole boolean"))
 
 
 def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
