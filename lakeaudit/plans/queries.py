@@ -2,14 +2,165 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeaudit.operators import canonical, checks, contract, landing, loading, replay, training
+from lakeaudit.sources import fixtures as fx
+from lakeaudit.sources import zones
+from lakeaudit.streaming.landing import Zones, start_landing
+
+CATALOG = landing.SchemaCatalog({1: "", 2: ""}, 2)
+BALANCES = [f"{side}_balance_{when}" for side in ("origin", "destination") for when in ("before", "after")]
+FACT = ["source", "event_id", "event_time", "event_date", "step", "transaction_type", "amount", "origin_account", "destination_account", *BALANCES, "canonical_kafka_partition", "canonical_kafka_offset", "canonical_minio_batch_id", "physical_row_count", "replay_row_count", "payload_version_count", "has_payload_conflict", "has_invalid_amount", "has_invalid_balance"]
+LABEL_FACT = ["source", "event_id", "is_fraud", "is_flagged_fraud", "canonical_kafka_partition", "canonical_kafka_offset", "canonical_minio_batch_id", "physical_row_count", "replay_row_count", "payload_version_count", "has_payload_conflict"]
+RANKED = ["source", "event_id", "kafka_partition", "kafka_offset", "minio_batch_id", "canonical_rank", "physical_row_count", "payload_version_count"]
+
+
+class Lake:
+    """The inputs and marts over the tables of one directory; every model is a DataFrame that Catalyst inlines."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.dir = spark, sf_dir
+
+    def fixture(self, sql: str) -> DataFrame:
+        return fx.spark(self.spark, self.dir, sql)
+
+    def staged(self, name: str) -> DataFrame:
+        sql = {"transactions": fx.TRANSACTIONS, "labels": fx.LABELS, "batches": fx.LEDGER, "manifest": fx.MANIFEST}[name]
+        return loading.staged(self.fixture(sql), name)
+
+    def committed(self) -> DataFrame:
+        return canonical.committed_batches(self.staged("batches"))
+
+    def transactions(self) -> DataFrame:
+        return canonical.transaction_facts(self.staged("transactions"), self.committed())
+
+    def labels(self) -> DataFrame:
+        return canonical.label_facts(self.staged("labels"), self.committed())
+
+    def candidates(self) -> DataFrame:
+        return training.candidates(training.labeled(self.transactions(), self.labels()))
+
+    def landed(self) -> landing.Landed:
+        return landing.land(fx.raw_messages(self.spark, self.dir), CATALOG, landing.TRANSACTIONS)
+
+    def landed_labels(self) -> landing.Landed:
+        return landing.land(fx.raw_labels(self.spark, self.dir), CATALOG, landing.LABELS)
+
+    def reasons(self, landed: landing.Landed) -> DataFrame:
+        rows = landed.headers.where("quarantine_reason is not null").select("offset", "quarantine_reason")
+        return rows.unionByName(landed.decoded.select("offset", "quarantine_reason")).select("offset", F.coalesce("quarantine_reason", F.lit("VALID")).alias("reason"))
+
+    def summary(self) -> DataFrame:
+        return loading.manifest_summary(self.fixture(fx.MANIFEST), ["dir"], F.lit("transactions"), F.col("dir"))
+
+    def replayed(self) -> DataFrame:
+        e = self.spark.read.parquet(f"{self.dir}/events.parquet").select(F.col("event_id").alias("id"), (1 + F.col("event_id") % 743).cast("int").alias("step"), "event_type", "value")
+        return replay.timed(replay.numbered(e, ["id"]))
+
+
+def _landing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landing job itself over raw messages in files; the sum of its manifests."""
+    zones.ensure_shared(spark)
+    root = f"{zones.shared_folder(spark)}/landing-{uuid.uuid4().hex}"
+    fx.raw_messages(spark, sf_dir).repartition(4).write.parquet(f"{root}/raw")
+    start_landing(zones.raw_stream(spark, f"{root}/raw"), CATALOG, landing.TRANSACTIONS, Zones(root), f"{root}/state", None).awaitTermination()
+    manifest = zones.scan(spark, Zones(root).quality, zones.MANIFEST)
+    return manifest.groupBy("event_date", "source").agg(*(F.sum(c).alias(c) for c in ("input_rows", "valid_rows", "quarantine_rows")))
+
+
+def _replay_columns(rows: DataFrame) -> DataFrame:
+    blank = [F.col("event_type").alias("type"), F.col("value").alias("amount"), *(F.lit(n[0]).alias(n) for n in ("nameOrig", "nameDest")), *(F.lit(0.0).alias(n) for n in ("oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"))]
+    return rows.select("row_number", "step", "event_time_ms", *blank, (F.col("id") % 2).cast("int").alias("isFraud"), F.lit(0).alias("isFlaggedFraud"))
+
+
+def _layout(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.date_format("event_time", "yyyyMM").alias("event_month")).agg(F.count("*").alias("row_count"), F.count_distinct(F.struct("source", "event_id")).alias("keys"))
+
+
+def _message_check(lake: Lake) -> DataFrame:
+    """Replayed records framed and landed again."""
+    records = replay.events(_replay_columns(lake.replayed()))
+    sent = replay.messages(records.withColumn("ingested_at", F.col("event_time")), "transactions", 2)
+    sent = sent.withColumns({"partition": F.lit(0), "offset": F.lit(0).cast("long"), "timestamp": F.lit(None).cast("timestamp")})
+    valid = landing.land(sent.drop("headers"), CATALOG, landing.TRANSACTIONS).valid()
+    return valid.select("event_id", "step", F.unix_millis("event_time").alias("event_time_ms"), F.col("message_schema_id").alias("schema_id"))
+
+
+def _replayed_quarantine(lake: Lake) -> DataFrame:
+    again = landing.replay_quarantine(lake.landed().quarantine())
+    return lake.reasons(landing.land(again, CATALOG, landing.TRANSACTIONS)).groupBy("reason").agg(F.count("*").alias("row_count"))
+
+
+def _contract(lake: Lake) -> tuple[contract.Contract, DataFrame, DataFrame]:
+    return contract.Contract("tpch"), training.training_rows(lake.candidates()), lake.transactions()
+
+
+def _violations(lake: Lake) -> DataFrame:
+    c, rows, facts = _contract(lake)
+    c.check_schema(rows)
+    return c.violations(c.metrics(rows, facts))
+
+
+_PLAIN: dict[str, Callable[[Lake], DataFrame]] = {
+    "envelope_inspect": lambda k: k.landed().headers.select("offset", "magic_byte", "message_schema_id", F.when(F.col("quarantine_reason").isNotNull(), F.col("value_size")).cast("long").alias("value_size"), F.coalesce("quarantine_reason", F.lit("OK")).alias("reason")),
+    "validation_reasons": lambda k: k.reasons(k.landed()),
+    "reason_counts": lambda k: k.reasons(k.landed()).groupBy("reason").agg(F.count("*").alias("row_count")),
+    "label_validation": lambda k: k.reasons(k.landed_labels()),
+    "quarantine_rows": lambda k: k.landed().quarantine().select("quarantine_reason", "kafka_partition", "kafka_offset", "kafka_key_base64", "kafka_date"),
+    "quarantine_replay": _replayed_quarantine,
+    "quality_manifest": lambda k: k.landed().manifest(7),
+    "label_manifest": lambda k: k.landed_labels().manifest(7),
+    "valid_rows": lambda k: k.landed().valid().select("event_id", "source", "step", "amount", "event_date", "message_schema_id", "kafka_offset"),
+    "manifest_reconcile": lambda k: k.summary().select("dir", loading.rejection_reason().alias("reason")),
+    "manifest_summary": lambda k: k.summary(),
+    "count_check": lambda k: loading.count_check(k.summary(), k.fixture(fx.FILE_COUNTS), ["dir"]).select("dir", "valid_rows", "rows_found", "count_matches"),
+    "loaded_batches": lambda k: loading.loaded_batches(k.staged("batches")),
+    "pending_batches": lambda k: loading.pending_batches(k.fixture("select 'transactions' pipeline, p_partkey batch_id from {part} union all select 'labels', p_partkey from {part}"), k.staged("batches")),
+    "typed_load_transactions": lambda k: loading.typed_transactions(k.fixture(fx.LANDED_TRANSACTIONS), F.col("batch"), F.lit("f"), F.current_timestamp()).drop("loaded_at", "minio_object", "ingested_at", "kafka_timestamp"),
+    "typed_load_labels": lambda k: loading.typed_labels(k.fixture(fx.LANDED_LABELS), F.col("batch"), F.lit("f"), F.current_timestamp()).drop("loaded_at", "minio_object", "kafka_timestamp"),
+    "stg_transactions": lambda k: k.staged("transactions"),
+    "stg_transaction_labels": lambda k: k.staged("labels"),
+    "stg_ingestion_batches": lambda k: k.staged("batches"),
+    "stg_ingestion_batch_quality": lambda k: k.staged("manifest"),
+    "committed_batches": lambda k: k.committed(),
+    "transactions_ranked": lambda k: canonical.ranked(canonical.committed_rows(k.staged("transactions"), k.committed(), "transactions"), canonical.TRANSACTION_PAYLOAD).select(*RANKED),
+    "labels_ranked": lambda k: canonical.ranked(canonical.committed_rows(k.staged("labels"), k.committed(), "labels"), canonical.LABEL_PAYLOAD).select(*RANKED),
+    "fct_transactions": lambda k: k.transactions().select(*FACT),
+    "fct_transaction_labels": lambda k: k.labels().select(*LABEL_FACT),
+    "fct_transactions_labeled": lambda k: training.labeled(k.transactions(), k.labels()).select(*FACT, "is_fraud", "has_final_label", "has_label_payload_conflict"),
+    "ml_training_candidates": lambda k: k.candidates(),
+    "ml_training_transactions": lambda k: training.training_rows(k.candidates()),
+    "ml_training_exclusion_summary": lambda k: training.exclusion_summary(k.candidates()),
+    "dq_not_null": lambda k: checks.not_null(k.landed().decoded.select("record.*"), ["event_id", "source", "event_time", "ingested_at", "step", "amount"]),
+    "dq_accepted_values": lambda k: checks.accepted_values(k.staged("transactions"), "transaction_type", ["CASH_IN", "DEBIT", "PAYMENT"]),
+    "dq_business_keys": lambda k: checks.blank_keys(events=k.landed().decoded.select("record.*"), facts=k.transactions()),
+    "dq_orphan_labels": lambda k: checks.orphan_labels(k.labels(), k.transactions()),
+    "dq_reconciles": lambda k: checks.unreconciled(k.staged("manifest")),
+    "dq_candidate_partition": lambda k: checks.inconsistent_candidates(k.candidates().withColumn("training_exclusion_reason", F.when(F.col("step") == 1, "other").otherwise(F.col("training_exclusion_reason")))).select("source", "event_id"),
+    "contract_metrics": lambda k: (lambda c: c[0].metrics(c[1], c[2]))(_contract(k)),
+    "contract_violations": _violations,
+    "replay_event_time": lambda k: k.replayed().select("id", "row_number", "step", "ordinal", "rows_in_step", "event_time_ms"),
+    "replay_events": lambda k: replay.events(_replay_columns(replay.part(k.replayed(), 100, 100_000))).select("event_id", "source", F.unix_millis("event_time").alias("event_time_ms"), "step", "type", "amount"),
+    "replay_labels": lambda k: replay.labels(_replay_columns(k.replayed())),
+    "replay_messages": _message_check,
+    "temporal_split": lambda k: training.temporal_split(k.replayed().select("id", F.timestamp_millis("event_time_ms").cast("timestamp_ntz").alias("event_time"))).select("id", "split"),
+    "feature_set_baseline": lambda k: training.BASELINE.select(training.training_rows(k.candidates())),
+    "feature_set_challenger": lambda k: training.CHALLENGER.select(training.training_rows(k.candidates())),
+    "warehouse_partition_layout": lambda k: _layout(k.staged("transactions")),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out = {name: (lambda spark, sf_dir, f=f: f(Lake(spark, sf_dir))) for name, f in _PLAIN.items()}
+    return out | {"landing_stream": _landing_stream}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lakeaudit.plans.oracles import ORACLES
+
+    return ORACLES
