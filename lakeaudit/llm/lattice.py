@@ -161,12 +161,13 @@ class Lattice:
 
     def n_best(self, word: str, n: int) -> list[tuple[int, list[int]]]:
         """The n best segmentations as (score, ids), best first: A* from the end of the word back to its start. The forward
-        scores are exact, so every path that is taken off the queue whole is the next best one."""
+        scores are exact, so every path that is taken off the queue whole is the next best one. Of equal ones the one nearest the
+        start goes on first: there can be very many, and none is left half way."""
         forward, edges, _, _, first = self._scalar(word)
-        queue = [(-forward[-1], 0, 0, len(word), 0, None)]
+        queue = [(-forward[-1], len(word), 0, 0, None)]
         found, serial = [], 0
         while queue and len(found) < n:
-            _, pieces, _, at, behind, path = heapq.heappop(queue)
+            _, at, _, behind, path = heapq.heappop(queue)
             if at == 0:
                 out = []
                 while path:
@@ -176,7 +177,7 @@ class Lattice:
                 continue
             for start, piece, score in edges[at]:
                 serial += 1
-                heapq.heappush(queue, (-(forward[start] + behind + score), pieces + 1, serial, start, behind + score, (piece, path)))
+                heapq.heappush(queue, (-(forward[start] + behind + score), start, serial, behind + score, (piece, path)))
         rest = [(s, p) for s, p in found if p != first][: n - 1]
         return [(s, self.expand(p)) for s, p in [(forward[-1], first), *rest]]
 
