@@ -30,8 +30,8 @@ def committed_rows(rows: DataFrame, committed: DataFrame, pipeline: str) -> Data
 
 
 def with_hash(rows: DataFrame, payload: list[str]) -> DataFrame:
-    """The payload's hash. Structs keep nulls in their places."""
-    return rows.withColumn("payload_hash", F.xxhash64(F.struct(*payload)))
+    """The payload's hash. The hash passes over nulls, so where they stand is hashed as well."""
+    return rows.withColumn("payload_hash", F.xxhash64(*payload, F.array(*(F.col(c).isNull() for c in payload))))
 
 
 def ranked(rows: DataFrame, payload: list[str]) -> DataFrame:
