@@ -132,7 +132,7 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
                     yield _links(i, j, a, b, node, copies)
 
     schema = "node long, links long, root long"
-    found = durable(posts.repartition("grp").sortWithinPartitions("grp").mapInArrow(verify, schema))
+    found = durable(posts.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(verify, schema))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     state = classes.select("h1", "h2", "node", "least_id", "copies").join(links, "node", "left").join(parts, "node", "left")

@@ -206,7 +206,8 @@ def _candidates(classes: DataFrame) -> DataFrame:
                 at = np.flatnonzero(root != np.arange(len(keys)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root[at]])], ["a", "b"])
 
-    return rows.repartition("p").sortWithinPartitions("p").mapInArrow(compare, "a long, b long")
+    # In the order of nodes, so that the edges are stars around the least one.
+    return rows.repartition("p").sortWithinPartitions("p", "node").mapInArrow(compare, "a long, b long")
 
 
 def _alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -251,7 +252,7 @@ def _verified(slim: DataFrame, classes: DataFrame, parts: DataFrame, least: floa
                     rows = _links(i, j, 0, len(at), node[at], copies[at])
                     yield rows.append_column("whole", pa.array([bool(blocks[a] == 1)] * rows.num_rows))
 
-    return durable(sets.repartition("grp").sortWithinPartitions("grp").mapInArrow(verify, "node long, links long, root long, whole boolean"))
+    return durable(sets.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(verify, "node long, links long, root long, whole boolean"))
 
 
 def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
