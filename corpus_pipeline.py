@@ -29,10 +29,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of the n-gram Jaccard join: the one of smallest id (identical rows count once)."""
-    kept = jaccard_join.jaccard_join(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_hash").distinct()
-    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("hash"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("text_hash")))
-    return rows.dropDuplicates(["doc_id", "hash"]).select(*COLUMNS)
+    # A struct is equal to one with the same nulls, and as the one key it deals the texts out once for the join and the duplicates.
+    # No hash is null; said so, both keys are of one type.
+    hash_ = F.coalesce("text_hash", F.lit(0).cast("long")).alias("hash")
+    kept = jaccard_join.jaccard_join(docs).where("kept").select(F.struct("doc_id", hash_).alias("key")).distinct()
+    rows = docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("key"))
+    return rows.join(kept, "key").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
