@@ -43,5 +43,10 @@ def test_odd_rows(spark, sf):
     assert empty.count() == 0
 
 
+def test_near_duplicates_of_odd_rows(spark, sf):
+    out = pipeline.near_duplicate_stage(spark, spark.createDataFrame(ODD, SCHEMA), sf).collect()
+    assert sorted((r["doc_id"] or 0 for r in out)) == [0, 1, 2, 3, 4, 5, 6, 7, 10]
+
+
 def test_run(spark, sf):
     assert pipeline.run(spark, sf).count() > 0 and pipeline.ORACLE_SQL is None
