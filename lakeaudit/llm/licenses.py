@@ -13,6 +13,7 @@ may have any name.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -100,36 +101,39 @@ def exact(given: tuple[tuple[str, str], ...]) -> regex.Pattern:
 
 def base_places(text: str, given: tuple[tuple[str, str], ...] = PHRASES) -> list[tuple[int, str]]:
     """(first word, label) of every place, in order. ``text`` is in normal form; a phrase never overlaps itself."""
-    found = [(text.count(" ", 0, m.start()), label) for phrase, label, p in exact(given) if phrase in text for m in p.finditer(text)]
+    found = []
+    for phrase, label, p in exact(given):
+        word = at = 0
+        for m in p.finditer(text) if phrase in text else ():
+            word += text.count(" ", at, m.start())
+            at = m.start()
+            found.append((word, label))
     return sorted(found)
 
 
 def fuzzy_spans(text: str, given: tuple[tuple[str, str], ...] = NOTICES) -> list[tuple[int, int, str, int]]:
-    """(start, end, label, edits) in the normal form, sorted: the matches that a window around an exact seed holds."""
-    windows: dict[int, list[tuple[int, int]]] = {}
+    """(start, end, label, edits) in the normal form, sorted: the best match in the window around each exact seed.
+
+    A window is too short for two matches. Of matches of one notice that overlap, the one of fewest edits holds, then the
+    first; a match that overlaps one of another notice with fewer edits goes.
+    """
     known = notices(given)
-    for end, (size, places) in automaton(given).iter(text):
-        for i, offset in places:
-            start = end - size + 1 - offset
-            k = known[i].edits
-            windows.setdefault(i, []).append((max(0, start - k), start + len(known[i].text) + k))
-    found = set()
-    for i, spans in windows.items():
+    windows = {(i, end - size + 1 - offset) for end, (size, places) in automaton(given).iter(text) for i, offset in places}
+    matches = set()
+    for i, start in windows:
         notice = known[i]
-        spans.sort()
-        merged: list[list[int]] = []
-        for a, b in spans:
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            for m in notice.pattern.finditer(text, a, min(b, len(text))):
-                # The ends of a window are no word borders of the text.
-                if (m.start() == 0 or text[m.start() - 1] == " ") and (m.end() == len(text) or text[m.end()] == " "):
-                    found.add((m.start(), m.end(), notice.label, sum(m.fuzzy_counts)))
-    # Of notices that overlap, the one with fewer edits holds.
-    return sorted(s for s in found if not any(o[3] < s[3] and o[0] < s[1] and s[0] < o[1] for o in found))
+        m = notice.pattern.search(text, max(0, start - notice.edits), min(len(text), start + len(notice.text) + notice.edits))
+        # The ends of a window are no word borders of the text.
+        if m and (m.start() == 0 or text[m.start() - 1] == " ") and (m.end() == len(text) or text[m.end()] == " "):
+            matches.add((m.start(), m.end(), i, sum(m.fuzzy_counts)))
+    found = sorted(matches)
+    starts, longest = [s[0] for s in found], max((s[1] - s[0] for s in found), default=0)
+
+    def beaten(s: tuple[int, int, int, int]) -> bool:
+        near = found[bisect_left(starts, s[0] - longest) : bisect_left(starts, s[1])]
+        return any(o[1] > s[0] and (o[3] < s[3] or (o[2] == s[2] and (o[3], o[0], -o[1]) < (s[3], s[0], -s[1]))) for o in near)
+
+    return sorted({(s[0], s[1], known[s[2]].label, s[3]) for s in found if not beaten(s)})
 
 
 def scan_text(text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str, int]], float]:

@@ -280,6 +280,16 @@ def test_license_spans_against_whole_text_search(docs):
         assert licenses.base_places(body) == sorted(base)
 
 
+def test_every_license_span_of_a_text():
+    # The first notice has more edits than those that follow.
+    body = "relased undr the mit license and released under the mit license released under the mit licence x"
+    spans = licenses.fuzzy_spans(body)
+    assert [(body[a:b], label) for a, b, label, _ in spans] == [("relased undr the mit license", "mit"), ("released under the mit license", "mit"), ("released under the mit licence", "mit")]
+    many = licenses.fuzzy_spans("permision is hereby granted free of charge to any person obtaining a copy " * 3000)
+    assert len(many) == 3000 and {s[3] for s in many} == {1}
+    assert licenses.base_places("a mit license " * 3) == [(1, "mit"), (4, "mit"), (7, "mit")]
+
+
 def test_vector_recall(spark, sf):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 32))
