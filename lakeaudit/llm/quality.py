@@ -160,22 +160,24 @@ def text_lines(text: str, limit: int | None = None) -> tuple[list[int], list[int
 def train(docs: DataFrame, labels: DataFrame, train_documents: int = TRAIN_DOCUMENTS) -> LineModel | None:
     """The CRF from docs(doc_id, text) and labels(doc_id, quality 0 or 1); None where a kind is missing.
 
-    A document is taken if a hash of its id is below the share that makes ``train_documents`` of its kind expected. What
-    reaches the driver is bounded by that number and ``TRAIN_LINES`` integers for each.
+    A document is taken if a hash of its id is below the share that makes ``train_documents`` of its kind expected, and never
+    more than three times that number in all. What reaches the driver is bounded by that and ``TRAIN_LINES`` integers for each.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").distinct()
     sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
     share = F.when(F.col("quality") == 0, F.lit(train_documents / sizes[0])).otherwise(F.lit(train_documents / sizes[1]))
-    taken = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)) < share)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    # The limit bounds what is broadcast, however the ids hash; the texts stay where they are.
+    taken = known.where(place < share).orderBy(place, "doc_id", "quality").limit(3 * train_documents)
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = [text_lines(t, TRAIN_LINES)[0] for t in strings(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.list_(pa.int64()))], ["quality", "masks"])
 
-    pool = docs.where("text is not null").select("doc_id", "text").join(taken, "doc_id").select(F.col("quality").cast("int").alias("quality"), "text")
+    pool = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(taken), "doc_id").select(F.col("quality").cast("int").alias("quality"), "text")
     rows = pool.mapInArrow(features, "quality int, masks array<long>").collect()
     rows = sorted((r["masks"], r["quality"]) for r in rows if r["masks"])
     if len({y for _, y in rows}) < 2:
