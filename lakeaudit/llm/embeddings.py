@@ -1,7 +1,7 @@
 """Operator 9: near-duplicate vectors by a pivot-permutation index.
 
-Pivots are vectors of a bounded sample (``SAMPLE_A_PIVOT`` rows for each pivot wanted), chosen so that no two are alike; their
-number grows with the square root of the rows, up to ``MOST_PIVOTS``. Every vector is described by its ``NEAREST`` nearest pivots in
+Pivots are vectors of a bounded sample of the distinct ones (``SAMPLE_A_PIVOT`` for each pivot wanted), chosen so that no two are
+alike; their number grows with the square root of the distinct vectors, up to ``MOST_PIVOTS``. Every vector is described by its ``NEAREST`` nearest pivots in
 order. Two vectors are candidates if they share ``SHARED`` of them; vectors are retrieved through inverted lists of the pivots,
 each vector being posted under ``NEAREST - SHARED + 1`` of its pivots, which no pair that shares enough can miss. Candidates
 are verified by cosine in double precision, so every link is true; links that the index misses are measured in the tests
@@ -45,7 +45,7 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(sample: np.ndarray, wanted: int) -> np.ndarray:
-    """Rows of the sample, in order, that are not alike one taken before; a third at least is taken, whatever it is like."""
+    """Rows of the sample, in order, that are not alike one taken before: one at least, if the sample has any."""
     taken: list[np.ndarray] = []
     for v in sample:
         if len(taken) == wanted:
@@ -68,14 +68,17 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     rows = rows.select("id", "good", F.when(F.col("good"), v).alias("v"))
     rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("2"), "v")})
     common = rows.where("good").groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").limit(1).collect()
-    width, total = (common[0]["width"], common[0]["n"]) if common else (1, 0)
+    width = common[0]["width"] if common else 1
     classes = rows.where(F.col("good") & (F.size("v") == width)).groupBy("h1", "h2").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = durable(classes.withColumn("node", F.monotonically_increasing_id()))
 
+    total = classes.count()
     wanted = max(NEAREST, min(MOST_PIVOTS, round(PIVOTS_PER_ROOT * math.sqrt(total))))
     share = SAMPLE_A_PIVOT * wanted / max(total, 1)
     sample = classes.where(F.pmod(F.xxhash64("h1"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).select("h1", "h2", "v")
-    sample = sorted(sample.collect(), key=lambda r: (r["h1"], r["h2"]))  # at most about SAMPLE_A_PIVOT * MOST_PIVOTS vectors
+    # At most about SAMPLE_A_PIVOT * MOST_PIVOTS vectors; where the hashes leave none, those of least hash.
+    sample = sample.collect() or classes.orderBy("h1", "h2").limit(wanted).select("h1", "h2", "v").collect()
+    sample = sorted(sample, key=lambda r: (r["h1"], r["h2"]))
     pivots = choose_pivots(unit(np.array([r["v"] for r in sample])), wanted) if sample else np.zeros((0, width))
     nearest, shared = min(NEAREST, len(pivots)), min(SHARED, len(pivots))
     posted = max(nearest - shared + 1, 0)

@@ -306,6 +306,23 @@ def test_vector_recall(spark, sf):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_vectors_of_many_copies(spark):
+    # A sample by the number of rows leaves no pivot of so few distinct vectors in most of these tables.
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        one = rng.normal(size=16)
+        kinds = [one, one + 0.01 * rng.normal(size=16), -one]
+        rows = [(i, kinds[i % 3].tolist()) for i in range(3000)]
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+        assert got == {i: (999, 2) if i % 3 == 2 else (1999, 0) for i in range(3000)}
+
+
+def test_pivots_where_the_sample_is_empty(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SAMPLE_A_PIVOT", 0)
+    rows = [(i, [1.0, 0.001 * i]) for i in range(20)]
+    assert all(r["n_links"] == 19 for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+
+
 def brute_repeats(rows):
     seen, out = {}, {}
     for i, t in rows:
