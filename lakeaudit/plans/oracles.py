@@ -169,6 +169,7 @@ ORACLES: dict[str, str] = {
     + " union all select 'row_count', row_count, row_count > 0 from metrics",
     "replay_event_time": f"{_REPLAY} select id, row_number, step, ordinal, rows_in_step, event_time_ms from replayed",
     "replay_events": f"{_REPLAY} select {_NAME}, 'paysim' source, event_time_ms, step, event_type \"type\", value amount from replayed where row_number > 100 and row_number <= 100100",
+    "replay_events_whole": f"{_REPLAY} select {_NAME}, 'paysim' source, event_time_ms, step, event_type \"type\", value amount from replayed",
     "replay_labels": f"{_REPLAY} select {_NAME}, 'paysim' source, cast(id % 2 as int) isFraud, 0 isFlaggedFraud from replayed",
     "replay_messages": f"{_REPLAY} select {_NAME}, step, event_time_ms, 2::bigint schema_id from replayed",
     "temporal_split": f"""{_REPLAY} select id, case when event_time_ms < 1769025600000 then 'train' when event_time_ms < 1769457600000 then 'validation' when event_time_ms < 1769900400000 then 'test' end split from replayed""",

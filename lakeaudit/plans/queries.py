@@ -146,6 +146,7 @@ _PLAIN: dict[str, Callable[[Lake], DataFrame]] = {
     "contract_violations": _violations,
     "replay_event_time": lambda k: k.replayed().select("id", "row_number", "step", "ordinal", "rows_in_step", "event_time_ms"),
     "replay_events": lambda k: replay.events(_replay_columns(replay.part(k.replayed(), 100, 100_000))).select("event_id", "source", F.unix_millis("event_time").alias("event_time_ms"), "step", "type", "amount"),
+    "replay_events_whole": lambda k: replay.events(_replay_columns(k.replayed())).select("event_id", "source", F.unix_millis("event_time").alias("event_time_ms"), "step", "type", "amount"),
     "replay_labels": lambda k: replay.labels(_replay_columns(k.replayed())),
     "replay_messages": _message_check,
     "temporal_split": lambda k: training.temporal_split(k.replayed().select("id", F.timestamp_millis("event_time_ms").cast("timestamp_ntz").alias("event_time"))).select("id", "split"),

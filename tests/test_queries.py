@@ -39,3 +39,10 @@ def test_invariants(spark, sf):
     # The one-pass canonical rows are those of rank 1.
     first = physical.where("canonical_rank = 1").selectExpr("event_id", "kafka_offset", "minio_batch_id")
     assert first.exceptAll(facts.selectExpr("event_id", "canonical_kafka_offset", "canonical_minio_batch_id")).isEmpty()
+
+
+def test_replay_of_every_event(spark, sf):
+    q = plans.queries()
+    whole, window = (q[n](spark, sf).select("event_id") for n in ("replay_events_whole", "replay_events"))
+    assert whole.distinct().count() == whole.count() == spark.read.parquet(f"{sf}/events.parquet").count()
+    assert window.exceptAll(whole).isEmpty() and whole.exceptAll(window).count() == 100
