@@ -1,12 +1,14 @@
 """Operator 4: n-gram Jaccard self-join by chosen paths.
 
 A text is the set of its 5-word shingles (a text of one to four words is one shingle). Texts with equal sets are one class. In
-each of ``RUNS`` independent runs a set starts at the root and, at every node of a shared random tree, goes on to those of its
+each of several independent runs a set starts at the root and, at every node of a shared random tree, goes on to those of its
 shingles whose hash at that node is below 1 / (least * size), 1 / least of them on average; so similar sets choose common
-paths. Sets that meet in a node of at most ``BUCKET`` sets are compared by brute force there (on sketches of 64 minhashes);
-larger nodes are split again, down to ``DEPTH`` shingles, beyond which a node is compared in pairs of blocks. At the least
-similarity a pair meets in the first level of a run with probability 1 - 1/e at least; ten runs make 0.99995 of it, and
-0.998 for pairs that must go on to the second level.
+paths. Sets that meet in a node of at most ``BUCKET`` sets are compared by brute force there (on sketches of 64 minhashes).
+First all sets take the first step of ``RUNS`` runs: at the least similarity a pair meets in one with probability 1 - 1/e at
+least, in ten with 0.99995. Sets of larger nodes go through further runs among themselves, whose large nodes are split again,
+down to ``DEPTH`` shingles, beyond which a node is compared in pairs of blocks. A pair that met in large nodes only is in them
+with both sets, and the number of runs follows from the size of the sets (``deep_runs``), so that it meets on the last level
+with a probability of ``TARGET``: 33 runs at a size of 5, 22 at a large one. Pairs are thus found with 0.9999 on any level.
 
 What was found alike makes candidate components; all pairs within one are verified on whole sets, in pairs of blocks of
 bounded weight, so every link is true, and links within a component cannot be missed. Tasks return a number of links and one
@@ -19,6 +21,8 @@ only the id and text columns are read.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,6 +38,10 @@ SHINGLE = 5
 LEAST = 0.8
 RUNS = 10
 DEPTH = 3
+#: Sets of more shingles take the runs of one of so many; the number no longer changes there.
+MANY = 1000
+#: The least probability that a pair of the least similarity meets in the further runs.
+TARGET = 0.99995
 BUCKET = 1000
 SKETCH = 64
 #: Sketch entries that must agree: at a similarity of 0.8 fewer do with a probability under 1e-4.
@@ -43,7 +51,31 @@ BLOCK_SETS = 1024
 COLUMNS = 4096
 
 _odd = np.random.default_rng(20240229).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_run_salts = mix(np.arange(1, RUNS + 1, dtype=np.uint64) * GOLD)
+
+
+def run_salts(first: int, runs: int) -> np.ndarray:
+    return mix(np.arange(first, first + runs, dtype=np.uint64) * GOLD)
+
+
+def meeting(common: int, size: int, least: float, depth: int = DEPTH) -> float:
+    """The probability that two sets, the larger of ``size``, with so many common shingles meet on level ``depth`` of a run."""
+    p, q = min(1.0, 1 / (least * size)), 1.0
+    for used in reversed(range(depth)):
+        q = 1 - (1 - p * q) ** max(common - used, 0)
+    return q
+
+
+@functools.cache
+def deep_runs(n: int, least: float) -> int:
+    """So many runs that a set of n shingles meets each other one of the least similarity with ``TARGET`` on the last level.
+
+    Of two sets the larger has fewer runs or as many, and both share those."""
+    runs = 1
+    for size in range(n, int(n / least + 1e-9) + 1):
+        common = math.ceil(least * size - 1e-9)
+        if common < size:  # else only equal sets are alike, and they are one class
+            runs = max(runs, math.ceil(math.log(1 - TARGET) / math.log(1 - meeting(common, size, least))))
+    return runs
 
 
 def shingle_set(text: str | None, hashes: WordHash) -> np.ndarray:
@@ -69,11 +101,19 @@ def chosen(s: np.ndarray, nodes: np.ndarray, least: float) -> tuple[np.ndarray,
     return np.concatenate([a + i * step for i, (a, _) in enumerate(at)]), np.concatenate([b for _, b in at])
 
 
+def first_steps(s: np.ndarray, least: float) -> list[int]:
+    """The nodes of the first level in the first runs."""
+    salts = run_salts(1, RUNS)
+    n1, t1 = chosen(s, salts, least)
+    return mix(salts[n1] * GOLD + s[t1]).astype(np.int64).tolist()
+
+
 def paths(s: np.ndarray, least: float = LEAST) -> list[dict]:
-    """The set's chosen paths as a tree of depth 3: [{p, kids: [{p, kids: [p]}]}]."""
+    """The set's chosen paths in the further runs as a tree of depth 3: [{p, kids: [{p, kids: [p]}]}]."""
     signed = lambda x: x.astype(np.int64).tolist()
-    n1, t1 = chosen(s, _run_salts, least)
-    p1 = mix(_run_salts[n1] * GOLD + s[t1])
+    salts = run_salts(RUNS + 1, deep_runs(min(len(s), MANY), least))
+    n1, t1 = chosen(s, salts, least)
+    p1 = mix(salts[n1] * GOLD + s[t1])
     tree = [{"p": p, "kids": []} for p in signed(p1)]
     if not len(p1):
         return tree
@@ -110,25 +150,25 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         hashes = WordHash()
         for batch in slices(batches):
             hashes.trim()
-            f1, f2, n, sketches, trees = [], [], [], [], []
+            f1, f2, n, sketches, steps = [], [], [], [], []
             for text in strings(batch.column("text")):
                 s = shingle_set(text, hashes)
                 n.append(len(s))
                 f1.append(int(mix(s).sum().astype(np.int64)) if len(s) else 0)
                 f2.append(int(mix(s ^ GOLD).sum().astype(np.int64)) if len(s) else 0)
                 sketches.append(sketch(s) if len(s) else None)
-                trees.append(paths(s, least) if len(s) else [])
-            cols = [pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(n, pa.int64()), pa.array(sketches, pa.binary()), pa.array(trees, _TREE)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *cols], ["id", "th", "f1", "f2", "n", "sketch", "tree"])
+                steps.append(first_steps(s, least) if len(s) else [])
+            cols = [pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(n, pa.int64()), pa.array(sketches, pa.binary()), pa.array(steps, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *cols], ["id", "th", "f1", "f2", "n", "sketch", "steps"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    described = durable(slim.mapInArrow(describe, f"id {kind}, th long, f1 long, f2 long, n long, sketch binary, tree {_TREE_SQL}"))
+    described = durable(slim.mapInArrow(describe, f"id {kind}, th long, f1 long, f2 long, n long, sketch binary, steps array<bigint>"))
     rows = described.select("id", "th", "f1", "f2", "n")
     first = F.min(F.struct("id", "th")).alias("rep")
-    sets = described.where("n > 0").groupBy("f1", "f2", "n").agg(first, F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("tree").alias("tree"))
+    sets = described.where("n > 0").groupBy("f1", "f2", "n").agg(first, F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("steps").alias("steps"))
     classes = durable(sets.withColumn("node", F.monotonically_increasing_id()))
 
-    parts = components(_candidates(classes))
+    parts = components(_candidates(slim, classes, least))
     found = _verified(slim, classes, parts, least)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     # A component of one block was settled by the task that held it.
@@ -147,7 +187,26 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
+def _texts(slim: DataFrame, members: DataFrame) -> DataFrame:
+    """members(rep_id, rep_th, ...) with the text; identical rows of a document bring it more than once."""
+    return slim.join(members, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th")))
+
+
+def _trees(slim: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """(node, tree) of the further runs for each of members(node, rep_id, rep_th)."""
+
+    def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in slices(batches):
+            hashes.trim()
+            trees = [paths(shingle_set(text, hashes), least) for text in strings(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(trees, _TREE)], ["node", "tree"])
+
+    trees = _texts(slim, members).select("node", "text").mapInArrow(describe, f"node long, tree {_TREE_SQL}")
+    return durable(trees.groupBy("node").agg(F.first("tree").alias("tree")))
+
+
+def _candidates(slim: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Edges (a, b) between nodes whose sketches agree in some bucket."""
 
     def counted(level: DataFrame) -> DataFrame:
@@ -155,9 +214,13 @@ def _candidates(classes: DataFrame) -> DataFrame:
         sizes = level.groupBy("p").agg(F.count("*").alias("size")).where("size > 1")
         return durable(level.join(sizes, "p"))
 
-    trees = classes.select("node", "tree")
+    level = counted(classes.select("node", F.explode("steps").alias("p")))
+    first = level.where(F.col("size") <= BUCKET).select("node", "p")
+    # A pair that met in large nodes only has both its sets in them: these go through the further runs, by themselves.
+    again = level.where(F.col("size") > BUCKET).select("node").distinct()
+    trees = _trees(slim, classes.join(again, "node").select("node", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")), least)
     level = counted(trees.select("node", F.posexplode("tree").alias("i", "x")).select("node", "i", F.col("x.p").alias("p")))
-    small = level.where(F.col("size") <= BUCKET).select("node", "p")
+    small = first.unionByName(level.where(F.col("size") <= BUCKET).select("node", "p"))
     large = level.where(F.col("size") > BUCKET)
     kids = large.join(trees, "node").select("node", "i", F.posexplode(F.col("tree")[F.col("i")]["kids"]).alias("k", "x"))
     level = counted(kids.select("node", "i", "k", F.col("x.p").alias("p")))
@@ -221,7 +284,7 @@ def _verified(slim: DataFrame, classes: DataFrame, parts: DataFrame, least: floa
     members = parts.join(classes.select("node", "rep", "copies", "n"), "node")
     weights = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
     members = members.join(weights, "root").select("node", "root", "copies", "blocks", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
-    texts = slim.join(members, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select("node", "root", "copies", "blocks", "text")
+    texts = _texts(slim, members).select("node", "root", "copies", "blocks", "text")
 
     def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()

@@ -190,6 +190,24 @@ def test_jaccard_of_a_group_larger_than_a_bucket(spark, monkeypatch):
     assert [got[i] for i in range(60)] == links and sum(links) > 500
 
 
+def test_jaccard_of_short_texts_in_split_nodes(spark, monkeypatch):
+    # Each hub of 4 shingles has 3 spokes of 5, and their nodes are split down to the last level.
+    monkeypatch.setattr(jaccard_join, "BUCKET", 2)
+    hub = lambda i: " ".join(f"h{i}w{k}" for k in range(8))
+    rows = [(4 * i + k, hub(i) + (f" x{k}" if k else "")) for i in range(300) for k in range(4)]
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in got if got[i] != (1 if i % 4 else 3)] == []
+
+
+def test_jaccard_runs_reach_the_target():
+    assert math.isclose(jaccard_join.meeting(4, 5, 0.8), 0.263, abs_tol=1e-3) and jaccard_join.deep_runs(4, 0.8) == jaccard_join.deep_runs(5, 0.8) == 33
+    for n in range(1, 300):
+        for m in range(n, int(n / 0.8 + 1e-9) + 1):
+            common = math.ceil(0.8 * (n + m) / 1.8 - 1e-9)
+            if common < m and common <= n:
+                assert (1 - jaccard_join.meeting(common, m, 0.8)) ** min(jaccard_join.deep_runs(n, 0.8), jaccard_join.deep_runs(m, 0.8)) <= 1 - jaccard_join.TARGET + 1e-12
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = queries.op5_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
