@@ -3,8 +3,10 @@
 A text's words are runs of ASCII letters (lower-cased), digits and non-ASCII characters; joined by single spaces they are
 the normal form in which both searches run. A notice of m characters may have up to m // ``CHARS_PER_EDIT`` edits (at least
 one). It is split into one part more than that: by the pigeonhole principle one part stands in the text unchanged. The parts
-of all notices are looked up together by one automaton; around each hit, the ``regex`` library's bounded-error matching
-finds the edits and the span. One narrow pass, no shuffle.
+of all notices are looked up together by one automaton. A hit names the places, at most as far off as there may be edits, where
+its notice can begin; from each that begins a word, the ``regex`` library's bounded-error matching finds the edits and the
+end, over the text as it is. So the matches are those that a trial from every word of the text finds. One narrow pass, no
+shuffle.
 
 Null text: empty. An empty text has no words, places, labels or spans, and score 0. Overlapping places and spans are all
 given, sorted; repeated rows give repeated rows. Of the input only the id and text columns are read, so that other columns
@@ -28,20 +30,42 @@ from lakeaudit.llm.text import slices, strings
 
 #: The phrases and labels of the base search.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Notices in normal form, and their labels.
+#: Opening or grant lines of common licenses in normal form, and their labels.
 NOTICES = (
     ("licensed under the gnu general public license", "gpl"),
+    ("under the terms of the gnu general public license as published by", "gpl"),
     ("gnu lesser general public license", "lgpl"),
+    ("gnu library general public license", "lgpl"),
     ("gnu affero general public license", "agpl"),
     ("licensed under the apache license version 2 0", "apache"),
+    ("you may not use this file except in compliance with the license", "apache"),
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("licensed under cc by nc", "cc-by-nc"),
-    ("licensed under cc by sa", "cc-by-sa"),
-    ("creative commons attribution", "cc-by"),
     ("redistribution and use in source and binary forms with or without modification", "bsd"),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc"),
     ("subject to the terms of the mozilla public license", "mpl"),
+    ("made available under the terms of the eclipse public license", "epl"),
+    ("subject to the common development and distribution license", "cddl"),
+    ("licensed under the european union public licence", "eupl"),
+    ("licensed under the academic free license", "afl"),
+    ("distributed under the boost software license version 1 0", "bsl-1.0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("this software is provided as is without any express or implied warranty", "zlib"),
+    ("licensed under the sil open font license version 1 1", "ofl"),
+    ("licensed under the artistic license", "artistic"),
+    ("python software foundation license", "psf"),
+    ("microsoft public license ms pl", "ms-pl"),
+    ("use of this software is governed by the business source license", "busl"),
+    ("server side public license version 1", "sspl"),
+    ("creative commons attribution", "cc-by"),
+    ("creative commons attribution noncommercial", "cc-by-nc"),
+    ("creative commons attribution sharealike", "cc-by-sa"),
+    ("creative commons attribution noderivatives", "cc-by-nd"),
+    ("licensed under cc by nc", "cc-by-nc"),
+    ("licensed under cc by sa", "cc-by-sa"),
+    ("licensed under cc by nd", "cc-by-nd"),
+    ("cc0 1 0 universal public domain dedication", "cc0"),
+    ("open data commons open database license", "odbl"),
     ("all rights reserved", "all-rights-reserved"),
 )
 CHARS_PER_EDIT = 10
@@ -66,7 +90,7 @@ def notices(given: tuple[tuple[str, str], ...] = NOTICES) -> tuple[Notice, ...]:
     out = []
     for text, label in given:
         edits = max(1, len(text) // CHARS_PER_EDIT)
-        out.append(Notice(text, label, edits, regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(text, literal_spaces=True)}){{e<={edits}}}(?![^ ])")))
+        out.append(Notice(text, label, edits, regex.compile(rf"(?b)(?:{regex.escape(text, literal_spaces=True)}){{e<={edits}}}(?![^ ])")))
     return tuple(out)
 
 
@@ -111,27 +135,55 @@ def base_places(text: str, given: tuple[tuple[str, str], ...] = PHRASES) -> list
     return sorted(found)
 
 
+def begins(text: str, given: tuple[tuple[str, str], ...] = NOTICES) -> set[tuple[int, int]]:
+    """(notice, place) of the word beginnings where a seed lets a notice begin."""
+    known, seen, out = notices(given), set(), set()
+    for end, (size, places) in automaton(given).iter(text):
+        for i, offset in places:
+            start = end - size + 1 - offset
+            if (i, start) in seen:
+                continue
+            seen.add((i, start))
+            first = max(0, start - known[i].edits)
+            last = start + known[i].edits
+            if first == 0 and text[:1] != " ":
+                out.add((i, 0))
+            at = text.find(" ", max(0, first - 1), last)
+            while at >= 0:
+                out.add((i, at + 1))
+                at = text.find(" ", at + 1, last)
+    return out
+
+
+def matches_at(text: str, at: set[tuple[int, int]], given: tuple[tuple[str, str], ...] = NOTICES) -> list[tuple[int, int, int, int]]:
+    """(start, end, notice, edits), sorted: the match of fewest edits from each of the places, if there is one."""
+    known, found = notices(given), []
+    for i, start in at:
+        # A match is no longer than the notice and its edits; one character more shows whether a word goes on.
+        if m := known[i].pattern.match(text[start : start + len(known[i].text) + known[i].edits + 1]):
+            if m.end():
+                found.append((start, start + m.end(), i, sum(m.fuzzy_counts)))
+    return sorted(found)
+
+
 def fuzzy_spans(text: str, given: tuple[tuple[str, str], ...] = NOTICES) -> list[tuple[int, int, str, int]]:
-    """(start, end, label, edits) in the normal form, sorted: the best match in the window around each exact seed.
+    """(start, end, label, edits) in the normal form, sorted.
 
-    A window is too short for two matches. Of matches of one notice that overlap, the one of fewest edits holds, then the
-    first; a match that overlaps one of another notice with fewer edits goes.
+    Of matches of one notice that overlap, the one of fewest edits holds, then the first; a match that overlaps one of another
+    notice with fewer edits, or as many and within it, goes.
     """
+    return settled(matches_at(text, begins(text, given), given), given)
+
+
+def settled(found: list[tuple[int, int, int, int]], given: tuple[tuple[str, str], ...] = NOTICES) -> list[tuple[int, int, str, int]]:
     known = notices(given)
-    windows = {(i, end - size + 1 - offset) for end, (size, places) in automaton(given).iter(text) for i, offset in places}
-    matches = set()
-    for i, start in windows:
-        notice = known[i]
-        m = notice.pattern.search(text, max(0, start - notice.edits), min(len(text), start + len(notice.text) + notice.edits))
-        # The ends of a window are no word borders of the text.
-        if m and (m.start() == 0 or text[m.start() - 1] == " ") and (m.end() == len(text) or text[m.end()] == " "):
-            matches.add((m.start(), m.end(), i, sum(m.fuzzy_counts)))
-    found = sorted(matches)
     starts, longest = [s[0] for s in found], max((s[1] - s[0] for s in found), default=0)
 
     def beaten(s: tuple[int, int, int, int]) -> bool:
         near = found[bisect_left(starts, s[0] - longest) : bisect_left(starts, s[1])]
-        return any(o[1] > s[0] and (o[3] < s[3] or (o[2] == s[2] and (o[3], o[0], -o[1]) < (s[3], s[0], -s[1]))) for o in near)
+        same = lambda o: (o[3], o[0], -o[1]) < (s[3], s[0], -s[1])
+        within = lambda o: o[3] == s[3] and o[0] <= s[0] and s[1] <= o[1] and o[1] - o[0] > s[1] - s[0]
+        return any(o[1] > s[0] and (same(o) if o[2] == s[2] else o[3] < s[3] or within(o)) for o in near)
 
     return sorted({(s[0], s[1], known[s[2]].label, s[3]) for s in found if not beaten(s)})
 
