@@ -2,10 +2,12 @@
 
 Each line gets a set of binary features (shape, symbols, case, repetition). A linear-chain CRF with the labels content and
 boilerplate is decoded by Viterbi; the share of a text's word characters that stand in content lines decides whether it is
-kept. The CRF is trained from labelled documents: the lines of a good one are content, those of a bad one boilerplate.
-Training takes at most about ``train_documents`` labelled documents of either quality, chosen by a hash of their id, and
-the first ``TRAIN_LINES`` lines of each (the bound of the sample; prediction reads whole texts). Without labelled documents
-of both kinds there is no CRF, and the base rules alone decide.
+kept. The CRF is trained from labelled documents. At most about ``train_documents`` of either quality are taken, chosen by a
+hash of their id (the bound of the sample; they are read whole, as are the texts in prediction); every ``HELD_OUT``-th label is
+left for measuring. A line is labelled by the documents that hold it: boilerplate if a larger share of the bad ones of the sample
+has it than of the good ones, content if a smaller one, and by its own document where both are equal. So labels change within a
+text; besides, every good document is also shown with a bad one set within it. Without labelled documents of both kinds there
+is no CRF, and the base rules alone decide.
 
 Null text: no words, so ``base_failed``. Lines are cut at ``\\n``; a line without a word takes no part in labelling.
 Repeated rows give repeated rows; ties of the Viterbi paths and a share of exactly the threshold go to content. Of the
@@ -17,10 +19,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.llm.text import WORD, WordHash, shingle_hashes, slices, strings
@@ -30,7 +34,10 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 TRAIN_DOCUMENTS = 1000
-TRAIN_LINES = 40
+#: Labels of documents whose hash has this divisor train nothing.
+HELD_OUT = 5
+#: Longer label sequences are cut for training; every piece is used.
+PIECE = 256
 CONTENT_SHARE = 0.5
 
 FEATURES = (
@@ -78,69 +85,111 @@ class LineModel:
         return path[::-1]
 
     def scores(self, masks: list[int]) -> list[tuple[float, float]]:
-        out = []
+        """The emissions of each line; texts have few distinct masks."""
+        known, out = self._known, []
         for m in masks:
-            x = y = 0.0
-            for i, (u, v) in enumerate(self.emissions):
-                if m >> i & 1:
-                    x += u
-                    y += v
-            out.append((x, y))
+            if (found := known.get(m)) is None:
+                found = known[m] = tuple(sum(w[y] for i, w in enumerate(self.emissions) if m >> i & 1) for y in (0, 1))
+            out.append(found)
         return out
 
-
-def fit(sequences: list[list[int]], labels: list[int], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> LineModel:
-    """Maximum conditional likelihood of the label sequences, by Adam on the exact gradient (forward-backward).
-
-    Equal (features, label) sequences are counted once with their number. Every sequence carries one label throughout.
-    """
-    counted = Counter((tuple(s), y) for s, y in zip(sequences, labels, strict=True) if s)
-    keys = list(counted)
-    per_class = Counter()
-    for k in keys:
-        per_class[k[1]] += counted[k]
-    # Either class weighs the same in all, and each document by its class only.
-    weight = np.array([counted[k] / per_class[k[1]] for k in keys]) * 100
-    longest = max(len(k[0]) for k in keys)
-    nf, n = len(FEATURES), len(keys)
-    x = np.zeros((n, longest, nf))
-    length = np.array([len(k[0]) for k in keys])
-    gold = np.array([k[1] for k in keys])
-    for i, (masks, _) in enumerate(keys):
-        x[i, : len(masks)] = (np.array(masks)[:, None] >> np.arange(nf)) & 1
-    here = np.arange(longest)[None] < length[:, None]
-    w, t = np.zeros((nf, 2)), np.zeros((2, 2))
-    moments = [np.zeros(nf * 2 + 4), np.zeros(nf * 2 + 4)]
+    @cached_property
+    def _known(self) -> dict[int, tuple[float, float]]:
+        return {}
+
+
+class Sequences:
+    """Weighted label sequences, laid out by place: all first lines, then all second ones, the longest sequences first."""
+
+    def __init__(self, given: list[tuple[tuple[int, ...], tuple[int, ...], float]]) -> None:
+        given = sorted(given, key=lambda x: (-len(x[0]), x))
+        length = np.array([len(m) for m, _, _ in given])
+        self.active = [int((length > j).sum()) for j in range(int(length[0]))]
+        self.start = np.concatenate([[0], np.cumsum(self.active)])
+        row = np.concatenate([np.arange(n) for n in self.active])
+        masks = np.array([given[i][0][j] for j, n in enumerate(self.active) for i in range(n)])
+        self.gold = np.array([given[i][1][j] for j, n in enumerate(self.active) for i in range(n)])
+        kinds, self.kind = np.unique(masks, return_inverse=True)
+        self.x = ((kinds[:, None] >> np.arange(len(FEATURES))) & 1).astype(np.float64)
+        self.row, self.weight = row, np.array([w for _, _, w in given])[row]
+        self.after = np.arange(self.active[0], len(row))  # every line but the first of a sequence
+        self.before = self.start[:-1][np.repeat(np.arange(len(self.active)), self.active)[self.after] - 1] + row[self.after]
+        self.last = self.start[length - 1] + np.arange(len(length))
+
+    def slope(self, w: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The weighted log-likelihood of the labels given the lines, and its gradient by emissions and transitions."""
+        e = (self.x @ w)[self.kind]
+        alpha, beta = e.copy(), np.zeros_like(e)
+        for j in range(1, len(self.active)):
+            n = self.active[j]
+            here, back = slice(self.start[j], self.start[j] + n), slice(self.start[j - 1], self.start[j - 1] + n)
+            alpha[here] += np.logaddexp(alpha[back, :1] + t[0], alpha[back, 1:] + t[1])
+        for j in range(len(self.active) - 1, 0, -1):
+            n = self.active[j]
+            here, back = slice(self.start[j], self.start[j] + n), slice(self.start[j - 1], self.start[j - 1] + n)
+            ahead = e[here] + beta[here]
+            beta[back] = np.logaddexp(t[:, 0] + ahead[:, :1], t[:, 1] + ahead[:, 1:])
+        z = np.logaddexp(alpha[self.last, 0], alpha[self.last, 1])
+        at = np.arange(len(e))
+        p = np.exp(alpha + beta - z[self.row][:, None])
+        value = float((self.weight * e[at, self.gold]).sum() - (self.weight[: self.active[0]] * z).sum())
+        rest = -p * self.weight[:, None]
+        rest[at, self.gold] += self.weight
+        by_kind = np.stack([np.bincount(self.kind, rest[:, y], len(self.x)) for y in (0, 1)], 1)
+        by_pair = np.zeros((2, 2))
+        b, a, weight = self.before, self.after, self.weight[self.after]
+        for x in (0, 1):
+            for y in (0, 1):
+                true = (self.gold[b] == x) & (self.gold[a] == y)
+                joint = np.exp(alpha[b, x] + t[x, y] + e[a, y] + beta[a, y] - z[self.row[a]])
+                by_pair[x, y] = (weight * (true - joint)).sum()
+                value += float((weight * true).sum() * t[x, y])
+        return value, self.x.T @ by_kind, by_pair
+
+
+def fit(sequences: list[tuple[list[int], list[int], float]], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> LineModel:
+    """Maximum conditional likelihood of weighted (features, labels) sequences, by Adam on the exact gradient (forward-backward)."""
+    total: Counter = Counter()
+    for masks, labels, weight in sequences:
+        for a in range(0, len(masks), PIECE):
+            total[tuple(masks[a : a + PIECE]), tuple(labels[a : a + PIECE])] += weight
+    laid = Sequences([(m, y, w) for (m, y), w in total.items()])
+    every = sum(total.values())
+    w, t = np.zeros((len(FEATURES), 2)), np.zeros((2, 2))
+    moments = [np.zeros(w.size + 4), np.zeros(w.size + 4)]
     for step in range(1, rounds + 1):
-        e = x @ w
-        alpha, beta = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        alpha[:, 0] = e[:, 0]
-        for j in range(1, longest):
-            alpha[:, j] = np.logaddexp(alpha[:, j - 1, :1] + t[0], alpha[:, j - 1, 1:] + t[1]) + e[:, j]
-        for j in range(longest - 2, -1, -1):
-            ahead = e[:, j + 1] + beta[:, j + 1]
-            beta[:, j] = np.where(here[:, j + 1, None], np.logaddexp(t[:, 0] + ahead[:, :1], t[:, 1] + ahead[:, 1:]), 0)
-        last = alpha[np.arange(n), length - 1]
-        z = np.logaddexp(last[:, 0], last[:, 1])
-        p = np.exp(alpha + beta - z[:, None, None]) * here[..., None]
-        truth = np.zeros_like(p)
-        truth[np.arange(n), :, gold] = here
-        slope_w = np.einsum("n,nlf,nlk->fk", weight, x, truth - p) / 200 - decay * w
-        slope_t = -decay * t
-        for a in (0, 1):
-            for b in (0, 1):
-                joint = np.exp(alpha[:, :-1, a] + t[a, b] + e[:, 1:, b] + beta[:, 1:, b] - z[:, None]) * here[:, 1:]
-                true = truth[:, :-1, a] * truth[:, 1:, b]
-                slope_t[a, b] += (weight[:, None] * (true - joint)).sum() / 200
-        slope = np.concatenate([slope_w.ravel(), slope_t.ravel()])
+        _, by_w, by_t = laid.slope(w, t)
+        slope = np.concatenate([(by_w / every - decay * w).ravel(), (by_t / every - decay * t).ravel()])
         moments = [0.9 * moments[0] + 0.1 * slope, 0.99 * moments[1] + 0.01 * slope**2]
         move = rate * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
-        w += move[: nf * 2].reshape(nf, 2)
-        t += move[nf * 2 :].reshape(2, 2)
+        w += move[: w.size].reshape(w.shape)
+        t += move[w.size :].reshape(2, 2)
     return LineModel(tuple(map(tuple, w.tolist())), tuple(map(tuple, t.tolist())))
 
 
-def text_lines(text: str, limit: int | None = None) -> tuple[list[int], list[int], int]:
+def line_labels(lines: list[np.ndarray], quality: list[int]) -> list[list[int]]:
+    """For each document (hashes of its lines, quality 1 or 0) the labels of its lines, by the documents that hold each line."""
+    kinds, kind = np.unique(np.concatenate(lines), return_inverse=True)
+    owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    once = np.unique(np.stack([kind, owner]), axis=1)
+    good = np.array(quality) == 1
+    shares = [np.bincount(once[0, side[once[1]]], minlength=len(kinds)) / max(1, side.sum()) for side in (good, ~good)]
+    label = np.where(shares[0] > shares[1], 0, np.where(shares[0] < shares[1], 1, -1))[kind]
+    label = np.where(label < 0, np.where(good[owner], 0, 1), label)
+    return [x.tolist() for x in np.split(label, np.cumsum([len(x) for x in lines])[:-1])]
+
+
+def examples(masks: list[list[int]], labels: list[list[int]], quality: list[int]) -> list[tuple[list[int], list[int], float]]:
+    """Training sequences with weights: the documents, either quality weighing the same in all, and each good one with a bad one within."""
+    good, bad = ([i for i, q in enumerate(quality) if q == side] for side in (1, 0))
+    out = [(masks[i], labels[i], 1 / len(side)) for side in (good, bad) for i in side]
+    for n, i in enumerate(good):
+        j, half = bad[n % len(bad)], (len(masks[i]) + 1) // 2
+        out.append(tuple(x[i][:half] + x[j] + x[i][half:] for x in (masks, labels)) + (0.5 / len(good),))
+    return out
+
+
+def text_lines(text: str) -> tuple[list[int], list[int], int]:
     """Features and word characters of the lines with a word, and how many of them equal an earlier line."""
     masks, weights, seen, repeats = [], [], set(), 0
     for line in text.split("\n"):
@@ -152,18 +201,22 @@ def text_lines(text: str, limit: int | None = None) -> tuple[list[int], list[int
         seen.add(line)
         masks.append(line_features(line, words, before))
         weights.append(sum(map(len, words)))
-        if limit and len(masks) >= limit:
-            break
     return masks, weights, repeats
 
 
+def held_out() -> Column:
+    """Whether the label of a doc_id is left for measuring."""
+    return F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
+
+
 def train(docs: DataFrame, labels: DataFrame, train_documents: int = TRAIN_DOCUMENTS) -> LineModel | None:
     """The CRF from docs(doc_id, text) and labels(doc_id, quality 0 or 1); None where a kind is missing.
 
-    A document is taken if a hash of its id is below the share that makes ``train_documents`` of its kind expected, and never
-    more than three times that number in all. What reaches the driver is bounded by that and ``TRAIN_LINES`` integers for each.
+    A document is taken if its label is not held out and a hash of its id is below the share that makes ``train_documents`` of its
+    kind expected, and never more than three times that number in all. What reaches the driver is bounded by that: two integers for
+    each line of those documents.
     """
-    known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").distinct()
+    known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).select("doc_id", "quality").distinct()
     sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
@@ -174,15 +227,20 @@ def train(docs: DataFrame, labels: DataFrame, train_documents: int = TRAIN_DOCUM
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [text_lines(t, TRAIN_LINES)[0] for t in strings(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.list_(pa.int64()))], ["quality", "masks"])
+            masks, lines = [], []
+            for t in strings(batch.column("text")):
+                masks.append(text_lines(t)[0])
+                lines.append([xxhash.xxh64_intdigest(x.strip()) - (1 << 63) for x in t.split("\n") if WORD.search(x)])
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(masks, pa.list_(pa.int64())), pa.array(lines, pa.list_(pa.int64()))], ["quality", "masks", "lines"])
 
     pool = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(taken), "doc_id").select(F.col("quality").cast("int").alias("quality"), "text")
-    rows = pool.mapInArrow(features, "quality int, masks array<long>").collect()
-    rows = sorted((r["masks"], r["quality"]) for r in rows if r["masks"])
-    if len({y for _, y in rows}) < 2:
+    rows = pool.mapInArrow(features, "quality int, masks array<long>, lines array<long>").toArrow().to_pylist()
+    rows = sorted((r["quality"], r["masks"], r["lines"]) for r in rows if r["masks"])
+    quality = [q for q, _, _ in rows]
+    if len(set(quality)) < 2:
         return None
-    return fit([m for m, _ in rows], [1 - y for _, y in rows])
+    masks = [m for _, m, _ in rows]
+    return fit(examples(masks, line_labels([np.array(x) for _, _, x in rows], quality), quality))
 
 
 def quality_rules(docs: DataFrame, model: LineModel | None, content_share: float = CONTENT_SHARE, id_columns: tuple[str, ...] = ("doc_id",), keep_text: bool = False) -> DataFrame:
