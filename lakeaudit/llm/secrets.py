@@ -1,12 +1,13 @@
 """Operator 6: secret scan, in DataFrame functions only.
 
-Patterns find assignments, access keys and hexadecimal keys. Besides, every token of ``TOKEN_CHARS`` or more characters is
-scored by two character Markov models (first order, over lower-cased letters, digits and one class for the rest): one of
-random strings and one of ordinary identifiers. If the log-likelihood ratio speaks for a random string and the token
-overlaps no pattern span, it is a span of kind ``markov``. Both models are trained from labelled samples: random strings are
-the values that the patterns find in about ``RANDOM_DOCUMENTS`` documents, ordinary identifiers the other tokens of about
-``PLAIN_DOCUMENTS`` documents, chosen by a hash of the text (the documented bound of the classifier). Every text is scanned
-whole.
+Patterns find assignments, access keys and hexadecimal keys. Besides, what stands between assignments is searched for tokens of
+``TOKEN_CHARS`` or more characters, and those that hold no access or hexadecimal key are scored by two character Markov models
+(first order, over lower-cased letters, digits and one class for the rest): one of random strings and one of ordinary
+identifiers. If the log-likelihood ratio speaks for a random string, the token is a span of kind ``markov``. Both models are
+trained from labelled samples: random strings are the values that the patterns find in about ``RANDOM_DOCUMENTS`` documents,
+ordinary identifiers the other tokens of about ``PLAIN_DOCUMENTS`` documents, chosen by a hash of the text (the documented bound
+of the classifier). Every text is scanned whole. The work on a text grows with its length and, for placing n spans, with n**1.5:
+running sums go by stretches of ``STRETCH``.
 
 Positions are code points, ends exclusive. Null text: empty, no spans. Without values or identifiers to learn from there are
 no markov spans. Repeated rows give repeated rows. Of the input only the id columns and the text are read for a scan;
@@ -16,6 +17,7 @@ no markov spans. Repeated rows give repeated rows. Of the input only the id colu
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,10 @@ KINDS = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))
 LEAST_VALUE = 6
 TOKEN_CHARS = 16
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{TOKEN_CHARS},}}"
+#: An assignment, or a token that ends where an assignment begins; the possessive run needs no stack, however long it is.
+ASSIGN_OR_TOKEN = rf"{ASSIGN}|(?=[A-Za-z0-9+/_=-]{{{TOKEN_CHARS}}})(?:(?!{ASSIGN})[A-Za-z0-9+/_=-]){{{TOKEN_CHARS},}}+"
 PLAIN_TOKEN = r"[A-Za-z0-9+/_=-]{6,}"
+STRETCH = 256
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 CLASSES = len(ALPHABET) + 1
@@ -41,21 +46,48 @@ LEAST_RATIO = 12.0
 LEAST_RATIO_PER_CHAR = 0.6
 
 
-def _located(text: str, found: str, pattern: str, kind: str, order: int) -> Column:
+SPANS = "array<struct<start:int,ord:int,kind:string,end:int,value:string>>"
+
+
+def _empty() -> Column:
+    return F.expr(f"cast(array() as {SPANS})")
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value found once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, joined: Callable[[Column, Column], Column]) -> Column:
+    """For each of the values (an array of int that has one) what the values before it come to, from 0. Appending copies an array, so
+    that is done within stretches, and for the stretches as a whole."""
+    grow = lambda acc, x: F.array_append(acc, joined(F.element_at(acc, -1), x))
+    within = lambda v: F.transform(_stretches(v), lambda part: F.aggregate(part, F.array(F.lit(0)), grow))
+
+    def moved(inner: Column) -> Column:
+        ahead = F.aggregate(inner, F.array(F.lit(0)), lambda acc, part: grow(acc, F.element_at(part, -1)))
+        return F.flatten(F.zip_with(inner, F.slice(ahead, 1, F.size(inner)), lambda part, off: F.transform(F.slice(part, 1, F.size(part) - 1), lambda x: joined(off, x))))
+
+    return _with(_with(values, within), moved)
+
+
+def _stretches(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(items), F.lit(STRETCH)), lambda a: F.slice(items, a, STRETCH))
+
+
+def _located(text: str, found: str, pattern: str, kind: Column | str, order: int) -> Column:
     """The matches in ``found`` (all matches of the pattern in the column text, in order) as structs with their places: what
     stands between matches tells how far apart they are."""
-    gaps = F.split(F.col(text), pattern, -1)
-    place = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<start:int,ord:int,kind:string,end:int,value:string>>)").alias("out"))
+    name = F.lit(kind)
+    gaps = F.transform(F.split(F.col(text), pattern, -1), lambda g: F.length(g))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), F.col(found), lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    before = lambda p: _running(F.transform(p, lambda x: x["gap"] + F.length(x["hit"])), lambda a, b: a + b)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("value"))
-        return F.struct(end.alias("pos"), F.array_append(acc["out"], span).alias("out"))
+    def span(x: Column, at: Column) -> Column:
+        start = at + x["gap"]
+        return F.struct(start.alias("start"), F.lit(order).alias("ord"), name.alias("kind"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("value"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), F.col(found), lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    spans = F.aggregate(pairs, place, step)["out"]
-    return F.when(F.size(found) > 0, spans).otherwise(place["out"])
+    return F.when(F.size(found) > 0, _with(pairs, lambda p: F.zip_with(p, before(p), span))).otherwise(_empty())
 
 
 def _sampled(docs: DataFrame, text: str, most: int, total: int, salt: str) -> DataFrame:
@@ -100,7 +132,8 @@ def _code(char: Column) -> Column:
 
 def _ratio(token: Column, table: list[float]) -> Column:
     """The log-likelihood ratio of a token."""
-    weights = F.transform(F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ","), lambda x: x.cast("double"))
+    # Literals alone make one constant, so that a pair is looked up and not parsed.
+    weights = F.array(*(F.lit(round(x, 6)) for x in table))
     codes = F.transform(F.split(F.lower(token), ""), _code)
     start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
 
@@ -115,23 +148,25 @@ def find_secrets(docs: DataFrame, table: list[float] | None, text_column: str =
     """docs with a column ``output``: struct<base, added>, arrays of struct<start, ord, kind, end, value> in order of start
     and kind; ``added`` are the markov spans. A column of that name is replaced."""
     text = f"__{output}_text"
-    found = {kind: f"__{output}_{kind}" for kind in ("assign", "access", "hex", "token")}
+    patterns = {"assign": ASSIGN_OR_TOKEN if table else ASSIGN, "access": ACCESS, "hex": HEX}
+    found = {kind: f"__{output}_{kind}" for kind in patterns}
     df = docs.withColumn(text, F.coalesce(F.col(text_column), F.lit("")))
-    df = df.withColumns({found[kind]: F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)) for kind, p in (*KINDS, ("token", TOKEN))})
-    spans = [_located(text, found[kind], p, kind, i) for i, (kind, p) in enumerate(KINDS)]
-    spans[0] = F.filter(spans[0], lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 1)) >= LEAST_VALUE)
-    base, added, tokens = f"__{output}_base", f"__{output}_added", f"__{output}_tokens"
+    df = df.withColumns({found[kind]: F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)) for kind, p in patterns.items()})
+    mixed, base, added = f"__{output}_mixed", f"__{output}_base", f"__{output}_added"
+    df = df.withColumn(mixed, _located(text, found["assign"], patterns["assign"], "assign", 0))
+    value = lambda s: F.regexp_extract(s["value"], f"^{ASSIGN}", 1)
+    assigned = F.filter(mixed, lambda s: F.length(value(s)) >= LEAST_VALUE)
+    spans = [assigned, *(_located(text, found[kind], patterns[kind], kind, i) for i, kind in ((1, "access"), (2, "hex")))]
     df = df.withColumn(base, F.array_sort(F.concat(*spans)))
-    empty = F.expr("cast(array() as array<struct<start:int,ord:int,kind:string,end:int,value:string>>)")
     if table is None:
-        df = df.withColumn(added, empty)
+        df = df.withColumn(added, _empty())
     else:
-        # Most tokens are ordinary: only texts with a random one need places.
-        random = lambda t: (_ratio(t, table) >= F.greatest(F.lit(LEAST_RATIO), F.length(t) * LEAST_RATIO_PER_CHAR))
-        df = df.withColumn(tokens, F.filter(F.col(found["token"]), random))
-        placed = F.filter(_located(text, found["token"], TOKEN, "markov", len(KINDS)), lambda s: F.array_contains(F.col(tokens), s["value"]) & ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        df = df.withColumn(added, F.when(F.size(tokens) > 0, placed).otherwise(empty)).drop(tokens)
-    return df.withColumn(output, F.struct(F.col(base).alias("base"), F.col(added).alias("added"))).drop(text, base, added, *found.values())
+        random = lambda t: _ratio(t, table) >= F.greatest(F.lit(LEAST_RATIO), F.length(t) * LEAST_RATIO_PER_CHAR)
+        bare = lambda s: (F.length(value(s)) == 0) & ~s["value"].rlike(f"{ACCESS}|{HEX}")
+        tokens = F.filter(mixed, lambda s: F.when(bare(s), random(s["value"])).otherwise(F.lit(False)))
+        as_markov = lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("ord"), F.lit("markov").alias("kind"), s["end"].alias("end"), s["value"].alias("value"))
+        df = df.withColumn(added, F.when(F.size(mixed) > 0, F.transform(tokens, as_markov)).otherwise(_empty()))
+    return df.withColumn(output, F.struct(F.col(base).alias("base"), F.col(added).alias("added"))).drop(text, mixed, base, added, *found.values())
 
 
 def joined(spans: Column) -> Column:
@@ -142,14 +177,19 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, table: list[float] | None, text_column: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """docs, every secret in the text replaced by the mask; spans that overlap become one mask. Null text stays null."""
     df = find_secrets(docs, table, text_column, "__secrets")
-    spans = F.array_sort(F.concat(F.col("__secrets.base"), F.col("__secrets.added")))
-    text = F.col(text_column)
-    start = F.struct(F.lit(0).alias("done"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        ahead = F.concat(acc["out"], text.substr(acc["done"] + 1, s["start"] - acc["done"]), F.lit(mask))
-        return F.struct(F.greatest(acc["done"], s["end"]).alias("done"), F.when(s["start"] < acc["done"], acc["out"]).otherwise(ahead).alias("out"))
-
-    whole = F.aggregate(F.col("__spans"), start, step, lambda acc: F.concat(acc["out"], text.substr(acc["done"] + 1, F.length(text) - acc["done"])))
+    spans = F.array_sort(F.transform(F.concat(F.col("__secrets.base"), F.col("__secrets.added")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    text, each = F.col(text_column), F.col("__spans")
+    # What is masked up to each span; a span that begins before that belongs to the mask before it.
+    done = _running(F.transform(each, lambda s: s["end"]), F.greatest)
+    cuts = F.filter(F.zip_with(each, done, lambda s, d: F.struct(d.alias("a"), s["start"].alias("b"))), lambda c: c["b"] >= c["a"])
+    # A piece is cut from a stretch of the text, so that no piece is looked for from the start of a long text.
+
+    def piece(part: Column) -> Column:
+        low = F.element_at(part, 1)["a"]
+        some = F.struct(low.alias("low"), text.substr(low + 1, F.element_at(part, -1)["b"] - low).alias("some"))
+        return _with(some, lambda x: F.array_join(F.transform(part, lambda c: F.concat(x["some"].substr(c["a"] - x["low"] + 1, c["b"] - c["a"]), F.lit(mask))), ""))
+
+    end = F.array_max(F.transform(each, lambda s: s["end"]))
+    whole = F.concat(_with(cuts, lambda every: F.array_join(F.transform(_stretches(every), piece), "")), text.substr(end + 1, F.length(text) - end))
     df = df.withColumn("__spans", spans).withColumn(text_column, F.when(F.size("__spans") > 0, whole).otherwise(text))
     return df.select(*docs.columns)
