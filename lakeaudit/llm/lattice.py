@@ -12,6 +12,9 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +24,7 @@ SPACE = "▁"
 #: Spaces and a word without ASCII punctuation; spaces and ASCII punctuation; spaces alone; any other white space.
 PRETOKEN = re.compile(r" *[^\s!-/:-@\[-`{-~]+| *[!-/:-@\[-`{-~]+| +|\s")
 UNKNOWN_NATS = 10
-#: Longer pre-tokens go through the scalar search, one position at a time.
+#: The trie of the pre-tokens up to this length is built level by level; the few that are longer are walked depth first.
 LONG = 32
 BASE = 0x9E3779B97F4A7C15
 NEVER = -(1 << 60)
@@ -65,6 +68,7 @@ class Lattice:
         self.unknown = int(self.scores.min()) - UNKNOWN_NATS * SCALE
         self.index = {p.replace(SPACE, " "): i for i, p in enumerate(v.pieces)}
         self.longest = max(map(len, v.pieces))
+        self.score_of = self.scores.tolist()
         self.power = np.array([pow(BASE, k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
         hashes = np.zeros(len(v.pieces), np.uint64)
         for i, p in enumerate(v.pieces):
@@ -106,13 +110,13 @@ class Lattice:
             out.best[rows], out.second[rows], out.counts[rows] = trie.best, trie.second, trie.counts
             if want_ids:
                 parts.append((rows, *trie.paths()))
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                forward, _, second, count, path = self._scalar(w)
-                out.best[i], out.second[i], out.counts[i] = forward[-1], second, count
-                if want_ids:
-                    got = self.expand(path)
-                    parts.append((np.array([i]), np.array(got, np.int32), np.array([len(got)])))
+        walk = _Walk(self)
+        for i in sorted((i for i, w in enumerate(words) if len(w) > LONG), key=words.__getitem__):
+            walk.to(words[i])
+            out.best[i], out.second[i], out.counts[i] = walk.best[-1], walk.second[-1], walk.count[-1]
+            if want_ids:
+                got = self.expand(walk.path())
+                parts.append((np.array([i]), np.array(got, np.int32), np.array([len(got)])))
         if want_ids:
             out.starts = np.concatenate([[0], np.cumsum(out.counts)])
             out.ids = np.zeros(int(out.starts[-1]), np.int32)
@@ -120,37 +124,22 @@ class Lattice:
                 out.ids[spread(out.starts[rows], lengths)] = ids
         return out
 
-    def edges(self, word: str) -> list[list[tuple[int, int, int]]]:
-        """For each end position: (start, piece or minus one minus the code of an unknown character, score)."""
-        out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(word) + 1)]
-        get, scores = self.index.get, self.scores
+    def edges(self, word: str, end: int) -> Iterator[tuple[int, int, int]]:
+        """What can end there, shortest first: (start, piece or minus one minus the code of an unknown character, score)."""
+        get, scores = self.index.get, self.score_of
+        for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
+            if (p := get(word[start:end])) is not None:
+                yield start, p, scores[p]
+            elif start == end - 1:
+                yield start, -1 - ord(word[start]), self.unknown
+
+    def nth_best(self, word: str, n: int) -> int:
+        """The score of the n-th best segmentation (NEVER if there are fewer); only as many positions as a piece is long are held."""
+        window: deque[list[int]] = deque([[0]], self.longest)
         for end in range(1, len(word) + 1):
-            for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
-                if (p := get(word[start:end])) is not None:
-                    out[end].append((start, p, int(scores[p])))
-            if not out[end] or out[end][0][0] != end - 1:
-                out[end].insert(0, (end - 1, -1 - ord(word[end - 1]), self.unknown))
-        return out
-
-    def _scalar(self, word: str):
-        """Forward scores of every position, the edges, the second best score, tokens and path of the best segmentation."""
-        edges, n = self.edges(word), len(word)
-        best, second, count, back = [0] + [NEVER] * n, [NEVER] * (n + 1), [0] * (n + 1), [None] * (n + 1)
-        for end in range(1, n + 1):
-            for start, piece, score in edges[end]:
-                x, y = best[start] + score, second[start] + score if second[start] > NEVER else NEVER
-                c = count[start] + (1 if piece >= 0 else len(chr(-1 - piece).encode()))
-                if x > best[end]:
-                    second[end], best[end], count[end], back[end] = max(best[end], y), x, c, (start, piece)
-                else:
-                    if x == best[end] and c < count[end]:
-                        count[end], back[end] = c, (start, piece)
-                    second[end] = max(second[end], x, y)
-        path, at = [], n
-        while at:
-            at, piece = back[at]
-            path.append(piece)
-        return best, edges, second[n], count[n], path[::-1]
+            near = (x + score for start, _, score in self.edges(word, end) for x in window[start - end])
+            window.append(heapq.nlargest(n, near))
+        return window[-1][n - 1] if len(window[-1]) >= n else NEVER
 
     def expand(self, path: list[int]) -> list[int]:
         """Piece indexes to ids; an unknown character to the ids of its bytes."""
@@ -163,7 +152,11 @@ class Lattice:
         """The n best segmentations as (score, ids), best first: A* from the end of the word back to its start. The forward
         scores are exact, so every path that is taken off the queue whole is the next best one. Of equal ones the one nearest the
         start goes on first: there can be very many, and none is left half way."""
-        forward, edges, _, _, first = self._scalar(word)
+        walk = _Walk(self)
+        walk.to(word)
+        forward, first = walk.best, walk.path()
+        # No more than the n best are wanted: what falls below the n-th best is not queued.
+        least = self.nth_best(word, n)
         queue = [(-forward[-1], len(word), 0, 0, None)]
         found, serial = [], 0
         while queue and len(found) < n:
@@ -175,9 +168,10 @@ class Lattice:
                     path = path[1]
                 found.append((behind, out))
                 continue
-            for start, piece, score in edges[at]:
-                serial += 1
-                heapq.heappush(queue, (-(forward[start] + behind + score), start, serial, behind + score, (piece, path)))
+            for start, piece, score in self.edges(word, at):
+                if forward[start] + behind + score >= least:
+                    serial += 1
+                    heapq.heappush(queue, (-(forward[start] + behind + score), start, serial, behind + score, (piece, path)))
         rest = [(s, p) for s, p in found if p != first][: n - 1]
         return [(s, self.expand(p)) for s, p in [(forward[-1], first), *rest]]
 
@@ -195,6 +189,45 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(before - starts, lengths)
 
 
+class _Walk:
+    """Long words in sorted order, as a depth-first walk of their trie: of each prefix of the present word the scores, and what the
+    next word shares with it is kept."""
+
+    def __init__(self, lattice: Lattice) -> None:
+        self.lattice, self.word = lattice, ""
+        self.best, self.second, self.count = array("q", [0]), array("q", [NEVER]), array("q", [0])
+        self.start, self.piece = array("q", [0]), array("q", [0])
+
+    def to(self, word: str) -> None:
+        shared, most = 0, min(len(word), len(self.word))
+        while shared < most and word[shared] == self.word[shared]:
+            shared += 1
+        best, second, count, back, kept = self.best, self.second, self.count, self.start, self.piece
+        for column in (best, second, count, back, kept):
+            del column[shared + 1 :]
+        for end in range(shared + 1, len(word) + 1):
+            b1, b2, k, at, what = NEVER, NEVER, 0, 0, 0
+            for start, piece, score in self.lattice.edges(word, end):
+                x, y = best[start] + score, second[start] + score if second[start] > NEVER else NEVER
+                c = count[start] + (1 if piece >= 0 else len(chr(-1 - piece).encode("utf-8", "surrogatepass")))
+                if x > b1:
+                    b1, b2, k, at, what = x, max(b1, y), c, start, piece
+                else:
+                    if x == b1 and c < k:
+                        k, at, what = c, start, piece
+                    b2 = max(b2, x, y)
+            for column, value in ((best, b1), (second, b2), (count, k), (back, at), (kept, what)):
+                column.append(value)
+        self.word = word
+
+    def path(self) -> list[int]:
+        out, at = [], len(self.word)
+        while at:
+            out.append(self.piece[at])
+            at = self.start[at]
+        return out[::-1]
+
+
 class _Trie:
     """Sorted distinct words as a trie, held by depth: node k of depth d is the k-th new prefix of d characters."""
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lakeaudit.llm import embeddings, jaccard_join, langid, licenses, mixing, quality, secrets, sentencepiece, substring, token_counts
 from lakeaudit.llm.lattice import Vocabulary
 
-MODEL = token_counts.DEFAULT_MODEL
+#: The vocabulary that the queries use.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Of the ids, those with this remainder of crc32 modulo FOLDS are held out.
 FOLDS = 5
 
@@ -24,7 +25,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece.encode(table(spark, sf_dir, "documents"), Vocabulary.load(MODEL))
+    vocabulary = Vocabulary.load(MODEL)
+    encoded = sentencepiece.encode(table(spark, sf_dir, "documents"), vocabulary, id_columns=("doc_id", "text"), all_ids=True, verify=False)
+    decoded = sentencepiece.decode(encoded, vocabulary)
+    equal = F.when(F.col("ids").isNotNull(), F.col("decoded") == F.col("text")).alias("decoded_equal")
+    return decoded.select("doc_id", "n_tokens", "ids", "nbest_scores", "nbest_tokens", "nbest_ids", equal)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +66,9 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("spans")
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    parts = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"].cast("string"), s["end"].cast("string"), s["edits"].cast("string")))
+    return found.withColumn("spans", F.concat_ws(",", parts))
 
 
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,41 +34,42 @@ def merge_best(places: list[list[tuple[int, list[int]]]], n: int) -> list[tuple[
     return kept
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, n_best: int = 4, id_columns: tuple[str, ...] = ("doc_id",), text_column: str = "text", all_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, n_best: int = 4, id_columns: tuple[str, ...] = ("doc_id",), text_column: str = "text", all_ids: bool = False, verify: bool = True) -> DataFrame:
     """(id columns, n_tokens long, ids array<int>, nbest_scores array<double>, nbest_tokens array<long>, decoded_equal
-    boolean). ids is the best segmentation; the N best follow as natural-log scores and token counts, best first, fewer than
+    boolean if verify). ids is the best segmentation; the N best follow as natural-log scores and token counts, best first, fewer than
     N where a text has fewer segmentations. decoded_equal: the ids were decoded and gave the text back. all_ids adds
     nbest_ids array<array<int>>.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary file, whatever the corpus
     keys = [f"k{i}" for i in range(len(id_columns))]
-    fields = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_()]
-    names = ["n_tokens", "ids", "nbest_scores", "nbest_tokens", "decoded_equal"]
+    columns = {"n_tokens": (pa.int64(), "long"), "ids": (pa.list_(pa.int32()), "array<int>"), "nbest_scores": (pa.list_(pa.float64()), "array<double>"), "nbest_tokens": (pa.list_(pa.int64()), "array<long>")}
+    if verify:
+        columns["decoded_equal"] = (pa.bool_(), "boolean")
     if all_ids:
-        fields, names = [*fields, pa.list_(pa.list_(pa.int32()))], [*names, "nbest_ids"]
+        columns["nbest_ids"] = (pa.list_(pa.list_(pa.int32())), "array<array<int>>")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(shared.value)
         for batch in slices(batches):
-            rows = _encode_slice(lattice, strings(batch.column("text")), n_best, all_ids)
-            columns = [pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(rows, fields, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *columns], [*keys, *names])
+            got = _encode_slice(lattice, strings(batch.column("text")), n_best, all_ids, verify)
+            made = [got[name] if isinstance(got[name], pa.Array) else pa.array(got[name], kind) for name, (kind, _) in columns.items()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *made], [*keys, *columns])
 
     slim = docs.select(*(F.col(c).alias(k) for c, k in zip(id_columns, keys, strict=True)), F.col(text_column).alias("text"))
     kinds = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(id_columns, keys, strict=True))
-    more = ", nbest_ids array<array<int>>" if all_ids else ""
-    out = slim.mapInArrow(run, f"{kinds}, n_tokens long, ids array<int>, nbest_scores array<double>, nbest_tokens array<long>, decoded_equal boolean{more}")
+    out = slim.mapInArrow(run, ", ".join([kinds, *(f"{name} {kind}" for name, (_, kind) in columns.items())]))
     return out.withColumnsRenamed(dict(zip(keys, id_columns, strict=True)))
 
 
-def _encode_slice(lattice: Lattice, texts: list[str | None], n: int, all_ids: bool) -> list:
+def _encode_slice(lattice: Lattice, texts: list[str | None], n: int, all_ids: bool, verify: bool = True) -> dict:
     words = [pretokens(t) if t else [] for t in texts]
     distinct = list(dict.fromkeys(w for ws in words for w in ws))
     index = dict(zip(distinct, range(len(distinct)), strict=True))
     got = lattice.segment(distinct, want_ids=True)
     gaps = np.where(got.second > NEVER, got.best - got.second, 1 << 60)
     searched: dict[int, list[tuple[int, list[int]]]] = {}
-    counts, flats, offsets, scores, tokens, equal, every = [], [], [0], [], [], [], []
+    counts, flats, offsets, scores, tokens, equal = [], [], [0], [], [], []
+    ways, way_ends, text_ends = [], [0], [0]
     for text, ws in zip(texts, words, strict=True):
         at = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
         lengths = got.counts[at]
@@ -80,7 +81,7 @@ def _encode_slice(lattice: Lattice, texts: list[str | None], n: int, all_ids: bo
             scores.append([])
             tokens.append([])
             equal.append(None)
-            every.append([])
+            text_ends.append(text_ends[-1])
             continue
         gap = gaps[at]
         if len(gap) > n - 1:
@@ -98,20 +99,25 @@ def _encode_slice(lattice: Lattice, texts: list[str | None], n: int, all_ids: bo
         best, size = int(got.best[at].sum()), len(ids)
         scores.append([(best - loss) / SCALE for loss, _ in merged])
         tokens.append([size + sum(len(o[i][1]) - len(o[0][1]) for o, i in zip(options, pick, strict=True)) for _, pick in merged])
-        equal.append(lattice.decode(ids.tolist()) == text)
+        if verify:
+            equal.append(lattice.decode(ids.tolist()) == text)
         if all_ids:
             starts = np.concatenate([[0], np.cumsum(lengths)])
-            ways = []
             for _, pick in merged:
-                out, done = [], 0
+                pieces, done = [], 0
                 for j, o, i in zip(near.tolist(), options, pick, strict=True):
-                    out += ids[done : starts[j]].tolist() + o[i][1]
+                    pieces += [ids[done : starts[j]], np.array(o[i][1], np.int32)]
                     done = starts[j + 1]
-                ways.append(out + ids[done:].tolist())
-            every.append(ways)
-    flat = np.concatenate(flats) if flats else np.empty(0, np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array([t is None for t in texts], pa.bool_()))
-    return [counts, lists, scores, tokens, equal, *([every] if all_ids else [])]
+                ways += [*pieces, ids[done:]]
+                way_ends.append(way_ends[-1] + sum(map(len, pieces)) + len(ids) - done)
+            text_ends.append(text_ends[-1] + len(merged))
+    nulls = pa.array([t is None for t in texts], pa.bool_())
+    join = lambda parts: pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32), pa.int32())
+    out = {"n_tokens": counts, "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), join(flats), mask=nulls), "nbest_scores": scores, "nbest_tokens": tokens, "decoded_equal": equal}
+    if all_ids:
+        each = pa.ListArray.from_arrays(pa.array(way_ends, pa.int32()), join(ways))
+        out["nbest_ids"] = pa.ListArray.from_arrays(pa.array(text_ends, pa.int32()), each)
+    return out
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_column: str = "ids", output: str = "decoded") -> DataFrame:

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from lakeaudit.llm.lattice import Vocabulary, lattice_of, pretokens
 from lakeaudit.llm.text import slices, strings
 
-DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Counts that a task keeps from slice to slice; beyond it the cache starts anew (counts are found again, none is lost).
 CACHE = 300_000
 

@@ -107,7 +107,7 @@ def test_counts_are_those_of_the_encoding(docs):
             assert lattice.decode(ids) == texts[r["doc_id"]]
     sample = rows[:20]
     for r in sample:
-        assert r["n_tokens"] == sum(lattice._scalar(w)[3] for w in pretokens(texts[r["doc_id"]]))
+        assert r["n_tokens"] == sum(len(lattice.n_best(w, 1)[0][1]) for w in pretokens(texts[r["doc_id"]]))
 
 
 def test_n_best_of_a_text():
@@ -116,7 +116,7 @@ def test_n_best_of_a_text():
     words = pretokens(text)
     every = [sorted(((s, tuple(p)) for s, p in brute_segmentations(lattice, w)), key=lambda x: -x[0]) for w in words]
     want = sorted((sum(s for s, _ in pick) for pick in itertools.product(*every)), reverse=True)[:5]
-    _, _, scores, _, _ = sentencepiece._encode_slice(lattice, [text], 5, False)
+    scores = sentencepiece._encode_slice(lattice, [text], 5, False)["nbest_scores"]
     assert [round(s * SCALE) for s in scores[0]] == want
 
 
