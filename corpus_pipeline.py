@@ -4,8 +4,8 @@
 more) one document stays. 3. Secrets in the texts are masked. 4. Sources are mixed to their target weights: a document
 appears as often as the mix takes it. 5. Texts are encoded.
 
-All stages but the last return the columns of documents. Null texts fail the quality rules. Identical rows are one document
-to stage 2. Extra columns of the input do not pass the first stage.
+All stages but the last return the columns of documents. Null texts fail the quality rules. Rows of one id and
+text are one document to stage 2. Extra columns of the input do not pass the first stage.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     hash_ = F.coalesce("text_hash", F.lit(0).cast("long")).alias("hash")
     kept = jaccard_join.jaccard_join(docs).where("kept").select(F.struct("doc_id", hash_).alias("key")).distinct()
     rows = docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("key"))
-    return rows.join(kept, "key").dropDuplicates(["key"]).select(*COLUMNS)
+    # Rows of one id and text may differ in the other columns: the first by those stays, the same one in each run.
+    first = F.min(F.struct("lang", "source", "n_chars", "text")).alias("row")
+    return rows.join(kept, "key").groupBy("key").agg(first).select("key.doc_id", "row.*").select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -210,8 +210,9 @@ def _candidates(slim: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Edges (a, b) between nodes whose sketches agree in some bucket."""
 
     def counted(level: DataFrame) -> DataFrame:
-        """The rows in buckets of two or more, with the bucket's size."""
-        sizes = level.groupBy("p").agg(F.count("*").alias("size")).where("size > 1")
+        """The rows in buckets of two or more, with the bucket's size. The sizes are written, so that both sides of the join are
+        shuffles as they are, and a bucket of very many rows is split among tasks at run time."""
+        sizes = durable(level.groupBy("p").agg(F.count("*").alias("size")).where("size > 1"))
         return durable(level.join(sizes, "p"))
 
     level = counted(classes.select("node", F.explode("steps").alias("p")))

@@ -1,7 +1,7 @@
 """Operator 7: mixing sources to target weights by systematic sampling.
 
 Every document of a source has the same number of expected copies, the source's target over its size. Documents are laid
-out by (source, size, hash of the id, id); the expected copies are prefix-summed within the source, one random offset is
+out by (source, size, hash of the id, id, hash of the text); the expected copies are prefix-summed within the source, one random offset is
 added, and a document is emitted once for each whole number that its stretch of the sum crosses. As neighbours in this
 order are alike in size, the words taken come near the target. All sums are exact (multiples of 2**-32), so that neither
 partitioning nor a rerun changes them.
@@ -10,11 +10,13 @@ The prefix sums are distributed: rows are range-partitioned, so that a hot sourc
 partitions (one row for each partition and source) are accumulated, and the rest is a window within a partition.
 
 Null text: size 0. Null source: a source of its own, last in order. A source of size 0 has target 0 and no copies. Repeated
-rows are separate documents with copies of their own. A null id is ordered first. Empty table: empty result.
+rows are separate documents with copies of their own. A null id is ordered by the hash of its text. Empty table: empty result.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,21 +78,24 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """(id, source, size, source_size, target, copies, taken), a row for each row of docs. Sources in code-point order, null
     last, have the weights in turn; the targets share the total size, and none is over ``most`` times its source's size."""
     # The texts are read once; what goes on is three small columns.
-    slim = durable(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size")))
+    slim = durable(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.xxhash64(text_column).alias("hash"), word_count(F.col(text_column)).alias("size")))
     out = _copies(slim, weights, most, seed).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(F.col("id").alias(id_column), F.col("source").alias(source_column), "size", "source_size", "target", "copies", "taken")
 
 
 def mixed_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
     """The rows of docs, each as often as ``mix_sources`` takes it. Rows of equal id, source and text hash share their copies out:
-    the mix counts them, and which of them stands for a copy makes no difference unless further columns differ."""
+    the mix counts them, and the first by their columns come first."""
     held = F.struct(*docs.columns)
     slim = durable(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.xxhash64(text_column).alias("hash"), word_count(F.col(text_column)).alias("size")))
     copies = _copies(slim, weights, most, seed).groupBy(F.col("id").alias("i"), F.col("source").alias("s"), F.col("hash").alias("h")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    # Written, so that both sides of the join are shuffles as they are, and a key of very many rows is split among tasks at run time.
+    copies = durable(copies.where("copies > 0"))
     rows = docs.select(held.alias("row"), F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.xxhash64(text_column).alias("hash"))
-    rows = rows.join(copies.where("copies > 0"), F.col("id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("hash") == F.col("h")))
-    # Most keys have one row and need no place among its like.
-    place = F.row_number().over(W.partitionBy("i", "s", "h").orderBy(F.lit(1)))
+    rows = rows.join(copies, F.col("id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("hash") == F.col("h")))
+    # Most keys have one row and need no place among its like; the others are numbered by their columns, the same way in each run.
+    ordered = [f"row.`{f.name}`" for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    place = F.row_number().over(W.partitionBy("i", "s", "h").orderBy(*ordered))
     one = rows.where("rows = 1").withColumn("n", F.col("copies"))
     more = rows.where("rows > 1").withColumn("place", place).withColumn("n", F.floor(F.col("copies") * F.col("place") / F.col("rows")) - F.floor(F.col("copies") * (F.col("place") - 1) / F.col("rows"))).drop("place")
     every = one.unionByName(more).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
@@ -106,6 +111,6 @@ def _copies(slim: DataFrame, weights: tuple[int, ...], most: int, seed: str) ->
     table = durable(targets(ranked.withColumn("weight", turn), most).select(F.col("source").alias("of_source"), "source_order", "source_size", "target"))
     rows = slim.join(table, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumns({"expected": F.round(ratio * float(UNIT)).cast("long"), "tie": F.md5(F.col("id").cast("string").cast("binary"))})
+    rows = rows.withColumns({"expected": F.round(ratio * float(UNIT)).cast("long"), "tie": F.md5(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("text:"), F.col("hash").cast("string"))).cast("binary"))})
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("long")
-    return systematic_copies(rows, "source_order", "expected", ["size", "tie", "id"], drawn).drop("source_order", "expected", "tie")
+    return systematic_copies(rows, "source_order", "expected", ["size", "tie", "id", "hash"], drawn).drop("source_order", "expected", "tie")

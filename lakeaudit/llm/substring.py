@@ -1,10 +1,12 @@
 """Operator 10: substring deduplication by seed and extend.
 
 Seeds: of every ``LENGTH`` consecutive words, winnowing selects one run of ``SEED`` words (the leftmost of least hash), which depends on
-those words only; so equal passages select equal seeds. Documents are joined on their seeds. Extension: a seed stands for the
-stretch of text whose windows of ``LENGTH`` words selected it. Where all stretches of a seed are equal, the later documents' ones
-are repeats as they are. Where they differ, equal stretches are taken together, and the first of each kind is resolved
-window by window on both sides of the seed. Runs of repeated windows are joined to maximal repeats: the words removed.
+those words only; so equal passages select equal seeds. Documents are joined on their seeds. A seed stands for the stretch of
+text whose windows of ``LENGTH`` words selected it. Where all stretches of a seed are equal, or some are, the later documents' ones
+are repeats as they are. The first stretch of each kind is extended word by word to the left and to the right of the seed, against
+the seed's first place in the corpus; the windows within what agrees are repeats. Windows that reach beyond it agree with no window
+of that first place, and are held against each other by their hashes. Runs of repeated windows are joined to maximal repeats: the
+words removed.
 
 A window counts as repeated if its words also start in a document with a smaller id. Texts equal to that of a smaller id are
 settled beforehand (all words go, if there is a window), so that large groups of copies travel as one row each.
@@ -17,7 +19,7 @@ columns are read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,40 +103,88 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     described = durable(slim.mapInArrow(describe, f"id {kind}, t1 long, t2 long, n_words long, sha string, seeds array<struct<h: bigint, b: bigint, s: int, n: int>>"))
     rows = described.select("id", "t1", "t2", "n_words", "sha")
-    firsts = rows.where("id is not null and n_words > 0").groupBy("t1", "t2").agg(F.min("id").alias("first_id"))
+    # What is joined to rows by a key that very many may share is written first: both sides of the join are then shuffles as they are, and
+    # such a key is split among tasks at run time.
+    firsts = durable(rows.where("id is not null and n_words > 0").groupBy("t1", "t2").agg(F.min("id").alias("first_id")))
 
     own = described.where(F.col("id").isNotNull() & (F.size("seeds") > 0)).join(firsts.withColumnRenamed("first_id", "id"), ["t1", "t2", "id"], "left_semi")
     seeds = own.select("id", "t1", F.inline("seeds"))
     stats = seeds.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("b").alias("b1"), F.max("b").alias("b2"))
-    stats = stats.where("low < high").select("h", "low", (F.col("b1") < F.col("b2")).alias("differ"))
+    stats = durable(stats.where("low < high").select("h", "low", (F.col("b1") < F.col("b2")).alias("differ")))
     joined = durable(seeds.join(stats, "h"))
 
     alike = joined.where("not differ and id > low").select("id", "t1", "s", F.col("n").alias("n"))
     kinds = joined.where("differ")
-    lowest = kinds.groupBy("h", "b").agg(F.min("id").alias("first"))
+    lowest = durable(kinds.groupBy("h", "b").agg(F.min("id").alias("first")))
     kinds = durable(kinds.select("h", "b", "id", "t1", "s", "n").join(lowest, ["h", "b"]))
     later = kinds.where("id > first").select("id", "t1", "s", "n")
 
-    # The windows of the first stretch of each kind, found again in the texts.
-    open_ = kinds.where("id = first").groupBy("id", "t1").agg(F.sort_array(F.collect_set(F.struct("s", "n"))).alias("spans"))
+    # The words of the first stretch of each kind, found again in the texts.
+    open_ = kinds.where("id = first").groupBy("id", "t1").agg(F.sort_array(F.collect_set(F.struct("s", "n", "h"))).alias("spans"))
     wanted = joined.select("id", "t1").distinct().join(open_, ["id", "t1"], "left")
     texts = durable(slim.join(wanted, ["id", "t1"]).select("id", "t1", "t2", "text", "spans"))
 
-    def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHash(), Powers()
+    def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
         for batch in slices(batches):
             hashes.trim()
-            for id_, t1, text, spans in zip(batch.column("id").to_pylist(), batch.column("t1").to_pylist(), strings(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
+            at, cuts, rows = [], [], []
+            for k, (text, spans) in enumerate(zip(strings(batch.column("text")), batch.column("spans").to_pylist(), strict=True)):
                 ids = hashes.ids(WORD.findall(text or ""))
-                at = np.concatenate([np.arange(s["s"], s["s"] + s["n"]) for s in spans])
-                at = at[at + length <= len(ids)]
-                w = powers.spans(powers.running(ids), at, at + length).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array([id_] * len(at), batch.schema.field("id").type), pa.array(np.full(len(at), t1)), pa.array(at.astype(np.int32))], ["w", "id", "t1", "s"])
-
-    single = texts.where("spans is not null").select("id", "t1", "text", "spans").mapInArrow(windows, f"w long, id {kind}, t1 long, s int")
+                grams = shingle_hashes(ids, seed)
+                for x in spans:
+                    if x["s"] + x["n"] + length - 1 > len(ids):
+                        continue  # another text of the same id and hash
+                    at.append(k)
+                    cuts.append(ids[x["s"] : x["s"] + x["n"] + length - 1])
+                    rows.append((x["h"], x["s"], int(grams[x["s"] : x["s"] + length - seed + 1].argmin())))
+            if not rows:
+                continue
+            h, s, o = (np.array(c) for c in zip(*rows, strict=True))
+            ends = np.concatenate([[0], np.cumsum([len(c) for c in cuts])])
+            words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cuts).astype(np.int64)))
+            along = [batch.column(c).take(pa.array(at)) for c in ("id", "t1")]
+            yield pa.RecordBatch.from_arrays([pa.array(h), *along, pa.array(s, pa.int32()), pa.array(o, pa.int32()), words], ["h", "id", "t1", "s", "o", "words"])
+
+    single = texts.where("spans is not null").select("id", "t1", "text", "spans").mapInArrow(contexts, f"h long, id {kind}, t1 long, s int, o int, words array<bigint>")
     single = durable(single)
-    least = single.groupBy("w").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w", "low")
-    hits = single.join(least, "w").where("id > low").select("id", "t1", "s", F.lit(1).alias("n"))
+    first = F.min(F.struct("id", "t1", "s", "o", "words")).alias("first")
+    reps = durable(single.groupBy("h").agg(first, F.count("*").alias("kinds")).where("kinds > 1").select("h", F.col("first.id").alias("r_id"), F.col("first.o").alias("r_o"), F.col("first.words").alias("r_words")))
+
+    def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places, offsets = (batch.column(c).to_numpy() for c in ("s", "o"))
+            r_offsets, later = batch.column("r_o").to_numpy(), batch.column("later").to_numpy(zero_copy_only=False)
+            words, r_words = (_lists(batch.column(c)) for c in ("words", "r_words"))
+            at, s, n, w = [], [], [], []
+            for k in range(batch.num_rows):
+                mine, o = words(k), int(offsets[k])
+                low, high = agreeing(mine, o, r_words(k), int(r_offsets[k]), length)
+                if later[k] and low < high:
+                    at.append([k])
+                    s.append([places[k] + low])
+                    n.append([high - low])
+                    w.append([0])
+                # The windows of this stretch that the first place does not have.
+                rest = np.concatenate([np.arange(low), np.arange(high, len(mine) - length + 1)])
+                if len(rest):
+                    at.append(np.full(len(rest), k))
+                    s.append(places[k] + rest)
+                    n.append(np.zeros(len(rest)))
+                    w.append(powers.spans(powers.running(mine.astype(np.uint64)), rest, rest + length).astype(np.int64))
+            if at:
+                along = [batch.column(c).take(pa.array(np.concatenate(at).astype(np.int64))) for c in ("id", "t1")]
+                yield pa.RecordBatch.from_arrays([*along, *(pa.array(np.concatenate(x).astype(t)) for x, t in ((s, np.int32), (n, np.int32), (w, np.int64)))], ["id", "t1", "s", "n", "w"])
+
+    pairs = single.join(reps, "h").select("id", "t1", "s", "o", "words", "r_o", "r_words", (F.col("id") > F.col("r_id")).alias("later"))
+    extended = durable(pairs.mapInArrow(extend, f"id {kind}, t1 long, s int, n int, w long"))
+    rest = extended.where("n = 0")
+    least = durable(rest.groupBy("w").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w", "low"))
+    hits = rest.join(least, "w").where("id > low").select("id", "t1", "s", F.lit(1).alias("n"))
+    hits = hits.unionByName(extended.where("n > 0").select("id", "t1", "s", "n"))
 
     spans = alike.unionByName(later).unionByName(hits).groupBy("id", "t1").agg(F.sort_array(F.collect_set(F.struct("s", "n"))).alias("hit"))
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -166,6 +216,24 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
 
 
+def _lists(column: pa.Array) -> Callable[[int], np.ndarray]:
+    """The lists of a column of whole numbers, by row."""
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return lambda k: values[ends[k] : ends[k + 1]]
+
+
+def agreeing(mine: np.ndarray, o: int, other: np.ndarray, p: int, length: int) -> tuple[int, int]:
+    """Two stretches of word hashes with their seed at o and p: extended from the seed to the left and to the right as far as the words
+    agree. The windows of ``mine`` within that, as (first, last + 1); (0, 0) if there is none."""
+    left, right = min(o, p), min(len(mine) - o, len(other) - p)
+    differ = np.flatnonzero(mine[o - left : o][::-1] != other[p - left : p][::-1])
+    left = int(differ[0]) if len(differ) else left
+    differ = np.flatnonzero(mine[o : o + right] != other[p : p + right])
+    right = int(differ[0]) if len(differ) else right
+    low, high = max(0, o - left), min(len(mine), o + right) - length + 1
+    return (low, high) if low < high else (0, 0)
+
+
 def maximal(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans that overlap or touch, joined."""
     out: list[tuple[int, int]] = []

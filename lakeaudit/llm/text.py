@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -91,29 +93,22 @@ def strings(column: pa.Array | pa.ChunkedArray) -> list[str | None]:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where that is unset. A checkpoint hands
-    the inferred constraints of its plan on, and in a loop they grow with every round until planning takes longer than the
-    work; so they are not inferred here.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    key = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, before)
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
+    """The rows of df, written as a table in the shared folder and read again: a lost executor costs no recomputation, what numbers or
+    lays out rows is done once, and plans do not grow. The tables go with the folder."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one serves a local master,
+    whose tasks run on this machine; on a cluster it is an error."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-tables-")
         context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
+    return folder
