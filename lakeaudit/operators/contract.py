@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from lakeaudit.sources import schemas
 #: The transaction types.
 TYPES = ("CASH_IN", "CASH_OUT", "DEBIT", "PAYMENT", "TRANSFER")
 METRICS = ("duplicate_key_count", "empty_key_count", "null_count", "invalid_source_count", "invalid_type_count", "invalid_target_count", "invalid_formula_count", "missing_lineage_count")
-#: Derived columns are not among those that must not be null.
-REQUIRED = [c for c in TRAINING_COLUMNS if not c.endswith(("_delta", "_residual"))]
+#: None of the columns may be null, the derived ones included: a null one would pass the comparison with its formula.
+REQUIRED = TRAINING_COLUMNS
 
 
 class ContractError(ValueError):
@@ -25,28 +26,53 @@ class ContractError(ValueError):
 
 @dataclass(frozen=True)
 class Contract:
-    """What the table must be. The contract checks itself first (Q9)."""
+    """What the table must be. The contract checks itself first (Q9): its names are identifiers and unique, its sets are parts of the
+    table or apart from each other as they must be, and its epoch is in UTC."""
 
     source: str
+    relation: str = "ml.training_transactions"
+    lineage_relation: str = "core.fct_transactions"
+    replay_epoch: str = "2026-01-01T00:00:00Z"
     schema: T.StructType = schemas.TRAINING
     types: tuple[str, ...] = TYPES
     key: tuple[str, ...] = ("source", "event_id")
     target: str = "is_fraud"
     prohibited: tuple[str, ...] = ("is_flagged_fraud", "origin_account", "destination_account")
+    structural: tuple[str, ...] = ("source", "event_time", "step", "is_fraud", "transaction_type")
+    non_features: tuple[str, ...] = ("source", "event_id", "event_time", "event_date", "step", "is_fraud")
+    audit_candidates: tuple[str, ...] = ("origin_amount_residual", "destination_amount_residual")
 
     def __post_init__(self) -> None:
         names = self.schema.fieldNames()
-        for what, values in (("columns", names), ("types", self.types), ("key", self.key), ("prohibited columns", self.prohibited)):
+        sets = {"columns": names, "types": self.types, "key": self.key, "prohibited columns": self.prohibited, "non-features": self.non_features, "audit candidates": self.audit_candidates}
+        for what, values in sets.items():
             if len(set(values)) != len(values):
                 raise ContractError(f"the {what} are not unique")
-        if bad := [n for n in [*names, *self.prohibited] if not re.fullmatch(r"[a-z_][a-z0-9_]*", n)]:
-            raise ContractError(f"no identifiers: {bad}")
-        if missing := {*self.key, self.target} - set(names):
-            raise ContractError(f"key and target must be columns: {sorted(missing)}")
-        if both := set(names) & set(self.prohibited):
-            raise ContractError(f"expected and prohibited: {sorted(both)}")
-        if not self.source.strip() or not self.types:
-            raise ContractError("a source and types are needed")
+            if what != "types" and (bad := [n for n in values if not re.fullmatch(r"[a-z_][a-z0-9_]*", n)]):
+                raise ContractError(f"no identifiers among the {what}: {bad}")
+        for what in ("columns", "types", "key"):
+            if not sets[what]:
+                raise ContractError(f"the {what} are empty")
+        for relation in (self.relation, self.lineage_relation):
+            if not re.fullmatch(r"[A-Za-z_]\w*\.[A-Za-z_]\w*", relation, re.ASCII):
+                raise ContractError(f"not database.table: {relation}")
+        try:
+            epoch = datetime.fromisoformat(self.replay_epoch)
+        except ValueError as e:
+            raise ContractError(f"no instant: {self.replay_epoch}") from e
+        if epoch.utcoffset() != timedelta(0):
+            raise ContractError("the replay epoch is not in UTC")
+        within = {"key": self.key, "target": (self.target,), "structural columns": self.structural, "non-features": self.non_features, "audit candidates": self.audit_candidates}
+        for what, values in within.items():
+            if missing := set(values) - set(names):
+                raise ContractError(f"{what} must be columns: {sorted(missing)}")
+        for what, one, two in (("columns and prohibited columns", names, self.prohibited), ("prohibited columns and non-features", self.prohibited, self.non_features), ("non-features and audit candidates", self.non_features, self.audit_candidates)):
+            if both := set(one) & set(two):
+                raise ContractError(f"both {what}: {sorted(both)}")
+        if features := {*self.key, self.target} - set(self.non_features):
+            raise ContractError(f"key and target are no features: {sorted(features)}")
+        if not self.source.strip():
+            raise ContractError("a source is needed")
 
     def check_schema(self, rows: DataFrame) -> None:
         """Names, types and order must be exact; prohibited columns must be absent (Q7, Q10). Without time zone counts as UTC."""

@@ -74,31 +74,36 @@ LABELS = LandingConfig("labels", schemas.LABEL, rules.label_reason)
 
 @dataclass(frozen=True)
 class Landed:
-    headers: DataFrame  # inspected messages
-    decoded: DataFrame  # those with a fine header, with record and reason
+    """Messages with their header columns, ``record`` (null where the header is bad) and ``quarantine_reason`` (null if valid; header
+    reasons come before those of the record). One row set: each message is inspected and decoded once, whatever is made of it."""
+
+    judged: DataFrame
     config: LandingConfig
 
+    @property
+    def decoded(self) -> DataFrame:
+        """The messages with a fine header."""
+        return self.judged.where("record is not null")
+
     def valid(self) -> DataFrame:
-        """Record fields with lineage, and the date."""
+        """Record fields with lineage, and the date."""
         c = self.config
-        rows = self.decoded.where("quarantine_reason is null")
         lineage = [F.col(k).alias(f"kafka_{k}") for k in ("topic", "partition", "offset", "timestamp")]
-        rows = rows.select("record.*", "message_schema_id", *lineage)
+        rows = self.judged.where("quarantine_reason is null").select("record.*", "message_schema_id", *lineage)
         return rows.withColumn(c.date_column, F.to_date(c.time_column)) if c.date_column else rows
 
     def quarantine(self) -> DataFrame:
-        """Messages of both kinds of failure, with their bytes."""
-        parts = [df.where("quarantine_reason is not null") for df in (self.headers, self.decoded)]
-        return _quarantined(parts[0]).unionByName(_quarantined(parts[1]), allowMissingColumns=True)
+        """Messages of both kinds of failure, with their bytes."""
+        return _quarantined(self.judged.where("quarantine_reason is not null"))
 
     def manifest(self, batch_id: int) -> DataFrame:
-        """Counts for each date and source; what cannot be dated or named has a bucket of its own."""
+        """Counts for each date and source; what cannot be dated or named has a bucket of its own, as a bad header has no record
+        (A1, U3, N9, N10)."""
         c = self.config
         bad = F.col("quarantine_reason").isNotNull()
         date = F.to_date(F.col(f"record.{c.time_column}")) if c.time_column else F.lit(None).cast("date")
-        headers = self.headers.where(bad).select(F.lit(None).cast("date").alias("event_date"), F.lit("unknown").alias("source"), F.lit(False).alias("ok"))
-        decoded = self.decoded.select(date.alias("event_date"), rules.known_source(F.col("record.source")).alias("source"), (~bad).alias("ok"))
-        counts = headers.unionByName(decoded).groupBy("event_date", "source").agg(F.count("*").alias("input_rows"), F.count_if("ok").alias("valid_rows"), F.count_if(~F.col("ok")).alias("quarantine_rows"))
+        rows = self.judged.select(date.alias("event_date"), rules.known_source(F.col("record.source")).alias("source"), (~bad).alias("ok"))
+        counts = rows.groupBy("event_date", "source").agg(F.count("*").alias("input_rows"), F.count_if("ok").alias("valid_rows"), F.count_if(~F.col("ok")).alias("quarantine_rows"))
         return counts.select(F.lit(c.pipeline).alias("pipeline"), F.lit(batch_id).cast("long").alias("batch_id"), *counts.columns)
 
 
@@ -110,18 +115,25 @@ def _quarantined(messages: DataFrame) -> DataFrame:
 
 
 def land(messages: DataFrame, catalog: SchemaCatalog, config: LandingConfig) -> Landed:
-    """Classify, decode and validate messages. With a JSON body the writer's schema makes no difference, so one branch decodes
-    all; otherwise each registered writer has a branch (P2, U1)."""
+    """Classify, decode and validate messages.
+
+    The branch of each registered writer is a case of one expression, so that the messages are read once and no union is needed (U1);
+    with a JSON body the writer's schema makes no difference. The record comes out of a generator of one row: no filter on its fields is
+    pushed below that, where it would decode the body once more for each of them.
+    """
     headers = inspect(messages, sorted(catalog.writers), catalog.reader_id)
-    fine = headers.where("quarantine_reason is null")
     if config.decoder is json_decoder:
-        decoded = fine.withColumn("record", json_decoder(F.col("payload"), "", config.record))
+        decoded = json_decoder(F.col("payload"), "", config.record)
     else:
-        branches = [fine.where(F.col("message_schema_id") == i).withColumn("record", config.decoder(F.col("payload"), w, config.record)) for i, w in sorted(catalog.writers.items())]
-        decoded = branches[0]
-        for branch in branches[1:]:
-            decoded = decoded.unionByName(branch, allowMissingColumns=True)
-    return Landed(headers, decoded.withColumn("quarantine_reason", config.reason(F.col("record"))), config)
+        decoded = F.lit(None).cast(config.record)
+        for writer, schema in sorted(catalog.writers.items()):
+            decoded = F.when(F.col("message_schema_id") == writer, config.decoder(F.col("payload"), schema, config.record)).otherwise(decoded)
+    # What does not decode is a record of nulls, as from a decoder in permissive mode; no record at all means a bad header.
+    blank = F.from_json(F.lit("{}"), config.record)
+    record = F.when(F.col("quarantine_reason").isNull(), F.coalesce(decoded, blank))
+    rows = headers.select("*", F.explode(F.array(record)).alias("record"))
+    reason = F.coalesce("quarantine_reason", F.when(F.col("record").isNotNull(), config.reason(F.col("record"))))
+    return Landed(rows.withColumn("quarantine_reason", reason), config)
 
 
 def replay_quarantine(stored: DataFrame) -> DataFrame:

@@ -69,6 +69,15 @@ def typed_labels(landed: DataFrame, batch: Column, file: Column, now: Column) ->
     return landed.select("event_id", "source", unsigned(c("isFraud"), 8).alias("is_fraud"), unsigned(c("isFlaggedFraud"), 8).alias("is_flagged_fraud"), *_lineage(batch, file, now))
 
 
+def typed_quality(manifest: DataFrame, pipeline: str, batch: Column, now: Column) -> DataFrame:
+    """Manifest rows as the warehouse has them; those of another pipeline or batch stay behind."""
+    c = F.col
+    own = manifest.where((c("pipeline") == pipeline) & (c("batch_id") == batch))
+    # A number of unsigned 64 bits does not fit a long; decimal(20,0) holds it, and a negative one is as far below 2**64.
+    wide = lambda x: F.pmod(c(x).cast("decimal(38,0)"), F.lit(str(1 << 64)).cast("decimal(38,0)")).cast("decimal(20,0)").alias(x)
+    return own.select("pipeline", wide("batch_id"), "event_date", "source", *map(wide, ("input_rows", "valid_rows", "quarantine_rows")), now.alias("loaded_at"))
+
+
 def _lineage(batch: Column, file: Column, now: Column) -> list[Column]:
     c = F.col
     return [

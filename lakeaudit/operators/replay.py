@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lakeaudit.functions.envelope import frame
 from lakeaudit.functions.values import event_time_ms
 from lakeaudit.sources.schemas import REPLAY_CSV
+from lakeaudit.sources.zones import materialized
 
 SOURCE = "paysim"
 
@@ -25,12 +26,17 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def _laid_out(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows in ranges of ``order``, sorted, with ``part`` and ``place``. The layout is written, so that what is counted by it stays so."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return materialized(ranged.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}))
+
+
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with row_number from 1, by ``order`` (W4). Distributed: rows are range-partitioned and each range is counted; the
     offset of a range is the number of rows before it. Only one count for each range is gathered."""
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}).persist()
+    laid = _laid_out(rows, order)
     counts = laid.groupBy("part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     before = counts.select(F.col("part").alias("p"), "first", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
     out = laid.join(F.broadcast(before), F.col("part") == F.col("p"))  # a row for each range
@@ -38,9 +44,16 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def timed(rows: DataFrame, number: str = "row_number") -> DataFrame:
-    """Rows with their place in the step and event time; the counts are those of the whole file."""
-    step = W.partitionBy("step")
-    out = rows.withColumns({"ordinal": F.row_number().over(step.orderBy(number)) - 1, "rows_in_step": F.count("*").over(step)})
+    """Rows with their place in the step and event time; the counts are those of the whole file (W3, A10, X6). A step that is null or
+    below 1 is an error. Distributed as ``numbered`` is: a step that has many rows lies in many ranges, and what is gathered is one count
+    for each step of each range."""
+    step = F.when(F.col("step") >= 1, F.col("step")).otherwise(F.raise_error(F.lit("a step must be a number from 1")).cast("int"))
+    laid = _laid_out(rows.withColumn("step", step), ["step", number])
+    counts = laid.groupBy(F.col("step").alias("of_step"), F.col("part").alias("p")).agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    whole = W.partitionBy("of_step")
+    before = counts.withColumns({"before": F.sum("n").over(whole.orderBy("p")) - F.col("n"), "rows_in_step": F.sum("n").over(whole)}).drop("n")
+    out = laid.join(before, (F.col("step") == F.col("of_step")) & (F.col("part") == F.col("p")))
+    out = out.withColumn("ordinal", F.col("place") - F.col("first") + F.col("before")).drop("of_step", "part", "place", "p", "first", "before")
     return out.withColumn("event_time_ms", event_time_ms(F.col("step"), F.col("ordinal"), F.col("rows_in_step")))
 
 

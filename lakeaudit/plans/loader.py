@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeaudit.operators import loading
 from lakeaudit.sources import schemas, zones
@@ -14,6 +15,10 @@ from lakeaudit.streaming.landing import Zones
 LANDED = {"transactions": schemas.LANDED_TRANSACTION, "labels": schemas.LANDED_LABEL}
 
 
+#: The tables of the warehouse (A11), by the names of their staging.
+TABLES = {"transactions": "transactions", "labels": "labels", "batches": "ledger", "manifest": "quality"}
+
+
 @dataclass(frozen=True)
 class Warehouse:
     root: str
@@ -22,18 +27,28 @@ class Warehouse:
         return f"{self.root}/{table}"
 
     def ledger(self, spark: SparkSession) -> DataFrame:
-        """All attempts; none before the first load."""
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.path("ledger"))  # noqa: SLF001
-        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # noqa: SLF001
+        """All attempts; none before the first load."""
+        if not zones.exists(spark, self.path("ledger")):
             return spark.createDataFrame([], schemas.LEDGER)
         return spark.read.schema(schemas.LEDGER).parquet(self.path("ledger"))
 
+    def missing(self, spark: SparkSession) -> list[str]:
+        """Which of the four tables are not there."""
+        return [t for t in TABLES.values() if not zones.exists(spark, self.path(t))]
+
+    def table(self, spark: SparkSession, name: str) -> DataFrame:
+        """What a staging reads (S16); a reader needs all four tables."""
+        if lacking := self.missing(spark):
+            raise RuntimeError(f"the warehouse lacks tables: {lacking}")
+        return self.ledger(spark) if name == "batches" else spark.read.parquet(self.path(TABLES[name]))
+
 
 def load(spark: SparkSession, pipeline: str, landing: Zones, warehouse: Warehouse, run_id: str, limit: int = loading.RUN_LIMIT) -> dict[int, str]:
     """Load the pending batches of a pipeline: {batch id: OK or the reason of its rejection}.
 
-    Manifests and row counts of all pending batches are judged in one job. Accepted batches are appended together: rows, then
-    manifests, then the ledger, whose rows commit them. A crash before that repeats the rows, which the canonical facts absorb.
+    The files of the pending batches alone are read, and their manifests and row counts are judged in one job. Accepted batches are
+    appended together: rows, then manifests, then the ledger, whose rows commit them. A crash before that repeats the rows, which the
+    canonical facts absorb. An error leaves a failed row with its message for each batch that was to be loaded, and goes on (B5).
     """
     if pipeline not in LANDED:
         raise ValueError(f"no such pipeline: {pipeline}")
@@ -41,9 +56,28 @@ def load(spark: SparkSession, pipeline: str, landing: Zones, warehouse: Warehous
     ids = [r["batch_id"] for r in pending.collect()]  # at most ``limit``
     if not ids:
         return {}
+    verdicts = dict.fromkeys(ids, "")
+    try:
+        verdicts = _judge_and_append(spark, pipeline, landing, warehouse, ids)
+    except Exception as e:
+        attempts = [(i, "failed", zones.batch_path(landing.valid, i), str(e)) for i in verdicts]
+        zones.record_attempts(spark, warehouse.path("ledger"), pipeline, attempts, run_id)
+        raise
+    attempts = [(i, "success" if v == "OK" else "failed", zones.batch_path(landing.valid, i), "" if v == "OK" else v) for i, v in verdicts.items()]
+    zones.record_attempts(spark, warehouse.path("ledger"), pipeline, attempts, run_id)
+    return verdicts
+
+
+def _judge_and_append(spark: SparkSession, pipeline: str, landing: Zones, warehouse: Warehouse, ids: list[int]) -> dict[int, str]:
     directory = F.regexp_extract("file_path", r"batch_id=([0-9]{20})", 1).cast("long")
-    manifest = zones.scan(spark, landing.quality, schemas.MANIFEST).withColumn("dir", directory).where(F.col("dir").isin(ids))
-    rows = zones.scan(spark, landing.valid, LANDED[pipeline]).withColumn("dir", directory).where(F.col("dir").isin(ids))
+
+    def read(zone: str, schema: T.StructType) -> DataFrame:
+        # A batch without valid rows may have no directory at all.
+        paths = [p for p in (zones.batch_path(zone, i) for i in ids) if zones.exists(spark, p)]
+        rows = zones.scan(spark, paths, schema) if paths else spark.createDataFrame([], schema).withColumn("file_path", F.lit(""))
+        return rows.withColumn("dir", directory)
+
+    manifest, rows = read(landing.quality, schemas.MANIFEST), read(landing.valid, LANDED[pipeline])
     summary = loading.manifest_summary(manifest, ["dir"], F.lit(pipeline), F.col("dir"))
     judged = loading.count_check(summary, rows.groupBy("dir").agg(F.count("*").alias("rows_found")), ["dir"])
     reason = loading.rejection_reason()
@@ -55,7 +89,6 @@ def load(spark: SparkSession, pipeline: str, landing: Zones, warehouse: Warehous
         typed = loading.typed_transactions if pipeline == "transactions" else loading.typed_labels
         append = zones.append_monthly if pipeline == "transactions" else zones.append_hashed
         append(typed(rows.where(F.col("dir").isin(accepted)), F.col("dir"), F.col("file_path"), F.current_timestamp()), warehouse.path(pipeline))
-        manifest.where(F.col("dir").isin(accepted)).select(*schemas.MANIFEST.fieldNames(), F.current_timestamp().alias("loaded_at")).write.mode("append").parquet(warehouse.path("quality"))
-    for i, v in verdicts.items():
-        zones.record_attempt(spark, warehouse.path("ledger"), pipeline, i, "success" if v == "OK" else "failed", zones.batch_path(landing.valid, i), run_id, "" if v == "OK" else v)
+        quality = loading.typed_quality(manifest.where(F.col("dir").isin(accepted)), pipeline, F.col("dir"), F.current_timestamp())
+        quality.coalesce(1).write.mode("append").parquet(warehouse.path("quality"))
     return verdicts

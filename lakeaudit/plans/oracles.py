@@ -90,7 +90,8 @@ _METRICS = """
 metrics as (
   select count(*) row_count, count(distinct row(t.source, t.event_id)) distinct_key_count, count(*) filter (where trim(t.source) = '' or trim(t.event_id) = '') empty_key_count,
     count(*) filter (where t.source is null or t.event_id is null or t.event_time is null or t.event_date is null or t.step is null or t.transaction_type is null or t.amount is null
-      or t.origin_balance_before is null or t.origin_balance_after is null or t.destination_balance_before is null or t.destination_balance_after is null or t.is_fraud is null) null_count,
+      or t.origin_balance_before is null or t.origin_balance_after is null or t.destination_balance_before is null or t.destination_balance_after is null or t.origin_balance_delta is null
+      or t.destination_balance_delta is null or t.origin_amount_residual is null or t.destination_amount_residual is null or t.is_fraud is null) null_count,
     count(*) filter (where t.source <> 'tpch') invalid_source_count,
     count(*) filter (where t.transaction_type not in ('CASH_IN', 'CASH_OUT', 'DEBIT', 'PAYMENT', 'TRANSFER')) invalid_type_count, count(*) filter (where t.is_fraud not in (0, 1)) invalid_target_count,
     count(*) filter (where origin_balance_delta <> t.origin_balance_before - t.origin_balance_after or destination_balance_delta <> t.destination_balance_after - t.destination_balance_before

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeaudit.functions import envelope
 from lakeaudit.operators import canonical, checks, contract, landing, loading, replay, training
+from lakeaudit.plans.loader import Warehouse
 from lakeaudit.sources import fixtures as fx
 from lakeaudit.sources import zones
 from lakeaudit.streaming.landing import Zones, start_landing
@@ -23,13 +25,16 @@ RANKED = ["source", "event_id", "kafka_partition", "kafka_offset", "minio_batch_
 class Lake:
     """The inputs and marts over the tables of one directory; every model is a DataFrame that Catalyst inlines."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, warehouse: Warehouse | None = None) -> None:
+        """Staged rows come from the warehouse if one is given, else from the fixtures over the tables of sf_dir."""
+        self.spark, self.dir, self.warehouse = spark, sf_dir, warehouse
 
     def fixture(self, sql: str) -> DataFrame:
         return fx.spark(self.spark, self.dir, sql)
 
     def staged(self, name: str) -> DataFrame:
+        if self.warehouse:
+            return loading.staged(self.warehouse.table(self.spark, name), name)
         sql = {"transactions": fx.TRANSACTIONS, "labels": fx.LABELS, "batches": fx.LEDGER, "manifest": fx.MANIFEST}[name]
         return loading.staged(self.fixture(sql), name)
 
@@ -52,8 +57,7 @@ class Lake:
         return landing.land(fx.raw_labels(self.spark, self.dir), CATALOG, landing.LABELS)
 
     def reasons(self, landed: landing.Landed) -> DataFrame:
-        rows = landed.headers.where("quarantine_reason is not null").select("offset", "quarantine_reason")
-        return rows.unionByName(landed.decoded.select("offset", "quarantine_reason")).select("offset", F.coalesce("quarantine_reason", F.lit("VALID")).alias("reason"))
+        return landed.judged.select("offset", F.coalesce("quarantine_reason", F.lit("VALID")).alias("reason"))
 
     def summary(self) -> DataFrame:
         return loading.manifest_summary(self.fixture(fx.MANIFEST), ["dir"], F.lit("transactions"), F.col("dir"))
@@ -65,10 +69,11 @@ class Lake:
 
 def _landing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The landing job itself over raw messages in files; the sum of its manifests."""
-    zones.ensure_shared(spark)
     root = f"{zones.shared_folder(spark)}/landing-{uuid.uuid4().hex}"
-    fx.raw_messages(spark, sf_dir).repartition(4).write.parquet(f"{root}/raw")
-    start_landing(zones.raw_stream(spark, f"{root}/raw"), CATALOG, landing.TRANSACTIONS, Zones(root), f"{root}/state", None).awaitTermination()
+    messages, n = fx.raw_messages(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    messages.repartition(n).write.parquet(f"{root}/raw")
+    # A micro-batch takes a quarter of the files: it grows with the input, as do the tasks that write and read them.
+    start_landing(zones.raw_stream(spark, f"{root}/raw", max(1, n // 4)), CATALOG, landing.TRANSACTIONS, Zones(root), f"{root}/state", None).awaitTermination()
     manifest = zones.scan(spark, Zones(root).quality, zones.MANIFEST)
     return manifest.groupBy("event_date", "source").agg(*(F.sum(c).alias(c) for c in ("input_rows", "valid_rows", "quarantine_rows")))
 
@@ -97,7 +102,9 @@ def _replayed_quarantine(lake: Lake) -> DataFrame:
 
 
 def _contract(lake: Lake) -> tuple[contract.Contract, DataFrame, DataFrame]:
-    return contract.Contract("tpch"), training.training_rows(lake.candidates()), lake.transactions()
+    # The facts are a mart of their own, used on both sides: they are made once.
+    facts = zones.materialized(lake.transactions())
+    return contract.Contract("tpch"), training.training_rows(training.candidates(training.labeled(facts, lake.labels()))), facts
 
 
 def _violations(lake: Lake) -> DataFrame:
@@ -107,7 +114,7 @@ def _violations(lake: Lake) -> DataFrame:
 
 
 _PLAIN: dict[str, Callable[[Lake], DataFrame]] = {
-    "envelope_inspect": lambda k: k.landed().headers.select("offset", "magic_byte", "message_schema_id", F.when(F.col("quarantine_reason").isNotNull(), F.col("value_size")).cast("long").alias("value_size"), F.coalesce("quarantine_reason", F.lit("OK")).alias("reason")),
+    "envelope_inspect": lambda k: envelope.inspect(fx.raw_messages(k.spark, k.dir), sorted(CATALOG.writers), CATALOG.reader_id).select("offset", "magic_byte", "message_schema_id", F.when(F.col("quarantine_reason").isNotNull(), F.col("value_size")).cast("long").alias("value_size"), F.coalesce("quarantine_reason", F.lit("OK")).alias("reason")),
     "validation_reasons": lambda k: k.reasons(k.landed()),
     "reason_counts": lambda k: k.reasons(k.landed()).groupBy("reason").agg(F.count("*").alias("row_count")),
     "label_validation": lambda k: k.reasons(k.landed_labels()),

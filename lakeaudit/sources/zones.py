@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,14 +36,15 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, most: int = 100)
     return spark.readStream.format("kafka").options(**options).load()
 
 
-def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def scan(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Files at any depth, by an explicit schema; directory names add no columns. file_path is the lineage."""
-    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*([path] if isinstance(path, str) else path))
     return rows.select("*", F.col("_metadata.file_path").alias("file_path"))
 
 
 def completed_batches(spark: SparkSession, zone: str, pipeline: str) -> DataFrame:
-    """(pipeline, batch_id) of the batches with a success marker (S11). Only their directory names come to the driver."""
+    """(pipeline, batch_id) of the batches with a success marker (S11). Only their directory names come to the driver: a few bytes for
+    each batch of the zone, from one listing."""
     jvm = spark._jvm  # noqa: SLF001
     pattern = jvm.org.apache.hadoop.fs.Path(f"{zone}/batch_id=*/_SUCCESS")
     found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []  # noqa: SLF001
@@ -50,13 +54,18 @@ def completed_batches(spark: SparkSession, zone: str, pipeline: str) -> DataFram
     return ids.select(F.lit(pipeline).alias("pipeline"), F.col("id").cast("long").alias("batch_id"))
 
 
-def record_attempt(spark: SparkSession, ledger: str, pipeline: str, batch_id: int, status: str, prefix: str, run_id: str, error: str = "") -> None:
-    """One row of the ledger; this is what commits a batch."""
-    if status not in ("success", "failed"):
-        raise ValueError(f"no such status: {status}")
-    row = spark.createDataFrame([(pipeline, batch_id, status, prefix, run_id, error)], "pipeline string, batch_id long, status string, source_prefix string, run_id string, error string")
-    row = row.select("pipeline", "batch_id", "status", "source_prefix", "run_id", F.current_timestamp().alias("finished_at"), F.substring("error", 1, ERROR_CHARS).alias("error_message"))
-    row.select(*LEDGER.fieldNames()).write.mode("append").parquet(ledger)
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)  # noqa: SLF001
+
+
+def record_attempts(spark: SparkSession, ledger: str, pipeline: str, attempts: list[tuple[int, str, str, str]], run_id: str) -> None:
+    """Rows (batch id, status, prefix, error) of the ledger, appended together; this is what commits batches."""
+    if bad := {status for _, status, _, _ in attempts} - {"success", "failed"}:
+        raise ValueError(f"no such status: {sorted(bad)}")
+    rows = spark.createDataFrame(attempts, "batch_id long, status string, source_prefix string, error string").coalesce(1)
+    rows = rows.withColumns({"pipeline": F.lit(pipeline), "run_id": F.lit(run_id), "finished_at": F.current_timestamp(), "error_message": F.substring("error", 1, ERROR_CHARS)})
+    rows.select(*LEDGER.fieldNames()).write.mode("append").parquet(ledger)
 
 
 def append_monthly(rows: DataFrame, path: str) -> None:
@@ -71,14 +80,25 @@ def append_hashed(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     rows.repartition("event_hash").sortWithinPartitions("event_hash", "source", "event_id").write.mode("append").partitionBy("event_hash").parquet(path)
 
 
-def ensure_shared(spark: SparkSession) -> None:
-    """Set a checkpoint folder where the cluster names none, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one serves a local master,
+    whose tasks run on this machine; on a cluster it is an error."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-tables-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def materialized(rows: DataFrame, path: str | None = None, view: str | None = None) -> DataFrame:
+    """A mart (S15, D9): with ``view`` its name as a temporary view, which is found anew for each reader; else a table at ``path`` (in the
+    shared folder if there is none), which is written once and read by all."""
+    if view:
+        rows.createOrReplaceTempView(view)
+        return rows.sparkSession.table(view)
+    path = path or f"{shared_folder(rows.sparkSession)}/mart-{uuid.uuid4().hex}"
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -38,15 +38,13 @@ def landing_batch(catalog: SchemaCatalog, config: LandingConfig, zones: Zones) -
         if batch.isEmpty():
             return
         landed = land(batch, catalog, config)
-        landed.headers.persist(StorageLevel.MEMORY_AND_DISK)
-        landed.decoded.persist(StorageLevel.MEMORY_AND_DISK)
+        landed.judged.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             write_batch(landed.valid(), zones.valid, batch_id, [config.date_column] if config.date_column else None)
             write_batch(landed.quarantine(), zones.quarantine, batch_id, ["quarantine_reason", "kafka_date"])
             write_batch(landed.manifest(batch_id), zones.quality, batch_id, single_file=True)
         finally:
-            landed.decoded.unpersist()
-            landed.headers.unpersist()
+            landed.judged.unpersist()
 
     return process
 

@@ -36,7 +36,8 @@ def compare(spark, queries, sqls, name, sf):
     rel = con.sql(sqls[name])
     names = [d[0] for d in rel.description]
     assert sorted(names) == sorted(got.columns)
-    plain = lambda v: "-" if v is None or v != v else str(v)
+    day = lambda v: v.removesuffix(".000000").removesuffix(" 00:00:00")
+    plain = lambda v: "-" if v is None or v != v else day(str(v)) if hasattr(v, "isoformat") else str(v)
     want = sorted(tuple(plain(r[names.index(c)]) for c in got.columns) for r in rel.fetchall())
     have = sorted(tuple(plain(v) for v in r) for r in got.astype(object).itertuples(index=False))
     number = lambda rows: [tuple(x.removesuffix(".0") for x in r) for r in rows]

@@ -3,11 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lakeaudit.functions import envelope
 from lakeaudit.operators import landing, loading, replay
 from lakeaudit.plans.loader import Warehouse, load
-from lakeaudit.plans.queries import CATALOG
+from lakeaudit.plans.queries import CATALOG, Lake
 from lakeaudit.sources import fixtures, schemas, zones
-from lakeaudit.streaming.landing import Zones, start_landing
+from lakeaudit.streaming.landing import Zones, landing_batch, start_landing
 
 
 @pytest.fixture(scope="module")
@@ -60,7 +61,70 @@ def test_a_lost_row_is_found(spark, landed, tmp_path):
 
 def test_ledger_rejects_other_states(spark, tmp_path):
     with pytest.raises(ValueError, match="status"):
-        zones.record_attempt(spark, str(tmp_path), "labels", 1, "maybe", "", "")
+        zones.record_attempts(spark, str(tmp_path), "labels", [(1, "maybe", "", "")], "r")
+
+
+def test_an_error_is_recorded_and_goes_on(spark, landed, tmp_path, monkeypatch):
+    root, _ = landed
+    house = Warehouse(str(tmp_path))
+
+    def broken(*_):
+        raise OSError("disk full " + "x" * 3000)
+
+    monkeypatch.setattr(zones, "append_monthly", broken)
+    with pytest.raises(OSError, match="disk full"):
+        load(spark, "transactions", Zones(root), house, "r1")
+    rows = house.ledger(spark).collect()
+    assert len(rows) == 3 and all(r["status"] == "failed" and r["error_message"].startswith("disk full") and len(r["error_message"]) == 2000 for r in rows)
+    monkeypatch.undo()
+    assert set(load(spark, "transactions", Zones(root), house, "r2").values()) == {"OK"} and house.missing(spark) == ["labels"]
+
+
+def test_a_batch_repeated_leaves_the_same_files(spark, sf, tmp_path):
+    batch, root = fixtures.raw_messages(spark, sf).limit(500), Zones(str(tmp_path))
+    process = landing_batch(CATALOG, landing.TRANSACTIONS, root)
+    process(batch.limit(0), 4)
+    assert not (tmp_path / "quality").exists()
+    counts = []
+    for _ in range(2):
+        process(batch, 5)
+        counts.append(tuple(_manifest(spark, str(tmp_path))))
+    assert counts[0] == counts[1] and counts[0][0] == 500
+
+
+def test_each_writer_has_its_own_decoder(spark):
+    # The body of writer 2 has its fields under other names; the decoder reads them by the writer's schema.
+    def decode(payload, writer, reader):
+        parsed = F.from_json(payload.cast("string"), writer)
+        names = ("id", "src", "f", "g") if writer.startswith("id string") else ("event_id", "source", "isFraud", "isFlaggedFraud")
+        return F.struct(*(parsed[n].alias(f.name) for n, f in zip(names, reader.fields, strict=True)))
+
+    catalog = landing.SchemaCatalog({1: "event_id string, source string, isFraud int, isFlaggedFraud int", 2: "id string, src string, f int, g int"}, 1)
+    config = landing.LandingConfig("labels", schemas.LABEL, landing.LABELS.reason, decoder=decode)
+    bodies = [(1, '{"event_id": "a", "source": "s", "isFraud": 1, "isFlaggedFraud": 0}'), (2, '{"id": "b", "src": "t", "f": 0, "g": 1}'), (3, "{}")]
+    rows = spark.createDataFrame(bodies, "id int, body string").select(envelope.frame(F.col("body"), F.col("id")).alias("value"), F.lit(b"k").alias("key"), F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.lit(0).cast("long").alias("offset"), F.current_timestamp().alias("timestamp"))
+    landed = landing.land(rows, catalog, config)
+    assert sorted(tuple(r)[:4] for r in landed.valid().collect()) == [("a", "s", 1, 0), ("b", "t", 0, 1)]
+    assert [r["quarantine_reason"] for r in landed.quarantine().collect()] == ["UNSUPPORTED_SCHEMA_ID"]
+
+
+def test_staging_from_the_warehouse(spark, landed, sf, tmp_path):
+    root, _ = landed
+    house = Warehouse(str(tmp_path))
+    load(spark, "transactions", Zones(root), house, "r1")
+    with pytest.raises(RuntimeError, match="labels"):
+        Lake(spark, sf, house).staged("transactions")
+    zones.append_hashed(fixtures.spark(spark, sf, fixtures.LABELS), house.path("labels"))
+    lake = Lake(spark, sf, house)
+    assert lake.transactions().count() == spark.read.parquet(house.path("transactions")).select("source", "event_id").distinct().count()
+    view = zones.materialized(lake.committed(), view="committed")
+    assert view.count() == 3 and not view.filter("pipeline = 'transactions'").isEmpty()
+
+
+def test_steps_must_be_numbers_from_one(spark):
+    for bad in (0, None):
+        with pytest.raises(Exception, match="step"):
+            replay.timed(spark.createDataFrame([(1, 1), (bad, 2)], "step int, row_number long")).collect()
 
 
 def test_csv_header(spark, tmp_path):

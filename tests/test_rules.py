@@ -121,7 +121,7 @@ def test_contract_holds(spark):
 @pytest.mark.parametrize(("column", "value", "metric"), [
     ("event_id", "'e0'", "duplicate_key_count"), ("event_id", "' '", "empty_key_count"), ("event_time", "cast(null as timestamp)", "null_count"), ("source", "'x'", "invalid_source_count"),
     ("transaction_type", "'x'", "invalid_type_count"), ("is_fraud", "2", "invalid_target_count"), ("origin_balance_delta", "cast(9 as decimal(18,2))", "invalid_formula_count"),
-    ("event_id", "'new'", "missing_lineage_count"),
+    ("event_id", "'new'", "missing_lineage_count"), ("destination_amount_residual", "cast(null as decimal(18,2))", "null_count"), ("origin_balance_delta", "cast(null as decimal(18,2))", "null_count"),
 ])
 def test_contract_violations(spark, column, value, metric):
     rows = _training(spark)
@@ -144,3 +144,18 @@ def test_schema_must_be_exact(spark):
         contract.Contract("tpch", types=("A", "A"))
     with pytest.raises(contract.ContractError):
         contract.Contract(" ")
+
+
+@pytest.mark.parametrize("bad", [
+    {"relation": "training"}, {"lineage_relation": "a.b.c"}, {"replay_epoch": "2026-01-01T00:00:00+01:00"}, {"replay_epoch": "soon"}, {"key": ()}, {"structural": ("source", "when")}, {"non_features": ("source", "event_id")},
+    {"audit_candidates": ("source",)}, {"audit_candidates": ("nothing",)}, {"prohibited": ("step",)}, {"non_features": ("source", "event_id", "is_fraud", "is_flagged_fraud")}, {"key": ("source", "source")}, {"prohibited": ("No Name",)},
+])
+def test_the_contract_checks_itself(bad):
+    with pytest.raises(contract.ContractError):
+        contract.Contract("tpch", **bad)
+
+
+def test_quality_rows_are_typed(spark):
+    rows = spark.createDataFrame([("transactions", 1, None, "a", -1, 3, 0), ("labels", 1, None, "a", 1, 1, 0), ("transactions", 2, None, "a", 1, 1, 0)], schemas.MANIFEST)
+    got = loading.typed_quality(rows, "transactions", F.lit(1), F.current_timestamp()).collect()
+    assert [(int(r["batch_id"]), int(r["input_rows"]), int(r["valid_rows"])) for r in got] == [(1, 2**64 - 1, 3)]
