@@ -42,6 +42,8 @@ RANDOM_DOCUMENTS = 40_000
 PLAIN_DOCUMENTS = 3_000
 #: The random model is half what the sample shows and half uniform, as random strings come in many alphabets.
 UNIFORM_SHARE = 0.5
+#: So is a tenth of the ordinary one: a pair that the sample lacks is no proof by itself.
+PLAIN_UNIFORM_SHARE = 0.1
 LEAST_RATIO = 12.0
 LEAST_RATIO_PER_CHAR = 0.6
 
@@ -121,8 +123,9 @@ def train(docs: DataFrame, text_column: str = "text", random_documents: int = RA
         for b in range(CLASSES):
             seen = (counts.get((1, a, b), 0) + 1 / CLASSES) / (from_random + 1)
             p = (1 - UNIFORM_SHARE) * seen + UNIFORM_SHARE / CLASSES
-            q = (counts.get((0, a, b), 0) + 0.5) / (from_plain + 0.5 * CLASSES)
-            table.append(math.log(p / q))
+            q = (1 - PLAIN_UNIFORM_SHARE) * (counts.get((0, a, b), 0) + 1 / CLASSES) / (from_plain + 1) + PLAIN_UNIFORM_SHARE / CLASSES
+            # What joins the parts of an identifier speaks for neither.
+            table.append(math.log(p / q) if a and b else 0.0)
     return table
 
 
