@@ -185,7 +185,7 @@ def examples(masks: list[list[int]], labels: list[list[int]], quality: list[int]
     out = [(masks[i], labels[i], 1 / len(side)) for side in (good, bad) for i in side]
     for n, i in enumerate(good):
         j, half = bad[n % len(bad)], (len(masks[i]) + 1) // 2
-        out.append(tuple(x[i][:half] + x[j] + x[i][half:] for x in (masks, labels)) + (0.5 / len(good),))
+        out.append(tuple(x[i][:half] + x[j] + x[i][half:] for x in (masks, labels)) + (1 / len(good),))
     return out
 
 
