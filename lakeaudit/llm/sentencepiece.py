@@ -25,6 +25,10 @@ from lakeaudit.llm.lattice import NEVER, SCALE, Lattice, Vocabulary, lattice_of,
 from lakeaudit.llm.text import slices, strings
 
 
+#: Bytes of text at a time: all segmentations of a slice are held until it is sent.
+SLICE = 500_000
+
+
 def merge_best(places: list[list[tuple[int, list[int]]]], n: int) -> list[tuple[int, tuple[int, ...]]]:
     """The n best ways to take one entry of each list, as (loss against the best, entry numbers); lists are best first."""
     kept: list[tuple[int, tuple[int, ...]]] = [(0, ())]
@@ -50,7 +54,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n_best: int = 4, id_columns:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(shared.value)
-        for batch in slices(batches):
+        for batch in slices(batches, chars=SLICE):
             got = _encode_slice(lattice, strings(batch.column("text")), n_best, all_ids, verify)
             made = [got[name] if isinstance(got[name], pa.Array) else pa.array(got[name], kind) for name, (kind, _) in columns.items()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *made], [*keys, *columns])
