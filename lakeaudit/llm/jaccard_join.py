@@ -144,6 +144,8 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     similarity of ``least`` or more; class_id is the smallest id that links lead to; kept marks one document of each class
     (id and text_hash are those of the class's first; only identical rows share both).
     """
+    if least < LEAST:
+        raise ValueError(f"sketches are set for similarities of {LEAST} or more")
     slim = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("th"))
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
