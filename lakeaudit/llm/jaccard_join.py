@@ -6,13 +6,17 @@ shingles whose hash at that node is below 1 / (least * size), 1 / least of them
 paths. Sets that meet in a node of at most ``BUCKET`` sets are compared by brute force there (on sketches of 64 minhashes).
 First all sets take the first step of ``RUNS`` runs: at the least similarity a pair meets in one with probability 1 - 1/e at
 least, in ten with 0.99995. Sets of larger nodes go through further runs among themselves, whose large nodes are split again,
-down to ``DEPTH`` shingles, beyond which a node is compared in pairs of blocks. A pair that met in large nodes only is in them
-with both sets, and the number of runs follows from the size of the sets (``deep_runs``), so that it meets on the last level
-with a probability of ``TARGET``: 33 runs at a size of 5, 22 at a large one. Pairs are thus found with 0.9999 on any level.
-
-What was found alike makes candidate components; all pairs within one are verified on whole sets, in pairs of blocks of
-bounded weight, so every link is true, and links within a component cannot be missed. Tasks return a number of links and one
-edge for each set, not pairs.
+down to ``DEPTH`` shingles. A pair that met in large nodes only is in them with both sets, and the number of runs follows from
+the size of the sets (``deep_runs``), so that it meets on the last level with a probability of ``TARGET``: 33 runs at a size of
+5, 22 at a large one. Pairs are thus found with 0.9999 on any level. In a node that is still large, sets alike to its leader (the
+one whose sketch has most of the commonest entries) are one candidate component by that alone; the others are compared with
+all, in pairs of blocks.
+
+What was found alike makes candidate components; all pairs within one are verified on whole sets, so every link is true, and
+links within a component cannot be missed. A component beyond one block has a leader too. The Jaccard distance is a metric:
+two sets within half of the largest distance from the leader are linked with each other, and are counted without a comparison;
+a set farther than one and a half from it has no link with those. All other pairs are compared in pairs of blocks of bounded
+weight. Tasks return a number of links and one edge for each set, not pairs.
 
 Texts without a word (null too) link with nothing. Null ids: a row like any other; as the smallest id of a class it is null.
 Repeated rows are documents with equal sets. Ties (several rows of one id): the smaller text hash comes first. Of the input
@@ -27,7 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.llm.embeddings import _links, local_roots
@@ -231,10 +235,14 @@ def _candidates(slim: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     large = level.where(F.col("size") > BUCKET)
     kids = large.join(trees, "node").select("node", F.explode(F.col("tree")[F.col("i")]["kids"][F.col("k")]["kids"]).alias("p"))
     level = counted(kids)
-    # No further split: what is still large is compared in pairs of blocks.
-    blocks = level.withColumn("blocks", F.ceil(F.col("size") / BUCKET).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "p"), F.col("blocks")).cast("int"))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select("node", F.xxhash64("p", F.least("block", "other"), F.greatest("block", "other")).alias("p"))
+    small = small.unionByName(level.where(F.col("size") <= BUCKET).select("node", "p"))
+    # No further split: sets alike to the leader of a node are its candidates; all others are compared with all, in pairs of blocks.
+    large = durable(level.where(F.col("size") > BUCKET).select("node", "p").join(classes.select("node", "sketch"), "node"))
+    stars = durable(_leaders(large, "p").withColumn("near", F.col("agree") >= AGREE).select("p", "node", "leader", "near", F.lit(False).alias("far")))
+    to_leader = stars.where("near and node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    share = F.ceil(F.count("*") / BUCKET).cast("int")
+    blocks = _block_pairs(stars, stars.groupBy("p", "near").agg(share.alias("blocks")), "p")
+    blocks = blocks.select("node", F.xxhash64("p", "b1", "b2").alias("p"))
     rows = small.unionByName(blocks).join(classes.select("node", "n", "sketch"), "node")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +281,39 @@ def _candidates(slim: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root[at]])], ["a", "b"])
 
     # In the order of nodes, so that the edges are stars around the least one.
-    return rows.repartition("p").sortWithinPartitions("p", "node").mapInArrow(compare, "a long, b long")
+    return rows.repartition("p").sortWithinPartitions("p", "node").mapInArrow(compare, "a long, b long").unionByName(to_leader)
+
+
+def _agreement(one: str, two: str) -> Column:
+    """In how many entries two sketches agree."""
+    return F.expr(f"aggregate(sequence(1, {SKETCH}), 0, (n, i) -> n + if(substring({one}, i, 1) = substring({two}, i, 1), 1, 0))")
+
+
+def _leaders(members: DataFrame, key: str) -> DataFrame:
+    """members(key, node, sketch, ...) with ``leader``, the node of the group whose sketch has most of the entries that are the
+    commonest at their place, and ``agree``, the entries shared with it. Votes are counted before they are shuffled; what is
+    joined to the members is a written table of one row for each group, so that a group of very many is split at run time."""
+    votes = members.select(key, "sketch", F.explode(F.sequence(F.lit(1), F.lit(SKETCH))).alias("i")).groupBy(key, "i", F.expr("substring(sketch, i, 1)").alias("entry")).count()
+    most = votes.groupBy(key, "i").agg(F.max(F.struct("count", "entry")).alias("m"))
+    common = most.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", F.col("m.entry").alias("entry")))).alias("entries"))  # one for each place
+    common = durable(common.select(key, F.expr("aggregate(entries, cast('' as binary), (s, x) -> concat(s, x.entry))").alias("common")))
+    chosen_ = members.join(common, key).groupBy(key).agg(F.min(F.struct((-_agreement("sketch", "common")).alias("agree"), "node", "sketch")).alias("x"))
+    leaders = durable(chosen_.select(key, F.col("x.node").alias("leader"), F.col("x.sketch").alias("of_leader")))
+    return members.join(leaders, key).withColumn("agree", _agreement("sketch", "of_leader")).drop("of_leader")
+
+
+def _block_pairs(members: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """members(key, node, near, far, ...) once for each pair of blocks (b1, b2) that it is compared in, with its own ``block``.
+
+    blocks(key, near, blocks) tells how many blocks those near the leader and the others of a group fill. Others meet each other and,
+    unless they are far, those near; those near do not meet each other."""
+    sizes = blocks.groupBy(key).agg(*(F.coalesce(F.max(F.when(F.col("near") == near, F.col("blocks"))), F.lit(0)).alias(name) for near, name in ((False, "rest"), (True, "core"))))
+    rows = members.join(durable(sizes.where("rest > 0")), key)
+    place = lambda n: F.pmod(F.xxhash64("node", key), n).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("near"), F.col("rest") + place(F.greatest("core", F.lit(1)))).otherwise(place(F.col("rest"))))
+    last = F.when(F.col("near") | F.col("far"), F.col("rest")).otherwise(F.col("rest") + F.col("core")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return rows.withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")})
 
 
 def _alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -284,21 +324,33 @@ def _alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 def _verified(slim: DataFrame, classes: DataFrame, parts: DataFrame, least: float) -> DataFrame:
     """(node, links, root, whole) for each node with links, from each pair of blocks of each candidate component; root is the
     least node it hangs together with in the pair, and whole tells that the component has one block."""
-    members = parts.join(classes.select("node", "rep", "copies", "n"), "node")
-    weights = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
-    members = members.join(weights, "root").select("node", "root", "copies", "blocks", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
-    texts = _texts(slim, members).select("node", "root", "copies", "blocks", "text")
+    members = parts.join(classes.select("node", "rep", "copies", "n", "sketch"), "node")
+    weight = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks")
+    whole = durable(members.groupBy("root").agg(weight))
+    members = durable(members.join(whole, "root").select("node", "root", "copies", "n", "blocks", "sketch", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")))
+    alone = members.where("blocks = 1").drop("sketch").withColumns({"near": F.lit(False), "far": F.lit(False)})
+    # Components beyond one block: the pairs of those near the leader are links as they are.
+    shares = _shares(slim, members.where("blocks > 1"))
+    near, far = (1 + least) / 2, least - (1 - least) / 2 - 1e-9
+    placed = durable(members.join(shares, ["node", "root"]).withColumns({"near": F.col("share") >= near, "far": F.col("share") < far}).drop("sketch", "share"))
+    core = placed.where("near")
+    total = durable(core.groupBy("root").agg(F.sum("copies").alias("all")))
+    counted = core.join(total, "root").select("node", (F.col("all") - F.col("copies")).alias("links"), F.col("leader").alias("root"), F.lit(False).alias("whole"))
+    parts_ = alone.unionByName(placed.drop("leader"))
+    sizes = whole.where("blocks = 1").withColumn("near", F.lit(False)).unionByName(placed.groupBy("root", "near").agg(weight))
+    # The texts are read once, and their sets are sent to the pairs of blocks.
+    texts = _texts(slim, parts_).select("node", "root", "copies", "blocks", "near", "far", "text")
 
     def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in slices(batches):
             hashes.trim()
             got = [shingle_set(t, hashes).tobytes() for t in strings(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "copies", "blocks")), pa.array(got, pa.binary())], ["node", "root", "copies", "blocks", "set"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(got, pa.binary())], [*names, "set"])
 
-    sets = texts.mapInArrow(to_sets, "node long, root long, copies long, blocks int, set binary")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")})
+    names = ["node", "root", "copies", "blocks", "near", "far"]
+    sets = texts.mapInArrow(to_sets, "node long, root long, copies long, blocks int, near boolean, far boolean, set binary")
+    sets = _block_pairs(sets, sizes, "root")
     sets = sets.withColumn("grp", F.xxhash64("root", "b1", "b2")).select("grp", "block", "b1", "b2", "blocks", "node", "copies", "set")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +370,30 @@ def _verified(slim: DataFrame, classes: DataFrame, parts: DataFrame, least: floa
                     rows = _links(i, j, 0, len(at), node[at], copies[at])
                     yield rows.append_column("whole", pa.array([bool(blocks[a] == 1)] * rows.num_rows))
 
-    return durable(sets.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(verify, "node long, links long, root long, whole boolean"))
+    compared = sets.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(verify, "node long, links long, root long, whole boolean")
+    return durable(compared.unionByName(counted))
+
+
+def _shares(slim: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, root, leader, share) of members(node, root, sketch, rep_id, rep_th): the Jaccard similarity with the leader of its component."""
+
+    def to_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in slices(batches):
+            hashes.trim()
+            got = [shingle_set(t, hashes).astype(np.int64) for t in strings(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array(got, pa.list_(pa.int64()))], ["node", "root", "set"])
+
+    def lists(rows: DataFrame) -> DataFrame:
+        return _texts(slim, rows).select("node", "root", "text").mapInArrow(to_lists, "node long, root long, set array<bigint>")
+
+    led = durable(_leaders(members, "root").drop("sketch", "agree"))
+    theirs = lists(led.where("node = leader")).groupBy("root").agg(F.first("node").alias("leader"), F.first("set").alias("of_leader"))
+    both = lists(led).join(durable(theirs), "root")
+    common = F.size(F.array_intersect("set", "of_leader"))
+    share = common / (F.size("set") + F.size("of_leader") - common)
+    # Identical rows of a document bring its set more than once.
+    return both.select("node", "root", "leader", share.alias("share")).distinct()
 
 
 def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
