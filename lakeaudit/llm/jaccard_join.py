@@ -241,7 +241,7 @@ def _candidates(slim: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     stars = durable(_leaders(large, "p").withColumn("near", F.col("agree") >= AGREE).select("p", "node", "leader", "near", F.lit(False).alias("far")))
     to_leader = stars.where("near and node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     share = F.ceil(F.count("*") / BUCKET).cast("int")
-    blocks = _block_pairs(stars, stars.groupBy("p", "near").agg(share.alias("blocks")), "p")
+    blocks = _block_pairs(_sized(stars, stars.groupBy("p", "near").agg(share.alias("blocks")), "p"), "p")
     blocks = blocks.select("node", F.xxhash64("p", "b1", "b2").alias("p"))
     rows = small.unionByName(blocks).join(classes.select("node", "n", "sketch"), "node")
 
@@ -302,13 +302,16 @@ def _leaders(members: DataFrame, key: str) -> DataFrame:
     return members.join(leaders, key).withColumn("agree", _agreement("sketch", "of_leader")).drop("of_leader")
 
 
-def _block_pairs(members: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
-    """members(key, node, near, far, ...) once for each pair of blocks (b1, b2) that it is compared in, with its own ``block``.
-
-    blocks(key, near, blocks) tells how many blocks those near the leader and the others of a group fill. Others meet each other and,
-    unless they are far, those near; those near do not meet each other."""
+def _sized(members: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """members with how many blocks those near the leader (``core``) and the others (``rest``) of a group fill, as blocks(key, near,
+    blocks) tells; groups without others have nothing to compare and go."""
     sizes = blocks.groupBy(key).agg(*(F.coalesce(F.max(F.when(F.col("near") == near, F.col("blocks"))), F.lit(0)).alias(name) for near, name in ((False, "rest"), (True, "core"))))
-    rows = members.join(durable(sizes.where("rest > 0")), key)
+    return members.join(durable(sizes.where("rest > 0")), key)
+
+
+def _block_pairs(rows: DataFrame, key: str) -> DataFrame:
+    """rows(key, node, near, far, rest, core, ...) once for each pair of blocks (b1, b2) that it is compared in, with its own ``block``:
+    others meet each other and, unless they are far, those near; those near do not meet each other."""
     place = lambda n: F.pmod(F.xxhash64("node", key), n).cast("int")
     rows = rows.withColumn("block", F.when(F.col("near"), F.col("rest") + place(F.greatest("core", F.lit(1)))).otherwise(place(F.col("rest"))))
     last = F.when(F.col("near") | F.col("far"), F.col("rest")).otherwise(F.col("rest") + F.col("core")) - 1
@@ -327,19 +330,19 @@ def _verified(slim: DataFrame, classes: DataFrame, parts: DataFrame, least: floa
     members = parts.join(classes.select("node", "rep", "copies", "n", "sketch"), "node")
     weight = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks")
     whole = durable(members.groupBy("root").agg(weight))
-    members = durable(members.join(whole, "root").select("node", "root", "copies", "n", "blocks", "sketch", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")))
-    alone = members.where("blocks = 1").drop("sketch").withColumns({"near": F.lit(False), "far": F.lit(False)})
+    members = members.join(whole, "root").select("node", "root", "copies", "n", "blocks", "sketch", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
+    alone = members.where("blocks = 1").drop("sketch").withColumns({"near": F.lit(False), "far": F.lit(False), "rest": F.lit(1), "core": F.lit(0)})
     # Components beyond one block: the pairs of those near the leader are links as they are.
-    shares = _shares(slim, members.where("blocks > 1"))
+    large = durable(members.where("blocks > 1"))
+    shares = _shares(slim, large)
     near, far = (1 + least) / 2, least - (1 - least) / 2 - 1e-9
-    placed = durable(members.join(shares, ["node", "root"]).withColumns({"near": F.col("share") >= near, "far": F.col("share") < far}).drop("sketch", "share"))
+    placed = durable(large.join(shares, ["node", "root"]).withColumns({"near": F.col("share") >= near, "far": F.col("share") < far}).drop("sketch", "share"))
     core = placed.where("near")
     total = durable(core.groupBy("root").agg(F.sum("copies").alias("all")))
     counted = core.join(total, "root").select("node", (F.col("all") - F.col("copies")).alias("links"), F.col("leader").alias("root"), F.lit(False).alias("whole"))
-    parts_ = alone.unionByName(placed.drop("leader"))
-    sizes = whole.where("blocks = 1").withColumn("near", F.lit(False)).unionByName(placed.groupBy("root", "near").agg(weight))
-    # The texts are read once, and their sets are sent to the pairs of blocks.
-    texts = _texts(slim, parts_).select("node", "root", "copies", "blocks", "near", "far", "text")
+    placed = _sized(placed.drop("leader"), placed.groupBy("root", "near").agg(weight), "root")
+    # The rows know their blocks before the texts come, so that sets are shuffled once.
+    texts = _texts(slim, alone.unionByName(placed)).select(*(names := ["node", "root", "copies", "blocks", "near", "far", "rest", "core"]), "text")
 
     def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -348,9 +351,8 @@ def _verified(slim: DataFrame, classes: DataFrame, parts: DataFrame, least: floa
             got = [shingle_set(t, hashes).tobytes() for t in strings(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(got, pa.binary())], [*names, "set"])
 
-    names = ["node", "root", "copies", "blocks", "near", "far"]
-    sets = texts.mapInArrow(to_sets, "node long, root long, copies long, blocks int, near boolean, far boolean, set binary")
-    sets = _block_pairs(sets, sizes, "root")
+    sets = texts.mapInArrow(to_sets, "node long, root long, copies long, blocks int, near boolean, far boolean, rest int, core int, set binary")
+    sets = _block_pairs(sets, "root")
     sets = sets.withColumn("grp", F.xxhash64("root", "b1", "b2")).select("grp", "block", "b1", "b2", "blocks", "node", "copies", "set")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

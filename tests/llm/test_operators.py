@@ -299,7 +299,7 @@ def test_jaccard_around_a_leader(spark, monkeypatch, most):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)
     sent = []
     plain = jaccard_join._block_pairs
-    monkeypatch.setattr(jaccard_join, "_block_pairs", lambda m, b, key: (lambda x: (sent.append((key, x)), x)[1])(plain(m, b, key)))
+    monkeypatch.setattr(jaccard_join, "_block_pairs", lambda m, key: (lambda x: (sent.append((key, x)), x)[1])(plain(m, key)))
     rng = np.random.default_rng(most)
     rows = []
     for i in range(80):
