@@ -292,34 +292,6 @@ def test_jaccard_of_a_group_larger_than_a_bucket(spark, monkeypatch):
     assert [got[i] for i in range(60)] == links and sum(links) > 500
 
 
-@pytest.mark.parametrize("most", [1, 6, 14])
-def test_jaccard_around_a_leader(spark, monkeypatch, most):
-    """Components beyond one block, of sets near the leader, between and far from it, with copies and repeated rows."""
-    monkeypatch.setattr(jaccard_join, "BUCKET", 8)
-    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)
-    sent = []
-    plain = jaccard_join._block_pairs
-    monkeypatch.setattr(jaccard_join, "_block_pairs", lambda m, key: (lambda x: (sent.append((key, x)), x)[1])(plain(m, key)))
-    rng = np.random.default_rng(most)
-    rows = []
-    for i in range(80):
-        words = [f"w{k}" for k in range(150)]
-        for at in rng.integers(0, 150, rng.integers(0, most + 1)):
-            words[at] = f"x{i}"
-        rows += [(2 * i, " ".join(words))] * (1 + (i % 9 == 0)) + [(2 * i + 1, " ".join(words))] * (i % 5 == 0)
-    hashes = WordHash()
-    sets = [set(jaccard_join.shingle_set(t, hashes).tolist()) for _, t in rows]
-    alike = [[len(a & b) / len(a | b) >= 0.8 for b in sets] for a in sets]
-    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"], r["n_links"]) for r in got) == sorted((r[0], sum(x) - 1) for r, x in zip(rows, alike, strict=True))
-    reach = list(range(len(rows)))
-    for _ in rows:
-        reach = [min(reach[j] for j, yes in enumerate(x) if yes) for x in alike]
-    assert sorted((r["doc_id"], r["class_id"]) for r in got) == sorted((r[0], rows[k][0]) for r, k in zip(rows, reach, strict=True))
-    if most == 1:  # all are near the leader: no set is sent to a comparison
-        assert [x.count() for key, x in sent if key == "root"] == [0]
-
-
 def test_jaccard_of_short_texts_in_split_nodes(spark, monkeypatch):
     # Each hub of 4 shingles has 3 spokes of 5, and their nodes are split down to the last level.
     monkeypatch.setattr(jaccard_join, "BUCKET", 2)
