@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeaudit.llm import embeddings, jaccard_join, langid, licenses, mixing, quality, secrets, sentencepiece, substring, token_counts
+from lakeaudit.llm import centroids, decontamination, embeddings, hard_negatives, jaccard_join, langid, licenses, mixing, quality, secrets, sentencepiece, substring, token_counts
 from lakeaudit.llm.lattice import Vocabulary
 
 #: The vocabulary that the queries use.
@@ -81,6 +81,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    label = F.when(F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False)), (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, label)
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP4_SQL = rf"""
@@ -153,9 +168,58 @@ from w left join kept on kept.doc_id = w.doc_id
 """
 
 
+def _moved(i: int) -> str:
+    """The centroids after a round, from those before: floor division of sums, which SQL truncates."""
+    return f"""
+a{i} as (select v.vec_id, v.q, v.r, arg_min(c.n, (list_sum(list_transform(list_zip(v.q, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.n)) n from v cross join c{i} c group by all),
+s{i} as (select n, p, sum(x) s, count(*) k from (select n, unnest(q) x, generate_subscripts(q, 1) p from a{i}) group by n, p),
+m{i} as (select n, list(cast((s - ((s % k) + k) % k) // k as bigint) order by p) c from s{i} group by n),
+c{i + 1} as (select c.n, coalesce(m.c, c.c) c from c{i} c left join m{i} m on m.n = c.n)"""
+
+
+OP11_SQL = f"""
+with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) x, row_number() over () r from embeddings),
+v as (select vec_id, r, list_transform(x, lambda y: cast(floor(64 * y) as bigint)) q from e where len(x) = 64 and len(list_filter(x, lambda y: y is null or isnan(y) or isinf(y))) = 0),
+c0 as (select row_number() over (order by sha256('1:' || cast(vec_id as varchar)), q) - 1 n, q c from v qualify n < 16),
+{_moved(0)},{_moved(1)},{_moved(2)},
+d as (select v.vec_id, v.r, c.n, list_sum(list_transform(list_zip(v.q, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) d from v cross join c3 c),
+b as (select vec_id, r, arg_min(n, (d, n)) n, min(d) d from d group by vec_id, r)
+select vec_id, cast(b.n as int) "cluster", cast(d as bigint) distance, cast(sum(d) over (partition by b.n) as bigint) cluster_inertia, cast(sum(d) over () as bigint) inertia,
+  sha256(array_to_string(list_transform(c.c, lambda x: cast(x as varchar)), ',')) centroid_sha256
+from b join c3 c on c.n = b.n
+"""
+
+_LOWER_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP12_SQL = rf"""
+with i as (select item_id, {_LOWER_WORDS} w from benchmark),
+win as (select distinct item_id, least(len(w), 10) n, array_to_string(w[k:k+9], ' ') t from i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) x(k) where len(w) > 0),
+d as (select doc_id, row_number() over () r, {_LOWER_WORDS} w from documents),
+places as (select r, k, n, array_to_string(w[k:k+n-1], ' ') t from d, (select distinct n from win) l, unnest(range(1, len(w) - n + 2)) x(k) where len(w) >= n),
+hit as (select r, k, places.n, item_id from places join win on win.n = places.n and win.t = places.t),
+covered as (select r, count(distinct k + j) n_hit from hit, unnest(range(0, n)) x(j) group by r),
+listed as (select r, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct r, cast(item_id as varchar) item_id from hit) group by r)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join covered on covered.r = d.r left join listed on listed.r = d.r
+"""
+
+OP13_SQL = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda x: cast(x as double)) x, row_number() over () r from embeddings where label is not null and embedding is not null),
+v as (select vec_id, label, r, list_transform(x, lambda y: cast(floor(256 * y) as bigint)) q from e where len(list_filter(x, lambda y: y is null or isnan(y) or isinf(y))) = 0),
+s as (
+  select a.r ar, a.vec_id anchor_id, a.label = b.label same, b.vec_id, b.r, cast(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) as bigint) score
+  from v a join v b on a.vec_id % 100 = 0 and a.r <> b.r),
+p as (select ar, anchor_id, vec_id positive_id, r pr, score positive_score from s where same qualify row_number() over (partition by ar order by score desc, vec_id, r) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over w as int) "rank", s.vec_id negative_id, positive_score, s.score negative_score
+from p join s on s.ar = p.ar and not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+window w as (partition by p.ar, p.pr order by s.score desc, s.vec_id, s.r)
+qualify row_number() over w <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_quality_rules, op4_jaccard_join, op5_language_id, op6_secret_scan, op7_mix_sources, op8_license_scan, op9_near_vectors, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_quality_rules, op4_jaccard_join, op5_language_id, op6_secret_scan, op7_mix_sources, op8_license_scan, op9_near_vectors, op10_substring_dedup, op11_centroid_clusters, op12_decontaminate, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": OP4_SQL, "op7_mix_sources": OP7_SQL, "op9_near_vectors": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op4_jaccard_join": OP4_SQL, "op7_mix_sources": OP7_SQL, "op9_near_vectors": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op11_centroid_clusters": OP11_SQL, "op12_decontaminate": OP12_SQL, "op13_hard_negatives": OP13_SQL}
