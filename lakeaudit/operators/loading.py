@@ -10,15 +10,55 @@ from lakeaudit.functions.values import to_money, unsigned
 
 PIPELINES = ("transactions", "labels")
 RUN_LIMIT = 200
+ID_BLOCK = 4096
+LAST_ID = (1 << 63) - 1
+OPEN_RANGES = 256
 
 
 def loaded_batches(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("pipeline", "batch_id").agg(F.count_if(F.col("status") == "success").alias("n")).where("n > 0").drop("n")
 
 
-def pending_batches(discovered: DataFrame, ledger: DataFrame, limit: int = RUN_LIMIT) -> DataFrame:
-    """Discovered batches that are not loaded, the first of a run."""
-    return discovered.join(loaded_batches(ledger), ["pipeline", "batch_id"], "left_anti").orderBy("pipeline", "batch_id").limit(limit)
+def pending_batches(discovered: DataFrame, ledger: DataFrame, limit: int = RUN_LIMIT, failed_last: bool = False) -> DataFrame:
+    """Discovered batches that are not loaded, the first of a run (B1, A8, J8, L1). With ``failed_last`` those that have failed come
+    after those that have not, the least tried first, so that broken batches cannot fill every run."""
+    pending = discovered.join(loaded_batches(ledger), ["pipeline", "batch_id"], "left_anti")
+    if not failed_last:
+        return pending.orderBy("pipeline", "batch_id").limit(limit)
+    tried = ledger.where("status = 'failed'").groupBy("pipeline", "batch_id").agg(F.count("*").alias("tried"))
+    pending = pending.join(tried, ["pipeline", "batch_id"], "left").withColumn("tried", F.coalesce("tried", F.lit(0)))
+    return pending.orderBy("pipeline", "tried", "batch_id").limit(limit).select(*discovered.columns)
+
+
+def open_ranges(ledger: DataFrame, pipeline: str, most: int = OPEN_RANGES) -> list[tuple[int, int]]:
+    """The ids that a pipeline has not loaded, as ranges (first, last): the gaps, failed batches among them, and all ids after the last
+    loaded (B1). A listing need look at no others.
+
+    Ids are compared by blocks of ``ID_BLOCK``; what reaches the driver is a row for each block and the ids that it lacks. Of
+    more than ``most`` ranges the nearest are joined, which lists some loaded batches once more and misses none.
+    """
+    loaded = ledger.where((F.col("pipeline") == pipeline) & (F.col("status") == "success"))
+    blocks = loaded.groupBy(F.expr(f"batch_id div {ID_BLOCK}").alias("block")).agg(F.collect_set("batch_id").alias("ids"))
+    first = F.col("block") * ID_BLOCK
+    lacking = blocks.select("block", F.array_except(F.sequence(first, first + (ID_BLOCK - 1)), "ids").alias("ids"))
+    ranges, at = [], 0
+    for r in sorted(lacking.collect(), key=lambda r: r["block"]):
+        start = r["block"] * ID_BLOCK
+        runs = [(at, start - 1)] if at < start else []
+        runs += [(i, i) for i in sorted(r["ids"])]
+        for low, high in runs:
+            if ranges and ranges[-1][1] == low - 1:
+                ranges[-1] = (ranges[-1][0], high)
+            else:
+                ranges.append((low, high))
+        at = start + ID_BLOCK
+    if ranges and ranges[-1][1] == at - 1:
+        ranges[-1] = (ranges[-1][0], LAST_ID)
+    else:
+        ranges.append((at, LAST_ID))
+    apart = sorted(range(1, len(ranges)), key=lambda i: ranges[i - 1][1] - ranges[i][0])[: most - 1]  # the widest first
+    cuts = [0, *sorted(apart), len(ranges)]
+    return [(ranges[a][0], ranges[b - 1][1]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def manifest_summary(manifest: DataFrame, by: list[str], pipeline: Column, batch: Column) -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeaudit.sources.schemas import LEDGER, MANIFEST, RAW_MESSAGE  # noqa: F401
 
+MARKER = "_SUCCESS"
+#: Batches of one generation of a landing job; the generation stands before its number in the batch id.
+GENERATION_SPAN = 10**12
 ERROR_CHARS = 2000
 BUCKETS = 32
 
@@ -42,16 +47,40 @@ def scan(spark: SparkSession, path: str | list[str], schema: T.StructType) -> Da
     return rows.select("*", F.col("_metadata.file_path").alias("file_path"))
 
 
-def completed_batches(spark: SparkSession, zone: str, pipeline: str) -> DataFrame:
-    """(pipeline, batch_id) of the batches with a success marker (S11). Only their directory names come to the driver: a few bytes for
-    each batch of the zone, from one listing."""
+def name_globs(first: int, last: int) -> list[str]:
+    """Globs that together match the padded batch ids from first to last and no others."""
+
+    def between(low: str, high: str) -> list[str]:
+        if low == "0" * len(low) and high == "9" * len(high):
+            return ["?" * len(low)]
+        if low[0] == high[0]:
+            return [low[0] + rest for rest in between(low[1:], high[1:])] if len(low) > 1 else [low]
+        n = len(low) - 1
+        if not n:
+            return [f"[{low}-{high}]"]
+        out = [low[0] + rest for rest in between(low[1:], "9" * n)]
+        if int(low[0]) + 1 < int(high[0]):
+            out.append(f"[{int(low[0]) + 1}-{int(high[0]) - 1}]" + "?" * n)
+        return out + [high[0] + rest for rest in between("0" * n, high[1:])]
+
+    return between(f"{first:020d}", f"{last:020d}")
+
+
+def completed_batches(spark: SparkSession, zone: str, pipeline: str, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(pipeline, batch_id) of the batches with a success marker (S11), of all or of those with an id in one of the ranges.
+
+    The zone is listed once, where its files are; the names outside the ranges are passed over there. For the others alone, a few bytes
+    come to the driver and a marker is looked for.
+    """
     jvm = spark._jvm  # noqa: SLF001
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{zone}/batch_id=*/_SUCCESS")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []  # noqa: SLF001
-    names = [(s.getPath().getParent().getName(),) for s in found]
-    rows = spark.createDataFrame(names, "name string")
-    ids = rows.select(F.regexp_extract("name", r"^batch_id=([0-9]{20})$", 1).alias("id")).where("id <> ''")
-    return ids.select(F.lit(pipeline).alias("pipeline"), F.col("id").cast("long").alias("batch_id"))
+    globs = ["?" * 20] if ranges is None else [g for low, high in ranges for g in name_globs(low, high)]
+    names: list[str] = []
+    if globs:
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{zone}/batch_id={{{','.join(globs)}}}")
+        found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []  # noqa: SLF001
+        names = [m[1] for s in found if (m := re.fullmatch(r"batch_id=([0-9]{20})", s.getPath().getName()))]
+    ids = [(int(n),) for n in names if exists(spark, f"{zone}/batch_id={n}/{MARKER}")]
+    return spark.createDataFrame(ids, "batch_id long").select(F.lit(pipeline).alias("pipeline"), "batch_id")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -59,6 +88,49 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)  # noqa: SLF001
 
 
+def claim_generation(spark: SparkSession, root: str, checkpoint: str) -> int:
+    """The generation of a landing job (T3). A checkpoint belongs to one: what it has claimed is noted in it. A new checkpoint, or one
+    that was lost and begins anew, claims the next by creating its file under root, which only one can do; so its batches, which
+    are numbered from 0 again, fall on no batch of an earlier one. A checkpoint from before there were generations is of the first.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
+    note = f"{checkpoint}/generation"
+    if exists(spark, note):
+        return int(_read_text(spark, note))
+    claims, generation = f"{root}/_generations", 0
+    if not exists(spark, f"{checkpoint}/offsets"):
+        system = path(claims).getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+        if exists(spark, claims):
+            taken = [int(s.getPath().getName()) for s in system.listStatus(path(claims)) if s.getPath().getName().isdigit()]
+            generation = max(taken, default=-1) + 1
+        elif exists(spark, f"{root}/quality"):
+            generation = 1  # the zones were filled before there were generations
+        while not _create(spark, f"{claims}/{generation}", ""):
+            generation += 1
+    _create(spark, note, str(generation))
+    return generation
+
+
+def _create(spark: SparkSession, file: str, text: str) -> bool:
+    """Create a file, or tell that it is there already."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(file)  # noqa: SLF001
+    try:
+        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False)  # noqa: SLF001
+    except Py4JJavaError as e:
+        if exists(spark, file):
+            return False
+        raise e
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def _read_text(spark: SparkSession, file: str) -> str:
+    return spark.read.text(file, wholetext=True).first()["value"]
+
+
 def record_attempts(spark: SparkSession, ledger: str, pipeline: str, attempts: list[tuple[int, str, str, str]], run_id: str) -> None:
     """Rows (batch id, status, prefix, error) of the ledger, appended together; this is what commits batches."""
     if bad := {status for _, status, _, _ in attempts} - {"success", "failed"}:
@@ -68,16 +140,34 @@ def record_attempts(spark: SparkSession, ledger: str, pipeline: str, attempts: l
     rows.select(*LEDGER.fieldNames()).write.mode("append").parquet(ledger)
 
 
-def append_monthly(rows: DataFrame, path: str) -> None:
-    """Append to the transaction table: a directory for each month, sorted by key in each file."""
+def by_month(rows: DataFrame) -> DataFrame:
+    """Rows with their month, dealt out so that files follow the size of the load: the shuffle is rebalanced at run time, small months
+    share a task and large ones are split (S12); sorted by key in each file (L4)."""
     rows = rows.withColumn("event_month", F.date_format("event_time", "yyyyMM"))
-    rows.repartition("event_month", F.pmod(F.xxhash64("event_id"), F.lit(8))).sortWithinPartitions("event_month", "source", "event_id").write.mode("append").partitionBy("event_month").parquet(path)
+    return rows.hint("rebalance", "event_month").sortWithinPartitions("event_month", "source", "event_id")
+
+
+def append_monthly(rows: DataFrame, path: str) -> None:
+    """Append to the transaction table: a directory for each month."""
+    by_month(rows).write.mode("append").partitionBy("event_month").parquet(path)
+
+
+def overwrite_months(rows: DataFrame, path: str) -> None:
+    """Put rows in the place of all that their months hold; other months stay as they are."""
+    by_month(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_month").parquet(path)
+
+
+def read_months(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
+    """The rows of the months first to last (yyyyMM, inclusive); the directories of others are not read."""
+    rows = spark.read.parquet(path)
+    return rows.withColumn("event_month", F.col("event_month").cast("string")).where(F.col("event_month").between(first, last))
 
 
 def append_hashed(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Append to the label table: a directory for each hash of the event id, so that replays lie together."""
+    """Append to the label table: a directory for each hash of the event id, so that replays lie together (S9, S13, L4). Files follow
+    the size of the load, as in ``by_month``."""
     rows = rows.withColumn("event_hash", F.pmod(F.xxhash64("event_id"), F.lit(buckets)).cast("int"))
-    rows.repartition("event_hash").sortWithinPartitions("event_hash", "source", "event_id").write.mode("append").partitionBy("event_hash").parquet(path)
+    rows.hint("rebalance", "event_hash").sortWithinPartitions("event_hash", "source", "event_id").write.mode("append").partitionBy("event_hash").parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from lakeaudit.operators.landing import LandingConfig, SchemaCatalog, land
-from lakeaudit.sources.zones import write_batch
+from lakeaudit.sources.zones import GENERATION_SPAN, claim_generation, write_batch
 
 
 @dataclass(frozen=True)
@@ -30,13 +30,14 @@ class Zones:
         return f"{self.root}/quality"
 
 
-def landing_batch(catalog: SchemaCatalog, config: LandingConfig, zones: Zones) -> Callable[[DataFrame, int], None]:
+def landing_batch(catalog: SchemaCatalog, config: LandingConfig, zones: Zones, generation: int = 0) -> Callable[[DataFrame, int], None]:
     """What is done with a micro-batch. It is decoded once for three sinks; the manifest goes last, and its marker tells that
-    the batch is complete. An empty batch leaves nothing."""
+    the batch is complete. An empty batch leaves nothing. The generation of the job goes before the batch's number in its id."""
 
-    def process(batch: DataFrame, batch_id: int) -> None:
+    def process(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
+        batch_id = generation * GENERATION_SPAN + number
         landed = land(batch, catalog, config)
         landed.judged.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -50,7 +51,8 @@ def landing_batch(catalog: SchemaCatalog, config: LandingConfig, zones: Zones) -
 
 
 def start_landing(messages: DataFrame, catalog: SchemaCatalog, config: LandingConfig, zones: Zones, checkpoint: str, interval: str | None = "10 seconds") -> StreamingQuery:
-    """Start the job; without an interval it takes what is there and ends. Batch ids come from the checkpoint, so a batch that is
-    repeated overwrites itself."""
-    writer = messages.writeStream.foreachBatch(landing_batch(catalog, config, zones)).option("checkpointLocation", checkpoint)
+    """Start the job; without an interval it takes what is there and ends. Batch numbers come from the checkpoint, so a batch that is
+    repeated overwrites itself; the generation comes with the checkpoint too, so one that begins anew overwrites nothing (T3)."""
+    generation = claim_generation(messages.sparkSession, zones.root, checkpoint)
+    writer = messages.writeStream.foreachBatch(landing_batch(catalog, config, zones, generation)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
