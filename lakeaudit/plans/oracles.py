@@ -176,6 +176,13 @@ ORACLES: dict[str, str] = {
     "temporal_split": f"""{_REPLAY} select id, case when event_time_ms < 1769025600000 then 'train' when event_time_ms < 1769457600000 then 'validation' when event_time_ms < 1769900400000 then 'test' end split from replayed""",
     "feature_set_baseline": f"{_MARTS} select source, event_id, event_time, event_date, step, transaction_type, amount, origin_balance_before, destination_balance_before, is_fraud from training",
     "feature_set_challenger": f"{_MARTS} select source, event_id, event_time, event_date, step, transaction_type, amount, origin_balance_before, origin_balance_after, destination_balance_before, destination_balance_after, origin_balance_delta, destination_balance_delta, origin_amount_residual, destination_amount_residual, is_fraud from training",
+    "warehouse_buckets": f"{_MARTS} select {_FACT}, is_fraud, has_final_label, has_label_payload_conflict from labeled",
+    "warehouse_months": f"""select strftime(event_time, '%Y%m') event_month, count(*) row_count, cast(sum(amount) as decimal(28,2)) amount, count(*) filter (where amount < 0) negative from ({_TX})
+        where strftime(event_time, '%Y%m') between '199512' and '199602' and (strftime(event_time, '%Y%m') <> '199601' or amount >= 0) group by 1""",
+    "mart_build": f"""{_MARTS}, {_METRICS} select 'fct_transactions' model, 'rows' "name", count(*) "value" from tx union all select 'fct_transaction_labels', 'rows', count(*) from lb
+        union all select 'ml_training_candidates', 'rows', count(*) from candidates union all select 'ml_training_exclusion_summary', training_exclusion_reason, count(*) from candidates group by 2
+        union all select 'contract', 'duplicate_key_count', row_count - distinct_key_count from metrics"""
+    + "".join(f" union all select 'contract', '{m}', {m} from metrics" for m in ("row_count", "empty_key_count", "null_count", "invalid_source_count", "invalid_type_count", "invalid_target_count", "invalid_formula_count", "missing_lineage_count")),
     "warehouse_partition_layout": f"select strftime(event_time, '%Y%m') event_month, count(*) row_count, count(distinct row(source, event_id)) \"keys\" from ({_TX}) group by 1",
 }
 # The length of a framed record is known to Spark only; it is left out where the record is whole.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lakeaudit.functions import envelope
 from lakeaudit.operators import canonical, checks, contract, landing, loading, replay, training
 from lakeaudit.plans.loader import Warehouse
+from lakeaudit.plans.marts import Marts
 from lakeaudit.sources import fixtures as fx
 from lakeaudit.sources import zones
 from lakeaudit.streaming.landing import Zones, start_landing
@@ -19,6 +20,8 @@ CATALOG = landing.SchemaCatalog({1: "", 2: ""}, 2)
 BALANCES = [f"{side}_balance_{when}" for side in ("origin", "destination") for when in ("before", "after")]
 FACT = ["source", "event_id", "event_time", "event_date", "step", "transaction_type", "amount", "origin_account", "destination_account", *BALANCES, "canonical_kafka_partition", "canonical_kafka_offset", "canonical_minio_batch_id", "physical_row_count", "replay_row_count", "payload_version_count", "has_payload_conflict", "has_invalid_amount", "has_invalid_balance"]
 LABEL_FACT = ["source", "event_id", "is_fraud", "is_flagged_fraud", "canonical_kafka_partition", "canonical_kafka_offset", "canonical_minio_batch_id", "physical_row_count", "replay_row_count", "payload_version_count", "has_payload_conflict"]
+#: The months that ``warehouse_months`` reads, and the one that it writes anew.
+FIRST_MONTH, MENDED_MONTH, LAST_MONTH = "199512", "199601", "199602"
 RANKED = ["source", "event_id", "kafka_partition", "kafka_offset", "minio_batch_id", "canonical_rank", "physical_row_count", "payload_version_count"]
 
 
@@ -101,16 +104,32 @@ def _replayed_quarantine(lake: Lake) -> DataFrame:
     return lake.reasons(landing.land(again, CATALOG, landing.TRANSACTIONS)).groupBy("reason").agg(F.count("*").alias("row_count"))
 
 
-def _contract(lake: Lake) -> tuple[contract.Contract, DataFrame, DataFrame]:
-    # The facts are a mart of their own, used on both sides: they are made once.
-    facts = zones.materialized(lake.transactions())
-    return contract.Contract("tpch"), training.training_rows(training.candidates(training.labeled(facts, lake.labels()))), facts
+#: The source that the contract asks for.
+CONTRACT = contract.Contract("tpch")
 
 
-def _violations(lake: Lake) -> DataFrame:
-    c, rows, facts = _contract(lake)
-    c.check_schema(rows)
-    return c.violations(c.metrics(rows, facts))
+def _contract_metrics(lake: Lake) -> DataFrame:
+    marts = Marts(lake)
+    return CONTRACT.metrics(marts.training, marts.transactions)
+
+
+def _months(lake: Lake) -> DataFrame:
+    """All months are written; one is then put anew without the rows of negative amounts, and three are read."""
+    rows, path = lake.staged("transactions"), f"{zones.shared_folder(lake.spark)}/months-{uuid.uuid4().hex}"
+    zones.append_monthly(rows, path)
+    mended = rows.where((F.date_format("event_time", "yyyyMM") == MENDED_MONTH) & (F.col("amount") >= 0))
+    zones.overwrite_months(mended, path)
+    read = zones.read_months(lake.spark, path, FIRST_MONTH, LAST_MONTH)
+    return read.groupBy("event_month").agg(F.count("*").alias("row_count"), F.sum("amount").cast("decimal(28,2)").alias("amount"), F.count_if(F.col("amount") < 0).alias("negative"))
+
+
+def _bucketed(lake: Lake) -> DataFrame:
+    """Facts and labels in buckets by key, joined as they lie."""
+    name = f"lake_{uuid.uuid4().hex}"
+    root = f"{zones.shared_folder(lake.spark)}/{name}"
+    facts = zones.write_bucketed(lake.transactions(), f"{name}_facts", f"{root}/facts", canonical.KEY)
+    labels = zones.write_bucketed(lake.labels(), f"{name}_labels", f"{root}/labels", canonical.KEY)
+    return training.labeled(facts, labels)
 
 
 _PLAIN: dict[str, Callable[[Lake], DataFrame]] = {
@@ -149,8 +168,9 @@ _PLAIN: dict[str, Callable[[Lake], DataFrame]] = {
     "dq_orphan_labels": lambda k: checks.orphan_labels(k.labels(), k.transactions()),
     "dq_reconciles": lambda k: checks.unreconciled(k.staged("manifest")),
     "dq_candidate_partition": lambda k: checks.inconsistent_candidates(k.candidates().withColumn("training_exclusion_reason", F.when(F.col("step") == 1, "other").otherwise(F.col("training_exclusion_reason")))).select("source", "event_id"),
-    "contract_metrics": lambda k: (lambda c: c[0].metrics(c[1], c[2]))(_contract(k)),
-    "contract_violations": _violations,
+    "contract_metrics": _contract_metrics,
+    "contract_violations": lambda k: Marts(k).violations(CONTRACT),
+    "mart_build": lambda k: Marts(k).report(CONTRACT),
     "replay_event_time": lambda k: k.replayed().select("id", "row_number", "step", "ordinal", "rows_in_step", "event_time_ms"),
     "replay_events": lambda k: replay.events(_replay_columns(replay.part(k.replayed(), 100, 100_000))).select("event_id", "source", F.unix_millis("event_time").alias("event_time_ms"), "step", "type", "amount"),
     "replay_events_whole": lambda k: replay.events(_replay_columns(k.replayed())).select("event_id", "source", F.unix_millis("event_time").alias("event_time_ms"), "step", "type", "amount"),
@@ -159,6 +179,8 @@ _PLAIN: dict[str, Callable[[Lake], DataFrame]] = {
     "temporal_split": lambda k: training.temporal_split(k.replayed().select("id", F.timestamp_millis("event_time_ms").cast("timestamp_ntz").alias("event_time"))).select("id", "split"),
     "feature_set_baseline": lambda k: training.BASELINE.select(training.training_rows(k.candidates())),
     "feature_set_challenger": lambda k: training.CHALLENGER.select(training.training_rows(k.candidates())),
+    "warehouse_months": _months,
+    "warehouse_buckets": lambda k: _bucketed(k).select(*FACT, "is_fraud", "has_final_label", "has_label_payload_conflict"),
     "warehouse_partition_layout": lambda k: _layout(k.staged("transactions")),
 }
 
