@@ -20,6 +20,15 @@ def accepted_values(rows: DataFrame, column: str, values: list) -> DataFrame:
     return rows.where(~F.col(column).isin(*values)).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("failures"))
 
 
+def suite(rows: DataFrame, not_null: list[str], accepted: dict[str, list]) -> DataFrame:
+    """(test, column_name, failures) for all tests of a relation, found in one aggregate (Q1, Q2). A null is no failure of the accepted
+    values (N13)."""
+    tests = [("not_null", c, F.count_if(F.col(c).isNull())) for c in not_null] + [("accepted_values", c, F.count_if(~F.col(c).isin(*v))) for c, v in accepted.items()]
+    counts = rows.agg(*(count.alias(f"t{i}") for i, (_, _, count) in enumerate(tests)))
+    triples = ", ".join(f"'{test}', '{column}', t{i}" for i, (test, column, _) in enumerate(tests))
+    return counts.selectExpr(f"stack({len(tests)}, {triples}) as (test, column_name, failures)")
+
+
 def blank_keys(**relations: DataFrame) -> DataFrame:
     """Rows of any relation with a blank key (Q3, U4)."""
     out = None

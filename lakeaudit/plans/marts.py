@@ -42,9 +42,13 @@ class Marts:
     def labels(self) -> DataFrame:
         return self._table("fct_transaction_labels", canonical.label_facts(self.lake.staged("labels"), self.committed))
 
+    @property
+    def labeled(self) -> DataFrame:
+        return training.labeled(self.transactions, self.labels)
+
     @cached_property
     def candidates(self) -> DataFrame:
-        return self._table("ml_training_candidates", training.candidates(training.labeled(self.transactions, self.labels)))
+        return self._table("ml_training_candidates", training.candidates(self.labeled))
 
     @property
     def training(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lakeaudit.plans.suites import SUITES
 from lakeaudit.sources import fixtures as fx
 
 _TX, _LB, _LEDGER, _MANIFEST = (fx.duckdb(s) for s in (fx.TRANSACTIONS, fx.LABELS, fx.LEDGER, fx.MANIFEST))
@@ -116,6 +117,23 @@ _COUNTED = """select {head} case when header is not null or bad then null else c
   case when header is not null or bad or source is null or trim(source) = '' then 'unknown' else source end source, count(*) input_rows,
   count(*) filter (where reason = 'VALID') valid_rows, count(*) filter (where reason <> 'VALID') quarantine_rows from judged group by all"""
 
+_SUITE = f"""{_MARTS},
+stg_transactions as ({_TX}), stg_transaction_labels as ({_LB}), stg_ingestion_batches as ({_LEDGER}), stg_ingestion_batch_quality as ({_MANIFEST}),
+committed_batches as (select pipeline, batch_id, max(finished_at) committed_at, count(*) success_attempts from ledger where status = 'success' group by all),
+fct_transactions as (select * from tx), fct_transaction_labels as (select * from lb), fct_transactions_labeled as (select * from labeled), ml_training_candidates as (select * from candidates),
+ml_training_transactions as (select * from training), ml_training_exclusion_summary as (select training_exclusion_reason, count(*) row_count from candidates group by 1)
+"""
+
+
+def _suite(parts: list[tuple[str, str, str]]) -> str:
+    """Failures of (relation, column, condition)."""
+    return _SUITE + " union all ".join(f"select '{r}' relation_name, '{c}' column_name, count(*) filter (where {bad}) failures from {r}" for r, c, bad in parts)
+
+
+def _values(values: tuple) -> str:
+    return ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+
+
 ORACLES: dict[str, str] = {
     "envelope_inspect": f"""with {_RAW} select n "offset", case header when 'NULL_KAFKA_VALUE' then null when 'INVALID_CONFLUENT_MAGIC_BYTE' then 1 else 0 end::bigint magic_byte,
         case header when 'NULL_KAFKA_VALUE' then null when 'CONFLUENT_MESSAGE_TOO_SHORT' then 0 when 'INVALID_CONFLUENT_MAGIC_BYTE' then 1 when 'UNSUPPORTED_SCHEMA_ID' then 99 else schema_id end::bigint message_schema_id,
@@ -125,6 +143,15 @@ ORACLES: dict[str, str] = {
     "reason_counts": f"with {_RAW} select reason, count(*) row_count from judged group by 1",
     "label_validation": f'with {_RAW_LABELS} select n "offset", reason from judged',
     "quarantine_rows": f"with {_RAW} select reason quarantine_reason, cast(n % 3 as int) kafka_partition, n kafka_offset, base64(cast(n as varchar)::blob) kafka_key_base64, cast(ts as date) kafka_date from judged where reason <> 'VALID'",
+    "schema_versions": """with e as (select event_id n, event_type, value, cast(floor(epoch_us(ts) / 1000.0) as bigint) ms, event_id % 50 = 7 bad, event_id % 3 v from events)
+        select n "offset", v + 11 message_schema_id, case when bad then 'AVRO_DECODE_FAILED' when v = 0 then 'MISSING_INGESTED_AT' when n % 53 < 1 then 'INVALID_STEP' else 'VALID' end reason,
+          case when not bad then cast(n as varchar) end event_id, case when not bad then event_type end source, case when not bad then cast(n % 53 as int) end step,
+          case when bad then null when v = 0 then 'DEBIT' when v = 1 then 'PAYMENT' else 'TRANSFER' end "type",
+          case when bad then null when v = 0 then cast(cast(value as float) as double) when v = 1 then floor(value) else value end amount,
+          case when bad then null when v = 2 then 'C' else '-' end nameOrig, case when bad then null when v = 2 then value else 0.0 end oldbalanceOrg, case when bad then null when v = 2 then value else 0.0 end newbalanceDest,
+          case when not bad then ms end event_time_ms, case when bad or v = 0 then null else ms + 1000 * v end ingested_at_ms from e""",
+    "dq_suite_not_null": _suite([(r, c, f"{c} is null") for r, s in SUITES.items() for c in s.not_null]),
+    "dq_suite_accepted_values": _suite([(r, c, f"{c} not in ({_values(v)})") for r, s in SUITES.items() for c, v in s.accepted.items()]),
     "quarantine_replay": f"with {_RAW} select reason, count(*) row_count from judged where reason <> 'VALID' group by 1",
     "quality_manifest": f"with {_RAW} " + _COUNTED.format(head="'transactions' pipeline, 7::bigint batch_id,"),
     "landing_stream": f"with {_RAW} " + _COUNTED.format(head=""),

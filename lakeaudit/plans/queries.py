@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeaudit.functions import envelope
+from lakeaudit.functions import envelope, evolution
 from lakeaudit.operators import canonical, checks, contract, landing, loading, replay, training
+from lakeaudit.plans import suites
 from lakeaudit.plans.loader import Warehouse
 from lakeaudit.plans.marts import Marts
 from lakeaudit.sources import fixtures as fx
@@ -17,6 +19,8 @@ from lakeaudit.sources import zones
 from lakeaudit.streaming.landing import Zones, start_landing
 
 CATALOG = landing.SchemaCatalog({1: "", 2: ""}, 2)
+#: Three versions of the transaction schema; messages of each are read into the last.
+VERSIONS = landing.SchemaCatalog(fx.VERSIONS, max(fx.VERSIONS))
 BALANCES = [f"{side}_balance_{when}" for side in ("origin", "destination") for when in ("before", "after")]
 FACT = ["source", "event_id", "event_time", "event_date", "step", "transaction_type", "amount", "origin_account", "destination_account", *BALANCES, "canonical_kafka_partition", "canonical_kafka_offset", "canonical_minio_batch_id", "physical_row_count", "replay_row_count", "payload_version_count", "has_payload_conflict", "has_invalid_amount", "has_invalid_balance"]
 LABEL_FACT = ["source", "event_id", "is_fraud", "is_flagged_fraud", "canonical_kafka_partition", "canonical_kafka_offset", "canonical_minio_batch_id", "physical_row_count", "replay_row_count", "payload_version_count", "has_payload_conflict"]
@@ -99,6 +103,15 @@ def _message_check(lake: Lake) -> DataFrame:
     return valid.select("event_id", "step", F.unix_millis("event_time").alias("event_time_ms"), F.col("message_schema_id").alias("schema_id"))
 
 
+def _versions(lake: Lake) -> DataFrame:
+    """Messages of three writers, landed by the reader's schema."""
+    decoder = evolution.resolving_decoder(VERSIONS.writers[VERSIONS.reader_id], evolution.json_body)
+    landed = landing.land(fx.raw_versions(lake.spark, lake.dir), VERSIONS, replace(landing.TRANSACTIONS, decoder=decoder))
+    row = lambda c: F.col(f"record.{c}").alias(c)
+    named = [row(c) for c in ("event_id", "source", "step", "type", "amount", "nameOrig", "oldbalanceOrg", "newbalanceDest")]
+    return landed.judged.select("offset", "message_schema_id", F.coalesce("quarantine_reason", F.lit("VALID")).alias("reason"), *named, F.unix_millis("record.event_time").alias("event_time_ms"), F.unix_millis("record.ingested_at").alias("ingested_at_ms"))
+
+
 def _replayed_quarantine(lake: Lake) -> DataFrame:
     again = landing.replay_quarantine(lake.landed().quarantine())
     return lake.reasons(landing.land(again, CATALOG, landing.TRANSACTIONS)).groupBy("reason").agg(F.count("*").alias("row_count"))
@@ -138,6 +151,9 @@ _PLAIN: dict[str, Callable[[Lake], DataFrame]] = {
     "reason_counts": lambda k: k.reasons(k.landed()).groupBy("reason").agg(F.count("*").alias("row_count")),
     "label_validation": lambda k: k.reasons(k.landed_labels()),
     "quarantine_rows": lambda k: k.landed().quarantine().select("quarantine_reason", "kafka_partition", "kafka_offset", "kafka_key_base64", "kafka_date"),
+    "schema_versions": _versions,
+    "dq_suite_not_null": lambda k: suites.failures(Marts(k)).where("test = 'not_null'").drop("test"),
+    "dq_suite_accepted_values": lambda k: suites.failures(Marts(k), [n for n, s in suites.SUITES.items() if s.accepted]).where("test = 'accepted_values'").drop("test"),
     "quarantine_replay": _replayed_quarantine,
     "quality_manifest": lambda k: k.landed().manifest(7),
     "label_manifest": lambda k: k.landed_labels().manifest(7),

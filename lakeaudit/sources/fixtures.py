@@ -6,6 +6,8 @@ without time zone.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,3 +123,34 @@ def raw_labels(session: SparkSession, sf_dir: str) -> DataFrame:
 def _messages(e: DataFrame, value, topic: str) -> DataFrame:  # noqa: ANN001
     n = F.col("event_id")
     return e.select(n.cast("string").cast("binary").alias("key"), value.alias("value"), F.lit(topic).alias("topic"), (n % 3).cast("int").alias("partition"), n.alias("offset"), F.col("ts").cast("timestamp").alias("timestamp"))
+
+
+def _record(name: str, *fields: dict) -> str:
+    return json.dumps({"type": "record", "name": name, "fields": list(fields)})
+
+
+_MILLIS = {"type": "long", "logicalType": "timestamp-millis"}
+_MONEY_FIELDS = [{"name": n, "type": "double", "default": 0.0} for n in ("oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest")]
+#: Three versions of the transaction record, by schema id; the last is the reader's. The first has other names and narrower numbers, the second
+#: a field that is gone, and neither has balances.
+VERSIONS = {
+    11: _record("Transaction", {"name": "id", "type": "string"}, {"name": "source", "type": ["null", "string"], "default": None}, {"name": "event_time", "type": ["null", _MILLIS], "default": None}, {"name": "step", "type": "int"}, {"name": "kind", "type": "string"}, {"name": "amount", "type": "float"}),
+    12: _record("Transaction", {"name": "event_id", "type": "string"}, {"name": "source", "type": "string"}, {"name": "event_time", "type": _MILLIS}, {"name": "taken_at", "type": _MILLIS}, {"name": "step", "type": "int"}, {"name": "type", "type": "string"}, {"name": "channel", "type": "string"}, {"name": "amount", "type": "long"}),
+    13: _record(
+        "Transaction", {"name": "event_id", "type": "string", "aliases": ["id"]}, {"name": "source", "type": "string"}, {"name": "event_time", "type": ["null", _MILLIS], "default": None},
+        {"name": "ingested_at", "type": ["null", _MILLIS], "aliases": ["taken_at"], "default": None}, {"name": "step", "type": "int"}, {"name": "type", "type": "string", "aliases": ["kind"], "default": "UNKNOWN"},
+        {"name": "amount", "type": "double"}, {"name": "nameOrig", "type": "string", "default": "-"}, {"name": "nameDest", "type": "string", "default": "-"}, *_MONEY_FIELDS,
+    ),
+}
+
+
+def raw_versions(session: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of events, each by one of the three writers; one in 50 does not decode."""
+    e, n = session.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    key, source, step = n.cast("string"), F.col("event_type").alias("source"), (n % 53).cast("int").alias("step")
+    first = F.struct(key.alias("id"), source, millis.alias("event_time"), step, F.lit("DEBIT").alias("kind"), F.col("value").cast("float").alias("amount"))
+    second = F.struct(key.alias("event_id"), source, millis.alias("event_time"), (millis + 1000).alias("taken_at"), step, F.lit("PAYMENT").alias("type"), F.lit("web").alias("channel"), F.floor("value").cast("long").alias("amount"))
+    third = F.struct(key.alias("event_id"), source, millis.alias("event_time"), (millis + 2000).alias("ingested_at"), step, F.lit("TRANSFER").alias("type"), F.col("value").alias("amount"), F.lit("C").alias("nameOrig"), F.lit("M").alias("nameDest"), *(F.col("value").alias(f["name"]) for f in _MONEY_FIELDS))
+    body = F.when(n % 50 == 7, "{bad").when(n % 3 == 0, F.to_json(first)).when(n % 3 == 1, F.to_json(second)).otherwise(F.to_json(third))
+    return _messages(e, frame(body, (n % 3 + 11).cast("int")), "transactions")
