@@ -11,7 +11,7 @@ running sums go by stretches of ``STRETCH``.
 
 Positions are code points, ends exclusive. Null text: empty, no spans. Without values or identifiers to learn from there are
 no markov spans. Repeated rows give repeated rows. Of the input only the id columns and the text are read for a scan;
-``redact`` keeps all columns and needs no name of its own.
+``redact`` keeps all columns; the names it needs meanwhile are ones that the input lacks.
 """
 
 from __future__ import annotations
@@ -55,6 +55,13 @@ def _empty() -> Column:
     return F.expr(f"cast(array() as {SPANS})")
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs begins with, in either case of its letters."""
+    while any(c.lower().startswith(name.lower()) for c in docs.columns):
+        name = f"_{name}"
+    return name
+
+
 def _with(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), the value found once however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -150,12 +157,13 @@ def _ratio(token: Column, table: list[float]) -> Column:
 def find_secrets(docs: DataFrame, table: list[float] | None, text_column: str = "text", output: str = "secrets") -> DataFrame:
     """docs with a column ``output``: struct<base, added>, arrays of struct<start, ord, kind, end, value> in order of start
     and kind; ``added`` are the markov spans. A column of that name is replaced."""
-    text = f"__{output}_text"
+    own = _free(docs, f"__{output}")
+    text = f"{own}_text"
     patterns = {"assign": ASSIGN_OR_TOKEN if table else ASSIGN, "access": ACCESS, "hex": HEX}
-    found = {kind: f"__{output}_{kind}" for kind in patterns}
+    found = {kind: f"{own}_{kind}" for kind in patterns}
     df = docs.withColumn(text, F.coalesce(F.col(text_column), F.lit("")))
     df = df.withColumns({found[kind]: F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)) for kind, p in patterns.items()})
-    mixed, base, added = f"__{output}_mixed", f"__{output}_base", f"__{output}_added"
+    mixed, base, added = f"{own}_mixed", f"{own}_base", f"{own}_added"
     df = df.withColumn(mixed, _located(text, found["assign"], patterns["assign"], "assign", 0))
     value = lambda s: F.regexp_extract(s["value"], f"^{ASSIGN}", 1)
     assigned = F.filter(mixed, lambda s: F.length(value(s)) >= LEAST_VALUE)
@@ -179,9 +187,10 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, table: list[float] | None, text_column: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """docs, every secret in the text replaced by the mask; spans that overlap become one mask. Null text stays null."""
-    df = find_secrets(docs, table, text_column, "__secrets")
-    spans = F.array_sort(F.transform(F.concat(F.col("__secrets.base"), F.col("__secrets.added")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    text, each = F.col(text_column), F.col("__spans")
+    found, places = _free(docs, "__secrets"), _free(docs, "__places")
+    df = find_secrets(docs, table, text_column, found)
+    spans = F.array_sort(F.transform(F.concat(F.col(f"{found}.base"), F.col(f"{found}.added")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    text, each = F.col(text_column), F.col(places)
     # What is masked up to each span; a span that begins before that belongs to the mask before it.
     done = _running(F.transform(each, lambda s: s["end"]), F.greatest)
     cuts = F.filter(F.zip_with(each, done, lambda s, d: F.struct(d.alias("a"), s["start"].alias("b"))), lambda c: c["b"] >= c["a"])
@@ -194,5 +203,5 @@ def redact(docs: DataFrame, table: list[float] | None, text_column: str = "text"
 
     end = F.array_max(F.transform(each, lambda s: s["end"]))
     whole = F.concat(_with(cuts, lambda every: F.array_join(F.transform(_stretches(every), piece), "")), text.substr(end + 1, F.length(text) - end))
-    df = df.withColumn("__spans", spans).withColumn(text_column, F.when(F.size("__spans") > 0, whole).otherwise(text))
+    df = df.withColumn(places, spans).withColumn(text_column, F.when(F.size(places) > 0, whole).otherwise(text))
     return df.select(*docs.columns)
