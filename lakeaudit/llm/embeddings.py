@@ -1,17 +1,19 @@
 """Operator 9: near-duplicate vectors by a pivot-permutation index.
 
-Pivots are vectors of a bounded sample of the distinct ones (``SAMPLE_A_PIVOT`` for each pivot wanted), none so close to another
-that all between them are linked; their number grows with the square root of the distinct vectors, up to ``MOST_PIVOTS``.
+Pivots are vectors of a bounded sample of the distinct ones of a width (``SAMPLE_A_PIVOT`` for each pivot wanted), none so close
+to another that all between them are linked; their number grows with the square root of the distinct vectors. What the driver takes
+of all widths together is held to ``SAMPLE_COMPONENTS`` components, and the pivots, which are broadcast, to half as many; where that
+binds (at 64 components from 17 thousand million vectors, at 768 from 119 million), all widths have fewer in proportion and lists grow.
 Every vector is described by its nearest pivots in order (seen from the mean of the sample, so that vectors that all point one
 way are told apart), and posted in the inverted list of each. Within a list, the pivots that two vectors share are counted,
 each with the product of its weights in both orders, the nearest weighing most; pairs that reach the least count are
 candidates. These are verified by cosine in double precision: every one at ``least`` or more is a link, and no other is.
 
-How many pivots are used, how many describe a vector and the least count are fitted on the sample (``fit``): pairs are made at
-exactly the least cosine, turned towards other vectors of the sample and in random directions, and of the choices that retrieve
-``TARGET`` of either kind the one that compares the fewest pairs is taken. Where none does, as for vectors that are nearly all
-linked, one list holds all, and the search is exact. So it is for widths with few vectors, and for all but the ``WIDTHS``
-commonest widths. Vectors of different length are not compared; those of each length are.
+How many pivots are used, how many describe a vector and the least count are fitted on the sample (``fit``). Three kinds of pairs
+are tried: those of the sample that are links, as the table has them, and pairs made at exactly the least cosine, turned towards other
+vectors of the sample and in random directions. Of the choices that retrieve ``TARGET`` of each kind the one that compares the fewest
+pairs is taken. Where none does, as for vectors that are nearly all linked, or very few, one list holds all, and the search is exact.
+Vectors of different length are not compared; those of each length are, each by pivots of its own.
 
 Equal vectors are one class, posted once. Vectors within half the least angle of one pivot are all linked with each other: where
 a list has many of those, they are counted and joined without comparing them. A long list is dealt out in blocks, and each pair
@@ -41,14 +43,14 @@ from lakeaudit.llm.text import durable, whole_groups
 
 LEAST_COSINE = 0.9
 PIVOTS_PER_ROOT = 4
-MOST_PIVOTS = 1 << 16
 SAMPLE_A_PIVOT = 2
+#: Components of all sampled vectors together (0.5 GB in double precision).
+SAMPLE_COMPONENTS = 1 << 26
+#: Links of the sample that the fit is held to: so many at most, and at least.
+TRUE_PAIRS = (4000, 50)
 #: The share of the pairs at exactly the least cosine that the fitted index must retrieve.
 TARGET = 0.985
 POSTED = (1, 2, 3, 4, 6, 8, 12, 16, 24)
-#: Fewer distinct vectors of a width than this are one list; so are all widths but the commonest.
-FEW = 64
-WIDTHS = 16
 BLOCK = 1024
 #: Block counts are broadcast up to so many rows.
 BROADCAST_ROWS = 1_000_000
@@ -125,6 +127,22 @@ def score_grid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return grids[0] @ grids[1].T
 
 
+def true_pairs(sample: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the sample, of its first rows with all: evenly taken if there are many, none if there are few."""
+    most, fewest = TRUE_PAIRS
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for a in range(0, min(len(sample), 4000), 256):
+        i, j = np.nonzero(sample[a : a + 256] @ sample.T >= least)
+        keep = i + a < j
+        left.append(i[keep] + a)
+        right.append(j[keep])
+    i, j = np.concatenate(left), np.concatenate(right)
+    if len(i) < fewest:
+        return i[:0], j[:0]
+    at = np.unique(np.linspace(0, len(i) - 1, min(most, len(i))).astype(np.int64))
+    return i[at], j[at]
+
+
 def fit(sample: np.ndarray, pivots: np.ndarray, total: int, least: float, target: float = TARGET) -> Index:
     """The index over ``total`` vectors that compares the fewest pairs and still retrieves ``target`` of the pairs at the least cosine."""
     centre = sample.mean(0)
@@ -139,11 +157,15 @@ def fit(sample: np.ndarray, pivots: np.ndarray, total: int, least: float, target
         return least * q + math.sqrt(max(0.0, 1 - least * least)) * towards / np.maximum(size, 1e-12)
 
     alike = [turned(z), turned(rng.normal(size=q.shape))]
+    first, second = true_pairs(sample, least)
     best, cost = Index(pivots, centre, 1, 1, 0.0), 1 + 1.5 * total
     used = len(pivots)
     while used >= 16:
         most = min(used, max(POSTED))
-        a, b = every.describe(q, used, most), [every.describe(y, used, most) for y in alike]
+        a = every.describe(q, used, most)
+        kinds = [(a, every.describe(y, used, most)) for y in alike]
+        if len(first):
+            kinds.append((every.describe(sample[first], used, most), every.describe(sample[second], used, most)))
         for posted in POSTED:
             if posted > most:
                 break
@@ -151,8 +173,8 @@ def fit(sample: np.ndarray, pivots: np.ndarray, total: int, least: float, target
             price = used + 1.5 * share * total + 30 * posted
             if price >= cost:
                 continue
-            reach = [np.sort(scores(a[:, :posted], y[:, :posted])) for y in b]
-            least_score = min(float(r[int((1 - target) * n)]) for r in reach)
+            reach = [np.sort(scores(x[:, :posted], y[:, :posted])) for x, y in kinds]
+            least_score = min(float(r[int((1 - target) * len(r))]) for r in reach)
             if least_score > 0:
                 best, cost = Index(pivots, centre, used, posted, least_score), price
         used //= 2
@@ -165,23 +187,22 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 
 
 def indexes(classes: DataFrame, least: float) -> dict[int, Index]:
-    """The fitted index of each of the commonest widths of classes(h1, h2, v, width)."""
-    sizes = classes.groupBy("width").agg(F.count("*").alias("n")).where(F.col("n") >= FEW).orderBy(F.desc("n"), "width").limit(WIDTHS).collect()
+    """The fitted index of each width that has two vectors or more, of classes(h1, h2, v, width). A table has few widths."""
+    sizes = {r["width"]: r["n"] for r in classes.groupBy("width").agg(F.count("*").alias("n")).where("n > 1").collect()}
     if not sizes:
         return {}
-    wanted = {r["width"]: max(16, min(MOST_PIVOTS, round(PIVOTS_PER_ROOT * math.sqrt(r["n"])))) for r in sizes}
-    taken = F.lit(0)
-    for r in sizes:
-        share = min(1.0, SAMPLE_A_PIVOT * wanted[r["width"]] / r["n"])
-        taken = F.when(F.col("width") == r["width"], int(share * (1 << 30))).otherwise(taken)
-    table = classes.where(F.pmod(F.xxhash64("h1"), F.lit(1 << 30)) < taken).select("h1", "h2", "width", "v").toArrow()
-    table = table.sort_by([("h1", "ascending"), ("h2", "ascending")])
+    wanted = {w: max(16, round(PIVOTS_PER_ROOT * math.sqrt(n))) for w, n in sizes.items()}
+    part = min(1.0, SAMPLE_COMPONENTS / max(1, sum(SAMPLE_A_PIVOT * k * w for w, k in wanted.items())))
+    wanted = {w: max(2, int(k * part)) for w, k in wanted.items()}
+    shares = [(w, int(min(1.0, SAMPLE_A_PIVOT * wanted[w] / n) * (1 << 30))) for w, n in sizes.items()]
+    share = classes.sparkSession.createDataFrame(shares, "width int, share long")
+    sampled = classes.join(F.broadcast(share), "width").where(F.pmod(F.xxhash64("h1"), F.lit(1 << 30)) < F.col("share"))
+    table = sampled.select("h1", "h2", "width", "v").toArrow().sort_by([("h1", "ascending"), ("h2", "ascending")])
     out = {}
-    for r in sizes:
-        width = r["width"]
+    for width, n in sizes.items():
         sample = unit(_matrix(table.filter(pc.equal(table.column("width"), width)).column("v"), width))
         if len(sample) >= 2:
-            out[width] = fit(sample, choose_pivots(sample, wanted[width], least), r["n"], least)
+            out[width] = fit(sample, choose_pivots(sample, wanted[width], least), n, least)
     return out
 
 
@@ -213,7 +234,7 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
 
 def _links_of(classes: DataFrame, least: float) -> DataFrame:
     """(node, links, root) of classes(h1, h2, width, node, copies, v), several rows for a node."""
-    # At most MOST_PIVOTS vectors for each of WIDTHS widths.
+    # At most SAMPLE_COMPONENTS / SAMPLE_A_PIVOT components in all.
     shared = classes.sparkSession.sparkContext.broadcast(indexes(classes, least))
     bound = core_cosine(least)
 
