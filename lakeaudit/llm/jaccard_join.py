@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lakeaudit.llm.embeddings import _links, local_roots
 from lakeaudit.llm.graph import components
-from lakeaudit.llm.text import GOLD, WORD, WordHash, durable, mix, shingle_hashes, slices, strings, whole_groups
+from lakeaudit.llm.text import GOLD, WORD, WordHash, durable, mix, once, shingle_hashes, slices, strings, whole_groups
 
 SHINGLE = 5
 LEAST = 0.8
@@ -190,7 +190,8 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def _texts(slim: DataFrame, members: DataFrame) -> DataFrame:
-    """members(rep_id, rep_th, ...) with the text; identical rows of a document bring it more than once."""
+    """members(rep_id, rep_th, ...) with the text. Identical rows of a document bring it more than once; whoever reads them takes the first
+    in each task (``once``)."""
     return slim.join(members, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th")))
 
 
@@ -199,7 +200,7 @@ def _trees(slim: DataFrame, members: DataFrame, least: float) -> DataFrame:
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for batch in slices(batches):
+        for batch in slices(once(batches, "node")):
             hashes.trim()
             trees = [paths(shingle_set(text, hashes), least) for text in strings(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(trees, _TREE)], ["node", "tree"])
@@ -291,7 +292,7 @@ def _verified(slim: DataFrame, classes: DataFrame, parts: DataFrame, least: floa
 
     def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for batch in slices(batches):
+        for batch in slices(once(batches, "node")):
             hashes.trim()
             got = [shingle_set(t, hashes).tobytes() for t in strings(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "copies", "blocks")), pa.array(got, pa.binary())], ["node", "root", "copies", "blocks", "set"])
@@ -307,7 +308,7 @@ def _verified(slim: DataFrame, classes: DataFrame, parts: DataFrame, least: floa
             raw = table.column("set")
             cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).tolist()
             for a, b in zip(cuts, cuts[1:], strict=False):
-                # Identical rows of a document bring its set more than once.
+                # Identical rows of a document bring its set once from each task that has some.
                 at = a + np.sort(np.unique(node[a:b], return_index=True)[1])
                 members = [np.frombuffer(raw[int(i)].as_py(), np.uint64) for i in at]
                 same = b1[a] == b2[a]

@@ -68,6 +68,18 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", chars: int =
             yield batch.slice(a, b - a)
 
 
+def once(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches whose key (a long that is never null) has not come before in this task."""
+    seen: set[int] = set()
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        first = np.zeros(len(keys), bool)
+        first[np.unique(keys, return_index=True)[1]] = True
+        first &= ~np.fromiter(map(seen.__contains__, keys.tolist()), bool, len(keys))
+        seen.update(keys[first].tolist())
+        yield batch if first.all() else batch.filter(pa.array(first))
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of whole groups from batches that are sorted by ``key``: the last group waits for the next batch."""
     held: list[pa.RecordBatch] = []

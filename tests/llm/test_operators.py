@@ -10,13 +10,14 @@ import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lakeaudit.llm import embeddings, jaccard_join, langid, licenses, mixing, quality, queries, secrets, sentencepiece, substring, token_counts
 from lakeaudit.llm.graph import components
 from lakeaudit.llm.lattice import SCALE, Vocabulary, lattice_of, pretokens
-from lakeaudit.llm.text import WORD, WordHash
+from lakeaudit.llm.text import WORD, WordHash, once
 from tests.conftest import compare
 
 MODEL = Vocabulary.load(queries.MODEL)
@@ -292,6 +293,21 @@ def test_jaccard_of_a_group_larger_than_a_bucket(spark, monkeypatch):
     assert [got[i] for i in range(60)] == links and sum(links) > 500
 
 
+def test_identical_rows_bring_one_set_for_each_task(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words))] * 20_000 + [(2, " ".join([*words[:-1], "other"]))]
+    batches = [pa.RecordBatch.from_pydict({"node": [7, 7, 3, 7]}), pa.RecordBatch.from_pydict({"node": [3, 9, 9]}), pa.RecordBatch.from_pydict({"node": pa.array([], pa.int64())})]
+    assert [b.column("node").to_pylist() for b in once(batches, "node")] == [[7, 3], [9], []]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {(r["doc_id"], r["n_links"], r["n_copies"], r["kept"]) for r in jaccard_join.jaccard_join(df).collect()}
+    assert got == {(1, 20_000, 20_000, True), (2, 20_000, 1, False)}
+    classes = spark.createDataFrame([(5, (1, spark.range(1).select(F.xxhash64(F.lit(rows[0][1]))).first()[0]))], "node long, rep struct<id: long, th: long>")
+    slim = df.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("th"))
+    members = classes.select("node", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
+    sent = jaccard_join._texts(slim, members).select("node", "text").mapInArrow(lambda b: once(b, "node"), "node long, text string")
+    assert 1 <= sent.count() <= 6
+
+
 def test_jaccard_of_short_texts_in_split_nodes(spark, monkeypatch):
     # Each hub of 4 shingles has 3 spokes of 5, and their nodes are split down to the last level.
     monkeypatch.setattr(jaccard_join, "BUCKET", 2)
@@ -379,6 +395,14 @@ def test_redaction(spark):
     assert [r["text"] for r in secrets.redact(df, None).orderBy("doc_id").collect()] == ["a [SECRET] b [SECRET]", None, "nothing"]
 
 
+def test_redaction_keeps_columns_of_any_name(spark):
+    names = ["__secrets", "__SPANS", "__places", "secrets", "___secrets_text", "__secrets_base", "text_"]
+    df = spark.createDataFrame([(1, "a password=abcdefgh b"), (2, None)], "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    out = secrets.redact(df, [1.0] * secrets.CLASSES**2)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect()))[0] == (1, "a [SECRET] b", *names) and {tuple(r)[2:] for r in out.collect()} == {tuple(names)}
+
+
 def test_markov_ratio_and_held_out_secrets(spark):
     table = secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     rng, letters = random.Random(4), string.ascii_letters + string.digits
@@ -524,6 +548,57 @@ def test_vector_recall(spark, mean, n):
         assert true.sum() / 2 * 0.9 < tried < (0.7 if mean else 0.25) * len(v) * (len(v) - 1) / 2
 
 
+def clustered(seed, clusters, width, noise, n):
+    """Unit vectors around so many centres."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, width))
+    v = centres[rng.integers(0, clusters, n)] + noise * rng.normal(size=(n, width))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("clusters", "width", "noise", "n"), [(40, 64, 0.33, 6000), (10, 64, 0.33, 4000), (8, 128, 0.33, 4000), (4, 32, 0.33, 3000), (200, 24, 0.36, 4000)])
+def test_recall_on_clustered_vectors(spark, clusters, width, noise, n):
+    v = clustered(clusters, clusters, width, noise, n)
+    true = (v @ v.T >= 0.9).sum(1) - 1
+    got = linked(spark, v)
+    links = np.array([got[i][0] for i in range(n)])
+    assert (links <= true).all() and links.sum() >= 0.97 * true.sum() > 1000
+
+
+def test_many_widths(spark):
+    # More widths than before were indexed, some of two vectors and some of many; equal lengths alone are compared.
+    rng = np.random.default_rng(2)
+    rows, true = [], {}
+    for width in range(3, 40):
+        n = 200 if width % 5 == 0 else 2 + width % 3
+        v = clustered(width, max(1, n // 40), width, 0.2, n)
+        near = (v @ v.T >= 0.9).sum(1) - 1
+        for x, k in zip(v, near, strict=True):
+            true[len(rows)] = int(k)
+            rows.append((len(rows), x.tolist()))
+    rng.shuffle(rows)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i] <= k for i, k in true.items()) and sum(got.values()) >= 0.97 * sum(true.values()) > 1000
+
+
+def test_vectors_with_null_ids(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(None, v), (None, v), (5, v), (9, [1.0, 2.0, 3.01]), (None, [-1.0, 0.0, 0.0]), (None, None)]
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    assert got == sorted([(None, 3, 5, False)] * 2 + [(5, 3, 5, True), (9, 3, 5, False), (None, 0, None, True), (None, 0, None, True)], key=str)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SAMPLE_COMPONENTS", 2000)
+    v = clustered(1, 20, 16, 0.3, 1500)
+    df = spark.createDataFrame([(i, x.tolist(), 16) for i, x in enumerate(v)], "h1 long, v array<double>, width int").withColumn("h2", F.lit(0).cast("long"))
+    (index,) = embeddings.indexes(df, 0.9).values()
+    assert len(index.pivots) * 16 * embeddings.SAMPLE_A_PIVOT <= 2000
+    true = (v @ v.T >= 0.9).sum(1) - 1
+    got = linked(spark, v)
+    assert sum(got[i][0] for i in range(len(v))) >= 0.97 * true.sum()
+
+
 def test_no_vectors(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
