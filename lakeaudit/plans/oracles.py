@@ -155,6 +155,7 @@ ORACLES: dict[str, str] = {
     "quarantine_replay": f"with {_RAW} select reason, count(*) row_count from judged where reason <> 'VALID' group by 1",
     "quality_manifest": f"with {_RAW} " + _COUNTED.format(head="'transactions' pipeline, 7::bigint batch_id,"),
     "landing_stream": f"with {_RAW} " + _COUNTED.format(head=""),
+    "landing_offsets": f"with {_RAW} " + _COUNTED.format(head=""),
     "label_manifest": f"""with {_RAW_LABELS} select 'labels' pipeline, 7::bigint batch_id, null::date event_date, case when reason = 'AVRO_DECODE_FAILED' then 'unknown' else source end source, count(*) input_rows,
         count(*) filter (where reason = 'VALID') valid_rows, count(*) filter (where reason <> 'VALID') quarantine_rows from judged group by all""",
     "valid_rows": f"with {_RAW} select cast(n as varchar) event_id, source, cast(n % 53 as int) step, value amount, cast(event_time as date) event_date, schema_id::bigint message_schema_id, n kafka_offset from judged where reason = 'VALID'",

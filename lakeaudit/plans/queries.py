@@ -15,7 +15,7 @@ from lakeaudit.plans import suites
 from lakeaudit.plans.loader import Warehouse
 from lakeaudit.plans.marts import Marts
 from lakeaudit.sources import fixtures as fx
-from lakeaudit.sources import zones
+from lakeaudit.sources import offsets, zones
 from lakeaudit.streaming.landing import Zones, start_landing
 
 CATALOG = landing.SchemaCatalog({1: "", 2: ""}, 2)
@@ -81,6 +81,27 @@ def _landing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages.repartition(n).write.parquet(f"{root}/raw")
     # A micro-batch takes a quarter of the files: it grows with the input, as do the tasks that write and read them.
     start_landing(zones.raw_stream(spark, f"{root}/raw", max(1, n // 4)), CATALOG, landing.TRANSACTIONS, Zones(root), f"{root}/state", None).awaitTermination()
+    return _landed_counts(spark, root)
+
+
+def _landing_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landing job over a log of two appends, read by offsets; a micro-batch takes a quarter of them. The sum of its manifests."""
+    root = f"{zones.shared_folder(spark)}/landing-{uuid.uuid4().hex}"
+    messages = fx.raw_messages(spark, sf_dir)
+    last = messages.agg(F.max("offset")).first()[0] or 0
+    for number, part in enumerate((F.col("offset") <= last // 2, F.col("offset") > last // 2)):
+        offsets.append_log(messages.where(part), f"{root}/log", number, max(1, last // 20))
+    # The three partitions hold every third offset each, so that their ranges together span three times the last.
+    stream = offsets.log_stream(spark, f"{root}/log", max(1, 3 * last // 4))
+    query = start_landing(stream, CATALOG, landing.TRANSACTIONS, Zones(root), f"{root}/state", "0 seconds")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return _landed_counts(spark, root)
+
+
+def _landed_counts(spark: SparkSession, root: str) -> DataFrame:
     manifest = zones.scan(spark, Zones(root).quality, zones.MANIFEST)
     return manifest.groupBy("event_date", "source").agg(*(F.sum(c).alias(c) for c in ("input_rows", "valid_rows", "quarantine_rows")))
 
@@ -203,7 +224,7 @@ _PLAIN: dict[str, Callable[[Lake], DataFrame]] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: (lambda spark, sf_dir, f=f: f(Lake(spark, sf_dir))) for name, f in _PLAIN.items()}
-    return out | {"landing_stream": _landing_stream}
+    return out | {"landing_stream": _landing_stream, "landing_offsets": _landing_offsets}
 
 
 def oracle_sql() -> dict[str, str]:
