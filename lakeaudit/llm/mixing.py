@@ -1,7 +1,7 @@
 """Operator 7: mixing sources to target weights by systematic sampling.
 
 Every document of a source has the same number of expected copies, the source's target over its size. Documents are laid
-out by (source, size, hash of the id, id, hash of the text); the expected copies are prefix-summed within the source, one random offset is
+out by (source, size, hash of the id, id, hash of the text, number of the row); the expected copies are prefix-summed within the source, one random offset is
 added, and a document is emitted once for each whole number that its stretch of the sum crosses. As neighbours in this
 order are alike in size, the words taken come near the target. All sums are exact (multiples of 2**-32), so that neither
 partitioning nor a rerun changes them.
@@ -10,7 +10,8 @@ The prefix sums are distributed: rows are range-partitioned, so that a hot sourc
 partitions (one row for each partition and source) are accumulated, and the rest is a window within a partition.
 
 Null text: size 0. Null source: a source of its own, last in order. A source of size 0 has target 0 and no copies. Repeated
-rows are separate documents with copies of their own. A null id is ordered by the hash of its text. Empty table: empty result.
+rows are separate documents with copies of their own; the number of the row parts them, so that they need not share a task, and as
+they are alike it does not matter which of them a copy falls to. A null id is ordered by the hash of its text. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -103,14 +104,14 @@ def mixed_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 
 def _copies(slim: DataFrame, weights: tuple[int, ...], most: int, seed: str) -> DataFrame:
-    """slim(id, source, size, ...) with source_size, target and copies."""
+    """slim(id, source, size, ...), a written table, with source_size, target and copies."""
     totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = totals.withColumn("source_order", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
     turn = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("source_order") - 1, F.lit(len(weights))) + 1).cast("int"))
     # A few numbers for each source, read for each of its rows: they are written once.
     table = durable(targets(ranked.withColumn("weight", turn), most).select(F.col("source").alias("of_source"), "source_order", "source_size", "target"))
-    rows = slim.join(table, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
+    rows = slim.withColumn("row", F.monotonically_increasing_id()).join(table, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumns({"expected": F.round(ratio * float(UNIT)).cast("long"), "tie": F.md5(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("text:"), F.col("hash").cast("string"))).cast("binary"))})
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("long")
-    return systematic_copies(rows, "source_order", "expected", ["size", "tie", "id", "hash"], drawn).drop("source_order", "expected", "tie")
+    return systematic_copies(rows, "source_order", "expected", ["size", "tie", "id", "hash", "row"], drawn).drop("source_order", "expected", "tie", "row")

@@ -444,6 +444,20 @@ def test_no_python_in_the_secret_scan(docs):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_rows_that_are_all_alike_are_dealt_to_many_tasks(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(mixing, "durable", lambda rows, keep=mixing.durable: written.append(keep(rows)) or written[-1])
+    docs = spark.range(20_000).selectExpr("cast(null as long) doc_id", "'one two three' text", "'a' source").unionByName(spark.createDataFrame([(1, "four " * 9000, "b")], "doc_id long, text string, source string"))
+    rows = mixing.mix_sources(docs)
+    alike = rows.where("doc_id is null").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).first()
+    laid = next(t for t in written if "place" in t.columns)
+    parts = laid.where("id is null").groupBy("part").count().toPandas()["count"]
+    assert alike["n"] == 20_000 and abs(alike["taken"] - alike["target"]) <= 3 and "row" not in rows.columns
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and parts.max() < 12_000
+    again = mixing.mix_sources(docs.repartition(7))
+    assert rows.exceptAll(again).isEmpty() and again.exceptAll(rows).isEmpty()
+
+
 def test_mixing_targets_and_rerun(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     rows = mixing.mix_sources(docs).toPandas()
