@@ -88,6 +88,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)  # noqa: SLF001
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a directory and what is in it, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)  # noqa: SLF001
+
+
 def claim_generation(spark: SparkSession, root: str, checkpoint: str) -> int:
     """The generation of a landing job (T3). A checkpoint belongs to one: what it has claimed is noted in it. A new checkpoint, or one
     that was lost and begins anew, claims the next by creating its file under root, which only one can do; so its batches, which

@@ -92,6 +92,22 @@ def test_a_batch_repeated_leaves_the_same_files(spark, sf, tmp_path):
     assert counts[0] == counts[1] and counts[0][0] == 500
 
 
+def test_counts_come_from_the_writes(spark, sf, tmp_path, monkeypatch):
+    batch, root = fixtures.raw_messages(spark, sf).limit(500), Zones(str(tmp_path))
+    asked = []
+    monkeypatch.setattr(type(batch), "isEmpty", lambda self: asked.append(self))
+    process = landing_batch(CATALOG, landing.TRANSACTIONS, root)
+    process(batch, 1)
+    process(batch.limit(0), 2)
+    assert not asked and _manifest(spark, str(tmp_path))[0] == 500 and [p.name for p in (tmp_path / "valid").iterdir()] == [f"batch_id={1:020d}"]
+    # A manifest of other rows than those that the zones hold: no marker.
+    whole = landing.Landed.manifest
+    monkeypatch.setattr(landing.Landed, "manifest", lambda self, number: whole(self, number).where("event_date is not null"))
+    with pytest.raises(RuntimeError, match="batch 3 changed"):
+        process(batch, 3)
+    assert [p.name for p in (tmp_path / "quality").iterdir()] == [f"batch_id={1:020d}"]
+
+
 def test_each_writer_has_its_own_decoder(spark):
     # The body of writer 2 has its fields under other names; the decoder reads them by the writer's schema.
     def decode(payload, writer, reader):
