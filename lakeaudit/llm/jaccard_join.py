@@ -10,9 +10,11 @@ down to ``DEPTH`` shingles, beyond which a node is compared in pairs of blocks.
 with both sets, and the number of runs follows from the size of the sets (``deep_runs``), so that it meets on the last level
 with a probability of ``TARGET``: 33 runs at a size of 5, 22 at a large one. Pairs are thus found with 0.9999 on any level.
 
-What was found alike makes candidate components; all pairs within one are verified on whole sets, in pairs of blocks of
-bounded weight, so every link is true, and links within a component cannot be missed. Tasks return a number of links and one
-edge for each set, not pairs.
+What was found alike makes candidate components; all pairs within one are verified exactly, in pairs of blocks of bounded
+weight, so every link is true, and links within a component cannot be missed. A component of one block sends its sets once. In a
+larger one a set goes to each pair of its block, and what is sent is its symmetric difference from the set of one member, the
+reference: two differences differ just where the sets do, so the sizes and the differences give the similarity of the sets, and
+near copies send the few shingles in which they differ. Tasks return a number of links and one edge for each set, not pairs.
 
 Texts without a word (null too) link with nothing. Null ids: a row like any other; as the smallest id of a class it is null.
 Repeated rows are documents with equal sets. Ties (several rows of one id): the smaller text hash comes first. Of the input
@@ -47,7 +49,7 @@ SKETCH = 64
 #: Sketch entries that must agree: at a similarity of 0.8 fewer do with a probability under 1e-4.
 AGREE = 37
 BLOCK_SHINGLES = 1_000_000
-BLOCK_SETS = 1024
+BLOCK_SETS = 256
 COLUMNS = 4096
 
 _odd = np.random.default_rng(20240229).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -286,25 +288,30 @@ def _verified(slim: DataFrame, classes: DataFrame, parts: DataFrame, least: floa
     """(node, links, root, whole) for each node with links, from each pair of blocks of each candidate component; root is the
     least node it hangs together with in the pair, and whole tells that the component has one block."""
     members = parts.join(classes.select("node", "rep", "copies", "n"), "node")
-    weights = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
-    members = members.join(weights, "root").select("node", "root", "copies", "blocks", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
-    texts = _texts(slim, members).select("node", "root", "copies", "blocks", "text")
+    weights = durable(members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks")))
+    # One row for each component of several blocks. Both tables are written: Spark broadcasts them while their files are small.
+    leaders = durable(weights.where("blocks > 1").join(classes, F.col("root") == F.col("node")).select("node", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")))
+    references = _references(slim, leaders)
+    members = members.join(weights, "root").select("node", "root", "copies", "n", "blocks", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
+    # No reference has a negative key: sets of components of one block find none, and are dealt out by themselves.
+    key = F.when(F.col("blocks") > 1, F.col("root")).otherwise(-1 - F.col("node")).alias("key")
+    texts = _texts(slim, members).select("node", "root", "copies", "n", "blocks", "text", key).join(references, "key", "left")
 
     def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in slices(once(batches, "node")):
             hashes.trim()
-            got = [shingle_set(t, hashes).tobytes() for t in strings(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "copies", "blocks")), pa.array(got, pa.binary())], ["node", "root", "copies", "blocks", "set"])
+            got = [difference(shingle_set(t, hashes), r).tobytes() for t, r in zip(strings(batch.column("text")), batch.column("reference").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "copies", "n", "blocks")), pa.array(got, pa.binary())], ["node", "root", "copies", "n", "blocks", "set"])
 
-    sets = texts.mapInArrow(to_sets, "node long, root long, copies long, blocks int, set binary")
+    sets = texts.select("node", "root", "copies", "n", "blocks", "text", "reference").mapInArrow(to_sets, "node long, root long, copies long, n long, blocks int, set binary")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")})
-    sets = sets.withColumn("grp", F.xxhash64("root", "b1", "b2")).select("grp", "block", "b1", "b2", "blocks", "node", "copies", "set")
+    sets = sets.withColumn("grp", F.xxhash64("root", "b1", "b2")).select("grp", "block", "b1", "b2", "blocks", "node", "copies", "n", "set")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "grp"):
-            keys, node, copies, block, b1, b2, blocks = (table.column(c).to_numpy() for c in ("grp", "node", "copies", "block", "b1", "b2", "blocks"))
+            keys, node, copies, n, block, b1, b2, blocks = (table.column(c).to_numpy() for c in ("grp", "node", "copies", "n", "block", "b1", "b2", "blocks"))
             raw = table.column("set")
             cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).tolist()
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -314,7 +321,7 @@ def _verified(slim: DataFrame, classes: DataFrame, parts: DataFrame, least: floa
                 same = b1[a] == b2[a]
                 left = np.arange(len(at)) if same else np.flatnonzero(block[at] == b1[a])
                 right = left if same else np.flatnonzero(block[at] == b2[a])
-                i, j = similar_pairs(members, left, right, least)
+                i, j = similar_pairs(members, left, right, least, n[at])
                 if len(i):
                     rows = _links(i, j, 0, len(at), node[at], copies[at])
                     yield rows.append_column("whole", pa.array([bool(blocks[a] == 1)] * rows.num_rows))
@@ -322,8 +329,29 @@ def _verified(slim: DataFrame, classes: DataFrame, parts: DataFrame, least: floa
     return durable(sets.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(verify, "node long, links long, root long, whole boolean"))
 
 
-def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (of left with right; each once if both are one list) whose exact Jaccard similarity is ``least`` or more."""
+def _references(slim: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(key, reference) for each of leaders(node, rep_id, rep_th): the node and its set."""
+
+    def to_set(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in slices(once(batches, "node")):
+            hashes.trim()
+            got = [shingle_set(t, hashes).tobytes() for t in strings(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(got, pa.binary())], ["key", "reference"])
+
+    found = _texts(slim, leaders).select("node", "text").mapInArrow(to_set, "key long, reference binary")
+    return durable(found.groupBy("key").agg(F.first("reference").alias("reference")))
+
+
+def difference(s: np.ndarray, reference: bytes | None) -> np.ndarray:
+    """What is in one of the two sets only; without a reference the set itself."""
+    return s if reference is None else np.setxor1d(s, np.frombuffer(reference, np.uint64), assume_unique=True)
+
+
+def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (of left with right; each once if both are one list) whose exact Jaccard similarity is ``least`` or more.
+
+    Where ``sizes`` is given, ``sets`` holds the symmetric differences of sets of these sizes from one reference, whichever it is."""
     none = np.empty(0, np.int64)
     if not len(left) or not len(right) or len(sets) < 2:
         return none, none
@@ -353,8 +381,11 @@ def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, l
                 grids.append(grid)
                 break
         both += grids[0] @ grids[1].T
-    union = size[left][:, None] + size[right][None] - both
-    i, j = np.nonzero(both / np.maximum(union, 1).astype(np.float64) >= least)
+    total = size if sizes is None else sizes
+    # In so many shingles two sets differ, and all the rest of both is common.
+    apart = size[left][:, None] + size[right][None] - 2 * both.astype(np.int64)
+    common = (total[left][:, None] + total[right][None] - apart) // 2
+    i, j = np.nonzero(common / np.maximum(common + apart, 1) >= least)
     if left is right:
         i, j = i[i < j], j[i < j]
     return left[i], right[j]

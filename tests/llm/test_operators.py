@@ -293,6 +293,64 @@ def test_jaccard_of_a_group_larger_than_a_bucket(spark, monkeypatch):
     assert [got[i] for i in range(60)] == links and sum(links) > 500
 
 
+def test_pairs_from_differences():
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 62, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(120, 201)], rng.integers(0, 1 << 62, rng.integers(0, 20), dtype=np.uint64)])) for _ in range(60)]
+    sets += [rng.integers(0, 1 << 62, 5, dtype=np.uint64), np.unique(base)]
+    sizes = np.array([len(s) for s in sets])
+    brute = {(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8}
+    every, left, right = np.arange(len(sets)), np.arange(20), np.arange(20, len(sets))
+    assert len(brute) > 20
+    for reference in (None, b"", sets[0].tobytes(), sets[-2].tobytes(), sets[-1].tobytes()):
+        sent = [jaccard_join.difference(s, reference) for s in sets]
+        pairs = jaccard_join.similar_pairs(sent, every, every, 0.8, sizes)
+        assert {(max(p), min(p)) for p in zip(*(x.tolist() for x in pairs), strict=True)} == brute
+        pairs = jaccard_join.similar_pairs(sent, left, right, 0.8, sizes)
+        assert {(j, i) for i, j in zip(*(x.tolist() for x in pairs), strict=True)} == {(j, i) for j, i in brute if i < 20 <= j}
+    near = sets[-1].copy()
+    near[:3] = rng.integers(0, 1 << 62, 3, dtype=np.uint64)
+    assert len(jaccard_join.difference(np.sort(near), sets[-1].tobytes())) == 6
+
+
+def test_large_component_with_repeated_rows_and_null_ids(spark, monkeypatch):
+    # Blocks of 4 sets: most pairs lie in two blocks, whatever the reference, and a chain leads away from it.
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join([f"x{k}" for k in range(i)] + words[i:]) for i in range(0, 60, 3)]
+    rows = [(None if i < 2 else i, t) for i, t in enumerate(texts) for _ in range(1 + i % 3)] + [(900, "alone in the whole wide world"), (None, None)]
+    hashes = WordHash()
+    sets = [set(jaccard_join.shingle_set(t, hashes).tolist()) for _, t in rows]
+    links = [sum(bool(a) and len(a & b) / len(a | b) >= 0.8 for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = jaccard_join.jaccard_join(df.withColumns({"node": F.lit(1), "key": F.lit(2), "reference": F.lit("r"), "root": F.lit(0)})).collect()
+    hash_ = {t: h for t, h in spark.createDataFrame([(t,) for _, t in rows if t], "t string").select("t", F.xxhash64("t")).collect()}
+    got = {(r["doc_id"], r["text_hash"]): r["n_links"] for r in out if r["n_shingles"]}
+    assert len(out) == len(rows) and got == {(i, hash_[t]): n for (i, t), n in zip(rows, links, strict=True) if t}
+    assert len({r["class_id"] for r in out if r["n_shingles"] > 10}) == 1 and sum(r["kept"] for r in out) == 3
+
+
+def test_texts_of_megabytes(spark):
+    rng = random.Random(2)
+    pool = ["".join(rng.choices(string.ascii_lowercase, k=rng.randint(3, 9))) for _ in range(5000)]
+    long = " ".join(w + ("\n" if k % 15 == 14 else "") for k, w in enumerate(rng.choices(pool, k=180_000)))
+    notice = " Licensed under the Apache License, Version 2.0 "
+    rows = [(1, long + notice, "en", "a", None), (2, long + notice + "more words at the end", "en", "a", None), (3, "short and quite different from the rest of it", "en", "b", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    words = [len(WORD.findall(r[1])) for r in rows]
+    assert len(rows[0][1]) > 1_000_000
+    by = lambda out, *c: {r["doc_id"]: tuple(r[x] for x in c) for r in out.collect()}
+    one, two = by(token_counts.token_counts(df, MODEL), "n_tokens"), by(sentencepiece.encode(df, MODEL), "n_tokens", "decoded_equal")
+    assert {k: (*v, True) for k, v in one.items()} == two and one[1][0] > 180_000
+    three = by(quality.quality_rules(df, quality.train(df, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"))), "n_words", "base_failed")
+    assert [three[i][0] for i in (1, 2, 3)] == words and not three[1][1]
+    assert by(jaccard_join.jaccard_join(df), "n_links", "class_id") == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+    assert by(langid.identify(df, langid.train(df, F.lit(True))), "lang_pred") == {1: ("en",), 2: ("en",), 3: ("en",)}
+    eight = by(licenses.license_scan(df), "n_base", "base_labels", "first_word")
+    assert eight[1][0] == 1 and eight[1][:2] == eight[2][:2] == (1, "apache") and eight[1][2] == eight[2][2] == 180_003  # after: licensed under the
+    assert by(substring.remove_repeats(df), "n_words", "n_removed") == {1: (words[0], 0), 2: (words[1], words[0]), 3: (words[2], 0)}
+
+
 def test_identical_rows_bring_one_set_for_each_task(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(1, " ".join(words))] * 20_000 + [(2, " ".join([*words[:-1], "other"]))]
