@@ -38,6 +38,46 @@ summary as (
     cast(sum(input_rows) as bigint) input_rows, cast(sum(valid_rows) as bigint) valid_rows, cast(sum(quarantine_rows) as bigint) quarantine_rows
   from m group by dir)
 """
+#: The staged relations from the tables themselves, each column with the type that it is cast to.
+_STG_TX = """
+select cast('t-' || l_orderkey || '-' || l_linenumber as varchar) event_id, cast('tpch' as varchar) source, cast(l_shipdate as timestamp) event_time,
+  cast(l_shipdate as timestamp) + to_hours(1) ingested_at, cast(l_orderkey % 743 + 1 as integer) step,
+  list_extract(['CASH_IN', 'CASH_OUT', 'DEBIT', 'PAYMENT', 'TRANSFER'], l_partkey % 5 + 1) transaction_type, cast(price as decimal(18,2)) amount,
+  'C' || o_custkey origin_account, cast(c_acctbal as decimal(18,2)) origin_balance_before,
+  cast(if(l_orderkey % 743 % 4 = 3, cast(c_acctbal as decimal(18,2)), cast(c_acctbal as decimal(18,2)) - price) as decimal(18,2)) origin_balance_after,
+  'M' || s_suppkey destination_account, cast(s_acctbal as decimal(18,2)) destination_balance_before, cast(s_acctbal as decimal(18,2)) destination_balance_after,
+  cast(if(l_linenumber % 2 = 0, 1, 2) as bigint) schema_id, cast('transactions' as varchar) kafka_topic, cast(s_suppkey % 3 as integer) kafka_partition,
+  cast(1000000000 * again + 8 * l_orderkey + l_linenumber as bigint) kafka_offset, cast(l_partkey as bigint) minio_batch_id, 'part-' || l_partkey minio_object,
+  cast(l_shipdate as timestamp) + to_hours(2) loaded_at
+from (select *, cast(if(l_quantity = 50, -1, 1) * l_extendedprice as decimal(18,2)) price from lineitem)
+join range(2) copies(again) on again = 0 or l_orderkey % 7 = 0
+join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey
+"""
+_STG_LB = """
+with found as (
+  select 't-' || l_orderkey || '-' || l_linenumber event_id, l_discount >= 0.09 fraud, l_quantity > 45 flagged, l_suppkey % 3 part, 8 * l_orderkey + l_linenumber place, l_partkey batch, l_orderkey from lineitem)
+select event_id, cast('tpch' as varchar) source, cast(fraud as integer) is_fraud, cast(flagged as integer) is_flagged_fraud, cast(1 as bigint) schema_id, cast('labels' as varchar) kafka_topic,
+  cast(part as integer) kafka_partition, cast(place as bigint) kafka_offset, cast(batch as bigint) minio_batch_id, 'part-' || batch minio_object, cast('2026-02-01' as timestamp) loaded_at
+from (
+  select event_id, fraud, flagged, part, place, batch from found where l_orderkey % 10 > 0
+  union all select event_id, not fraud, false, part, place + 1000000000, batch from found where l_orderkey % 13 = 0
+  union all select 'orphan-' || o_orderkey, false, false, 0, o_orderkey, o_custkey % 100 from orders where o_orderkey % 500 = 0)
+"""
+_STG_LEDGER = """
+select pipeline, cast(p_partkey as bigint) batch_id, status, 'zone/' || p_partkey source_prefix, cast('run' as varchar) run_id,
+  cast('2026-02-01' as timestamp) + to_seconds(attempt) finished_at, if(status = 'failed', 'timeout', '') error_message
+from (
+  select p_partkey, unnest(['transactions', 'labels']) pipeline, if(p_size > 40, 'failed', 'success') status, p_size attempt from part
+  union all select p_partkey, 'transactions', 'success', 100 from part where p_partkey % 3 = 0)
+"""
+_STG_MANIFEST = """
+with counted as (
+  select event_id // 100 batch, cast(ts as date) event_date, event_type source, count(*) n, count(*) filter (where event_id % 9 = 0) bad from events group by all),
+turned as (select *, case batch % 7 when 3 then -1 when 5 then 0 else 1 end turn, if(batch % 7 = 4, 2, 1) times from counted)
+select if(batch % 7 = 1, 'labels', 'transactions') pipeline, cast(batch as bigint) batch_id, event_date, source, cast(turn * n + if(batch % 7 = 2, 1, 0) as bigint) input_rows,
+  cast(turn * (n - bad) as bigint) valid_rows, cast(turn * bad as bigint) quarantine_rows
+from turned join range(2) copies(again) on again < times
+"""
 _PAYLOAD = "event_time, step, transaction_type, amount, origin_account, origin_balance_before, origin_balance_after, destination_account, destination_balance_before, destination_balance_after"
 _PLACE = "kafka_topic, kafka_partition, kafka_offset, minio_batch_id, minio_object, loaded_at"
 
@@ -170,10 +210,10 @@ ORACLES: dict[str, str] = {
         {_money("newbalanceOrig")} origin_balance_after, nameDest destination_account, {_money("oldbalanceDest")} destination_balance_before, {_money("newbalanceDest")} destination_balance_after,
         message_schema_id schema_id, kafka_topic, kafka_partition, kafka_offset, batch minio_batch_id from ({fx.duckdb(fx.LANDED_TRANSACTIONS)})""",
     "typed_load_labels": f"select event_id, source, cast(isFraud % 256 as int) is_fraud, isFlaggedFraud is_flagged_fraud, message_schema_id schema_id, kafka_topic, kafka_partition, kafka_offset, batch minio_batch_id from ({fx.duckdb(fx.LANDED_LABELS)})",
-    "stg_transactions": _TX,
-    "stg_transaction_labels": _LB,
-    "stg_ingestion_batches": _LEDGER,
-    "stg_ingestion_batch_quality": f"select pipeline, batch_id, event_date, source, input_rows, valid_rows, quarantine_rows from ({_MANIFEST})",
+    "stg_transactions": _STG_TX,
+    "stg_transaction_labels": _STG_LB,
+    "stg_ingestion_batches": _STG_LEDGER,
+    "stg_ingestion_batch_quality": _STG_MANIFEST,
     "committed_batches": f"select pipeline, batch_id, max(finished_at) committed_at, count(*) success_attempts from ({_LEDGER}) where status = 'success' group by all",
     "transactions_ranked": f"{_MARTS} select {_RANKED} from t_r",
     "labels_ranked": f"{_MARTS} select {_RANKED} from l_r",

@@ -76,6 +76,20 @@ def test_catalog(spark):
         landing.LandingConfig("x", schemas.LABEL, rules.label_reason, time_column="t")
 
 
+def test_staging_casts_and_drops(spark):
+    """What comes in other types and another order leaves in the declared ones; columns of no declaration stay behind, nulls stay null."""
+    given = {name: loading.T.StructType.fromDDL(ddl) for name, ddl in loading.STAGED.items()}
+    for name, want in given.items():
+        texts = {f.name: {"timestamp_ntz": "2026-01-01 00:00:01", "date": "2026-01-02", "decimal(18,2)": "1.239", "string": "x"}.get(f.dataType.simpleString(), "7") for f in want}
+        rows = spark.createDataFrame([tuple(texts[n] for n in reversed(texts)), (None,) * len(texts)], ", ".join(f"{n} string" for n in reversed(texts))).withColumn("extra", F.lit(1))
+        got = loading.staged(rows, name)
+        assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want]
+        full, empty = got.collect()
+        assert all(v is None for v in empty) and None not in full
+        if name == "transactions":
+            assert (full["amount"], full["step"], full["loaded_at"]) == (Decimal("1.24"), 7, datetime(2026, 1, 1, 0, 0, 1))
+
+
 def test_hash_keeps_nulls_apart(spark):
     df = spark.createDataFrame([(None, "a"), ("a", None)], "x string, y string")
     assert canonical.with_hash(df, ["x", "y"]).select("payload_hash").distinct().count() == 2
