@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.functions.values import money_minus
+from lakeaudit.operators import canonical
 
 ELIGIBLE = "eligible"
 #: The first of these that holds is why a row is left out.
@@ -22,17 +23,34 @@ TRAINING_COLUMNS = [
 ]
 
 
-def labeled(transactions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each transaction with its final label; without one is_fraud is 0 and has_final_label false."""
-    side = labels.select("source", "event_id", F.col("is_fraud").alias("label"), F.col("has_payload_conflict").alias("label_conflict"), F.lit(True).alias("found"))
-    out = transactions.join(side, ["source", "event_id"], "left")
-    out = out.withColumns({
+#: What a label adds to a transaction.
+LABEL_COLUMNS = ["has_final_label", "is_fraud", "has_label_payload_conflict"]
+
+
+def label_side(labels: DataFrame) -> DataFrame:
+    """What a transaction takes of its label."""
+    return labels.select("source", "event_id", F.col("is_fraud").alias("label"), F.col("has_payload_conflict").alias("label_conflict"), F.lit(True).alias("found"))
+
+
+def with_label(rows: DataFrame) -> DataFrame:
+    """The final label of rows that have the columns of ``label_side``; without one is_fraud is 0 and has_final_label false."""
+    out = rows.withColumns({
         "has_final_label": F.coalesce(F.col("found") & (F.col("event_id") != ""), F.lit(False)), "is_fraud": F.coalesce("label", F.lit(0)),
         "has_label_payload_conflict": F.coalesce("label_conflict", F.lit(False)),
     })
     return out.drop("label", "label_conflict", "found")
 
 
+def labeled(transactions: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each transaction with its final label, of facts that are written already."""
+    return with_label(transactions.join(label_side(labels), ["source", "event_id"], "left"))
+
+
+def labeled_facts(rows: DataFrame, committed: DataFrame | None, labels: DataFrame) -> DataFrame:
+    """The same from staged rows: the labels come to where the canonical rows lie, which are shuffled once."""
+    return with_label(canonical.transaction_facts(rows, committed, label_side(labels)))
+
+
 def candidates(facts: DataFrame) -> DataFrame:
     """Features of the ledger and the reason to leave a row out."""
     delta = {"origin": money_minus(F.col("origin_balance_before"), F.col("origin_balance_after")), "destination": money_minus(F.col("destination_balance_after"), F.col("destination_balance_before"))}

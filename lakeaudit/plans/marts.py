@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import cached_property
 from typing import TYPE_CHECKING
 
@@ -23,32 +24,35 @@ class Marts:
     def __init__(self, lake: Lake, root: str | None = None) -> None:
         self.lake = lake
         self.root = root or f"{zones.shared_folder(lake.spark)}/marts-{uuid.uuid4().hex}"
-        #: The marts in the order in which they were written.
+        #: The marts in the order in which they were begun.
         self.built: list[str] = []
 
-    def _table(self, name: str, rows: DataFrame) -> DataFrame:
+    def _table(self, name: str, rows: Callable[[], DataFrame]) -> DataFrame:
         self.built.append(name)
-        return zones.materialized(rows, f"{self.root}/{name}")
+        return zones.materialized(rows(), f"{self.root}/{name}")
 
     @cached_property
     def committed(self) -> DataFrame:
-        return self._table("committed_batches", self.lake.committed())
+        return self._table("committed_batches", self.lake.committed)
 
     @cached_property
-    def transactions(self) -> DataFrame:
-        return self._table("fct_transactions", canonical.transaction_facts(self.lake.staged("transactions"), self.committed))
+    def labels(self) -> DataFrame:
+        return self._table("fct_transaction_labels", lambda: canonical.label_facts(self.lake.committed_rows("labels", self.committed), None))
 
     @cached_property
-    def labels(self) -> DataFrame:
-        return self._table("fct_transaction_labels", canonical.label_facts(self.lake.staged("labels"), self.committed))
+    def transactions(self) -> DataFrame:
+        """The facts with their labels beside them, so that no reader joins the two again."""
+        committed = self.committed
+        return self._table("fct_transactions", lambda: training.labeled_facts(self.lake.committed_rows("transactions", committed), None, self.labels))
 
     @property
     def labeled(self) -> DataFrame:
-        return training.labeled(self.transactions, self.labels)
+        return self.transactions
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return self._table("ml_training_candidates", training.candidates(self.labeled))
+        labeled = self.labeled
+        return self._table("ml_training_candidates", lambda: training.candidates(labeled))
 
     @property
     def training(self) -> DataFrame:

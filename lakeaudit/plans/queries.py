@@ -48,14 +48,22 @@ class Lake:
     def committed(self) -> DataFrame:
         return canonical.committed_batches(self.staged("batches"))
 
+    def committed_rows(self, name: str, committed: DataFrame | None = None) -> DataFrame:
+        """The staged transactions or labels of committed batches (J1, J2). The batches are written: Spark broadcasts them while their file is small."""
+        bits = canonical.batch_bits(self.committed() if committed is None else committed, name)
+        return canonical.rows_of_batches(self.staged(name), zones.materialized(bits))
+
     def transactions(self) -> DataFrame:
-        return canonical.transaction_facts(self.staged("transactions"), self.committed())
+        return canonical.transaction_facts(self.committed_rows("transactions"), None)
 
     def labels(self) -> DataFrame:
-        return canonical.label_facts(self.staged("labels"), self.committed())
+        return canonical.label_facts(self.committed_rows("labels"), None)
+
+    def labeled(self) -> DataFrame:
+        return training.labeled_facts(self.committed_rows("transactions"), None, self.labels())
 
     def candidates(self) -> DataFrame:
-        return training.candidates(training.labeled(self.transactions(), self.labels()))
+        return training.candidates(self.labeled())
 
     def landed(self) -> landing.Landed:
         return landing.land(fx.raw_messages(self.spark, self.dir), CATALOG, landing.TRANSACTIONS)
@@ -191,11 +199,11 @@ _PLAIN: dict[str, Callable[[Lake], DataFrame]] = {
     "stg_ingestion_batches": lambda k: k.staged("batches"),
     "stg_ingestion_batch_quality": lambda k: k.staged("manifest"),
     "committed_batches": lambda k: k.committed(),
-    "transactions_ranked": lambda k: canonical.ranked(canonical.committed_rows(k.staged("transactions"), k.committed(), "transactions"), canonical.TRANSACTION_PAYLOAD).select(*RANKED),
-    "labels_ranked": lambda k: canonical.ranked(canonical.committed_rows(k.staged("labels"), k.committed(), "labels"), canonical.LABEL_PAYLOAD).select(*RANKED),
+    "transactions_ranked": lambda k: canonical.ranked(k.committed_rows("transactions"), canonical.TRANSACTION_PAYLOAD).select(*RANKED),
+    "labels_ranked": lambda k: canonical.ranked(k.committed_rows("labels"), canonical.LABEL_PAYLOAD).select(*RANKED),
     "fct_transactions": lambda k: k.transactions().select(*FACT),
     "fct_transaction_labels": lambda k: k.labels().select(*LABEL_FACT),
-    "fct_transactions_labeled": lambda k: training.labeled(k.transactions(), k.labels()).select(*FACT, "is_fraud", "has_final_label", "has_label_payload_conflict"),
+    "fct_transactions_labeled": lambda k: k.labeled().select(*FACT, "is_fraud", "has_final_label", "has_label_payload_conflict"),
     "ml_training_candidates": lambda k: k.candidates(),
     "ml_training_transactions": lambda k: training.training_rows(k.candidates()),
     "ml_training_exclusion_summary": lambda k: training.exclusion_summary(k.candidates()),

@@ -203,5 +203,5 @@ def materialized(rows: DataFrame, path: str | None = None, view: str | None = No
         rows.createOrReplaceTempView(view)
         return rows.sparkSession.table(view)
     path = path or f"{shared_folder(rows.sparkSession)}/mart-{uuid.uuid4().hex}"
-    rows.write.mode("overwrite").parquet(path)
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -42,6 +42,44 @@ def test_a_key_of_a_million_replays(spark, tmp_path):
     assert out.where("source is null").count() == 500 and out.where("source is null and physical_row_count = 2 and payload_version_count = 2 and replay_row_count = 1 and has_payload_conflict").count() == 500
 
 
+def test_whole_rows_are_shuffled_once(spark, sf, tmp_path):
+    lake = Lake(spark, sf)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        labels = zones.materialized(lake.labels(), str(tmp_path / "labels"))
+        out = training.labeled_facts(lake.committed_rows("transactions"), None, labels)
+        # The rows themselves, their counts and their labels come to one place; nothing that is there is dealt out anew.
+        assert len(re.findall(r"Exchange hashpartitioning\(key_hash#\d+, key#\d+, \d+\)", plan(out))) == 3 and "Exchange hashpartitioning(key_hash#" in plan(out)
+        assert "cast(key#" not in plan(out) and "coalesce(source" not in plan(out)
+        old = training.labeled(lake.transactions(), lake.labels())
+        assert out.select(*old.columns).exceptAll(old).isEmpty() and out.count() == old.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_labels_of_keys_with_null_parts_are_not_joined(spark):
+    rows = spark.sql("select cast(null as string) source, 'a' event_id, 't' kafka_topic, 0 kafka_partition, 1L kafka_offset, 1L minio_batch_id, 'f' minio_object, timestamp_ntz'2026-01-01' loaded_at, 1 is_fraud, 0 is_flagged_fraud union all select 's', 'a', 't', 0, 2L, 1L, 'f', timestamp_ntz'2026-01-01', 0, 0")
+    labels = spark.sql("select cast(null as string) source, 'a' event_id, 7 label union all select 's', 'a', 8")
+    out = canonical.canonical(rows, canonical.LABEL_PAYLOAD, labels)
+    assert {(r["source"], r["label"]) for r in out.collect()} == {(None, None), ("s", 8)}
+
+
+def test_batches_by_bits(spark):
+    ids = [0, 1, 62, 63, 64, 65, 127, 128, -1, -63, -64, -65, 1 << 40, None]
+    committed = spark.createDataFrame([("labels", i) for i in ids[::2]] + [("labels", 0), ("other", 1)], "pipeline string, batch_id long")
+    rows = spark.createDataFrame([(i,) for i in ids], "minio_batch_id long")
+    got = canonical.rows_of_batches(rows, canonical.batch_bits(committed, "labels"))
+    want = canonical.committed_rows(rows, committed, "labels")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == sorted((i,) for i in ids[::2])
+
+
+def test_spark_form_of_the_transactions_equals_its_sql(spark, sf):
+    used = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("lineitem", "orders", "customer", "supplier")}
+    text = spark.sql(fixtures.TRANSACTIONS.replace("{ts}", "timestamp_ntz"), **used)
+    form = fixtures.spark(spark, sf, fixtures.TRANSACTIONS)
+    assert form.schema.simpleString() == text.schema.simpleString() and form.count() == text.count() and form.exceptAll(text).isEmpty()
+
+
 def test_marts_are_built_once(spark, sf, tmp_path):
     lake = Lake(spark, sf)
     marts = Marts(lake, str(tmp_path))
