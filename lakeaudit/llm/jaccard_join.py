@@ -5,10 +5,13 @@ each of several independent runs a set starts at the root and, at every node of
 shingles whose hash at that node is below 1 / (least * size), 1 / least of them on average; so similar sets choose common
 paths. Sets that meet in a node of at most ``BUCKET`` sets are compared by brute force there (on sketches of 64 minhashes).
 First all sets take the first step of ``RUNS`` runs: at the least similarity a pair meets in one with probability 1 - 1/e at
-least, in ten with 0.99995. Sets of larger nodes go through further runs among themselves, whose large nodes are split again,
-down to ``DEPTH`` shingles, beyond which a node is compared in pairs of blocks. A pair that met in large nodes only is in them
-with both sets, and the number of runs follows from the size of the sets (``deep_runs``), so that it meets on the last level
-with a probability of ``TARGET``: 33 runs at a size of 5, 22 at a large one. Pairs are thus found with 0.9999 on any level.
+least, in ten with 0.99995. A larger node is dealt to blocks, each compared within itself and with some ``LEADERS`` sets of the
+node, so that near copies hang together by then. A node that is all in one component is done. If no more than ``BUCKET`` sets
+lie aside of its main component, these are compared with all of the node, and the rows grow with the node, not its square. Sets
+of nodes that are still open go through further runs among themselves, whose open nodes are split again, down to ``DEPTH``
+shingles, beyond which a node is compared in pairs of blocks. A pair that met in open nodes only is in them with both sets, and
+the number of runs follows from the size of the sets (``deep_runs``), so that it meets on the last level with a probability of
+``TARGET``: 33 runs at a size of 5, 22 at a large one. Pairs are thus found with 0.9999 on any level.
 
 What was found alike makes candidate components; all pairs within one are verified exactly, in pairs of blocks of bounded
 weight, so every link is true, and links within a component cannot be missed. A component of one block sends its sets once. In a
@@ -45,6 +48,8 @@ MANY = 1000
 #: The least probability that a pair of the least similarity meets in the further runs.
 TARGET = 0.99995
 BUCKET = 1000
+#: So many sets of a large bucket, about, are compared with all others of it at first.
+LEADERS = 32
 SKETCH = 64
 #: Sketch entries that must agree: at a similarity of 0.8 fewer do with a probability under 1e-4.
 AGREE = 37
@@ -172,7 +177,7 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     sets = described.where("n > 0").groupBy("f1", "f2", "n").agg(first, F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("steps").alias("steps"))
     classes = durable(sets.withColumn("node", F.monotonically_increasing_id()))
 
-    parts = components(_candidates(slim, classes, least))
+    parts = _candidates(slim, classes, least)
     found = _verified(slim, classes, parts, least)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     # A component of one block was settled by the task that held it.
@@ -212,33 +217,66 @@ def _trees(slim: DataFrame, members: DataFrame, least: float) -> DataFrame:
 
 
 def _candidates(slim: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) between nodes whose sketches agree in some bucket."""
-
-    def counted(level: DataFrame) -> DataFrame:
-        """The rows in buckets of two or more, with the bucket's size. The sizes are written, so that both sides of the join are
-        shuffles as they are, and a bucket of very many rows is split among tasks at run time."""
-        sizes = durable(level.groupBy("p").agg(F.count("*").alias("size")).where("size > 1"))
-        return durable(level.join(sizes, "p"))
-
-    level = counted(classes.select("node", F.explode("steps").alias("p")))
-    first = level.where(F.col("size") <= BUCKET).select("node", "p")
-    # A pair that met in large nodes only has both its sets in them: these go through the further runs, by themselves.
-    again = level.where(F.col("size") > BUCKET).select("node").distinct()
-    trees = _trees(slim, classes.join(again, "node").select("node", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")), least)
-    level = counted(trees.select("node", F.posexplode("tree").alias("i", "x")).select("node", "i", F.col("x.p").alias("p")))
-    small = first.unionByName(level.where(F.col("size") <= BUCKET).select("node", "p"))
-    large = level.where(F.col("size") > BUCKET)
-    kids = large.join(trees, "node").select("node", "i", F.posexplode(F.col("tree")[F.col("i")]["kids"]).alias("k", "x"))
-    level = counted(kids.select("node", "i", "k", F.col("x.p").alias("p")))
-    small = small.unionByName(level.where(F.col("size") <= BUCKET).select("node", "p"))
-    large = level.where(F.col("size") > BUCKET)
-    kids = large.join(trees, "node").select("node", F.explode(F.col("tree")[F.col("i")]["kids"][F.col("k")]["kids"]).alias("p"))
-    level = counted(kids)
-    # No further split: what is still large is compared in pairs of blocks.
-    blocks = level.withColumn("blocks", F.ceil(F.col("size") / BUCKET).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "p"), F.col("blocks")).cast("int"))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select("node", F.xxhash64("p", F.least("block", "other"), F.greatest("block", "other")).alias("p"))
-    rows = small.unionByName(blocks).join(classes.select("node", "n", "sketch"), "node")
+    """(node, root) of the components of nodes whose sketches agree in some bucket."""
+    steps = classes.select("node", F.explode("steps").alias("p"))
+    # The sizes are written, so that both sides of the join are shuffles as they are, and a bucket of very many rows is split among
+    # tasks at run time.
+    sizes = durable(steps.groupBy("p").agg(F.count("*").alias("size")).where("size > 1"))
+    level = durable(steps.join(sizes, "p"))
+    known = components(durable(_compared(_sampled(level), classes)))
+    large = level.where(F.col("size") > BUCKET).select("node", "p")
+    if large.isEmpty():
+        return known
+    rooted = lambda rows: rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    level = _judged(rooted(large))
+    rows = _dealt(level)
+    # A pair that met in open buckets only has both its sets in them: these go through the further runs, by themselves.
+    again = durable(level.where("open").select("node").distinct())
+    if not again.isEmpty():
+        trees = durable(rooted(_trees(slim, classes.join(again, "node").select("node", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")), least)))
+        level = _judged(trees.select("node", "root", F.posexplode("tree").alias("i", "x")).select("node", "root", "i", F.col("x.p").alias("p")))
+        rows = rows.unionByName(_dealt(level))
+        kids = level.where("open").drop("root").join(trees, "node").select("node", "root", "i", F.posexplode(F.col("tree")[F.col("i")]["kids"]).alias("k", "x"))
+        level = _judged(kids.select("node", "root", "i", "k", F.col("x.p").alias("p")))
+        rows = rows.unionByName(_dealt(level))
+        kids = level.where("open").drop("root").join(trees, "node").select("node", "root", F.explode(F.col("tree")[F.col("i")]["kids"][F.col("k")]["kids"]).alias("p"))
+        level = _judged(kids)
+        # No further split: what is still open is compared in pairs of blocks.
+        pairs = level.where("open").withColumn("block", F.pmod(F.xxhash64("node", "p"), F.col("blocks")).cast("int"))
+        pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = pairs.select("node", F.xxhash64("p", F.least("block", "other"), F.greatest("block", "other")).alias("p"))
+        rows = rows.unionByName(_dealt(level)).unionByName(pairs)
+    return components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_compared(rows, classes)))
+
+
+def _sampled(level: DataFrame) -> DataFrame:
+    """(node, p) groups to compare of level(node, p, size): a bucket that is not large is one; a large one is dealt to blocks, and some ``LEADERS``
+    of its sets go to each, so that near copies hang together through those, whatever blocks they lie in."""
+    blocks = F.ceil(F.col("size") / BUCKET).cast("int")
+    leads = F.pmod(F.xxhash64(F.lit("lead"), "p", "node"), F.col("size")) < LEADERS
+    places = F.when(leads, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "p"), blocks).cast("int")))
+    return level.select("node", F.when(F.col("size") <= BUCKET, F.array("p")).otherwise(F.transform(places, lambda b: F.xxhash64("p", b))).alias("ps")).select("node", F.explode("ps").alias("p"))
+
+
+def _judged(level: DataFrame) -> DataFrame:
+    """The rows of level(node, root, p, ...) in buckets of several components, with the number of blocks of the bucket, whether the set lies
+    aside of the component that most of the bucket is in, and whether the bucket is open: too many sets lie aside. A bucket of one component has nothing to find."""
+    of = level.groupBy("p", "root").agg(F.count("*").alias("n")).groupBy("p").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main"))
+    aside = F.col("size") - F.col("main.n")
+    sizes = durable(of.where(aside > 0).select("p", F.ceil(F.col("size") / BUCKET).cast("int").alias("blocks"), (aside > BUCKET).alias("open"), F.col("main.root").alias("main")))
+    return durable(level.join(sizes, "p").withColumn("aside", F.col("root") != F.col("main")).drop("main"))
+
+
+def _dealt(level: DataFrame) -> DataFrame:
+    """(node, p) groups to compare of the buckets of ``_judged`` that are not open: a set of the main component goes to one block and one that lies
+    aside to each, so that all pairs meet but those of the main component, which hang together. At most two rows for each set on average."""
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    places = F.when(F.col("aside"), every).otherwise(F.array(F.pmod(F.xxhash64("node", "p"), F.col("blocks")).cast("int")))
+    return level.where("not open").select("node", "p", F.explode(places).alias("block")).select("node", F.xxhash64("p", "block").alias("p"))
+
+
+def _compared(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes of a group of groups(node, p) whose sketches agree."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "p"):
@@ -275,6 +313,7 @@ def _candidates(slim: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 at = np.flatnonzero(root != np.arange(len(keys)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root[at]])], ["a", "b"])
 
+    rows = groups.join(classes.select("node", "n", "sketch"), "node")
     # In the order of nodes, so that the edges are stars around the least one.
     return rows.repartition("p").sortWithinPartitions("p", "node").mapInArrow(compare, "a long, b long")
 

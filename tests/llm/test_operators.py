@@ -293,6 +293,49 @@ def test_jaccard_of_a_group_larger_than_a_bucket(spark, monkeypatch):
     assert [got[i] for i in range(60)] == links and sum(links) > 500
 
 
+def _family(rng, name, n, words=120):
+    """Near copies of one text."""
+    base = [f"{name}{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        text = list(base)
+        text[rng.integers(0, words)] = f"{name}x{i}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_candidate_rows_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET", 20)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 4)
+    compared, rows = jaccard_join._compared, []
+    monkeypatch.setattr(jaccard_join, "_compared", lambda groups, classes: (rows.append(groups.count()), compared(groups, classes))[1])
+    made = []
+    for n in (150, 900):
+        texts = _family(np.random.default_rng(3), "w", n)
+        got = jaccard_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert {r["class_id"] for r in got} == {0} and min(r["n_links"] for r in got) > n // 2
+        made.append(sum(rows))
+        rows.clear()
+    # Six times the copies; all pairs of blocks would make 36 times the rows.
+    assert made[1] <= 9 * made[0]
+
+
+def test_jaccard_of_families_that_share_large_buckets(spark, monkeypatch):
+    # One with few others beside it, two of one size that share half of their words, and unlike texts around a common passage.
+    monkeypatch.setattr(jaccard_join, "BUCKET", 12)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 2)
+    rng = np.random.default_rng(8)
+    alike = _family(rng, "a", 60)
+    half = " ".join(alike[0].split()[:60])
+    texts = alike + [f"{half} {t}" for t in _family(rng, "b", 8, 45)] + [f"{half} {t}" for t in _family(rng, "c", 50, 45)]
+    texts += [f"{half} " + " ".join(f"d{i}y{k}" for k in range(50)) for i in range(40)] + _family(rng, "e", 5)
+    hashes = WordHash()
+    sets = [set(jaccard_join.shingle_set(t, hashes).tolist()) for t in texts]
+    links = [sum(len(a & b) / len(a | b) >= 0.8 for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == links and sum(links) > 3000
+
+
 def test_pairs_from_differences():
     rng = np.random.default_rng(11)
     base = rng.integers(0, 1 << 62, 200, dtype=np.uint64)
