@@ -84,6 +84,12 @@ class Lattice:
         self.utf8 = None
         self.bytes_of = {int(i): p.replace(SPACE, " ").encode() for p, i in zip(v.pieces, v.ids, strict=True)}
         self.bytes_of |= {v.byte_id + b: bytes([b]) for b in range(256)}
+        self.byte_lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
+        self.byte_lengths[list(self.bytes_of)] = list(map(len, self.bytes_of.values()))
+        self.byte_ends = np.cumsum(self.byte_lengths)
+        self.byte_table = np.frombuffer(b"".join(self.bytes_of[i] for i in sorted(self.bytes_of)), np.uint8)
+        #: What a caller keeps of ``n_best``, by word and n.
+        self.searched: dict[tuple[str, int], list[tuple[int, list[int]]]] = {}
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
@@ -179,6 +185,13 @@ class Lattice:
         """The text whose encoding (with the leading dummy space) the ids are."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
+    def decode_all(self, ids: np.ndarray, offsets: list[int]) -> list[bytes]:
+        """The UTF-8 bytes (with the leading dummy space) of the ids between each two offsets."""
+        lengths = self.byte_lengths[ids]
+        raw = self.byte_table[spread(self.byte_ends[ids] - lengths, lengths)].tobytes()
+        cuts = np.concatenate([[0], np.cumsum(lengths)])[offsets].tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for lengths[0] places, then the same from starts[1], and so on."""

@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeaudit.llm.lattice import NEVER, SCALE, Lattice, Vocabulary, lattice_of, pretokens, spread
+from lakeaudit.llm.lattice import LONG, NEVER, SCALE, Lattice, Vocabulary, lattice_of, pretokens, spread
 from lakeaudit.llm.text import slices, strings
 
 
 #: Bytes of text at a time: all segmentations of a slice are held until it is sent.
 SLICE = 500_000
+#: The N best of so many words of up to ``LONG`` characters, about, are kept from slice to slice.
+SEARCHED = 20_000
 
 
 def merge_best(places: list[list[tuple[int, list[int]]]], n: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -71,8 +73,10 @@ def _encode_slice(lattice: Lattice, texts: list[str | None], n: int, all_ids: bo
     index = dict(zip(distinct, range(len(distinct)), strict=True))
     got = lattice.segment(distinct, want_ids=True)
     gaps = np.where(got.second > NEVER, got.best - got.second, 1 << 60)
+    if len(lattice.searched) > SEARCHED:
+        lattice.searched.clear()
     searched: dict[int, list[tuple[int, list[int]]]] = {}
-    counts, flats, offsets, scores, tokens, equal = [], [], [0], [], [], []
+    counts, flats, offsets, scores, tokens = [], [], [0], [], []
     ways, way_ends, text_ends = [], [0], [0]
     for text, ws in zip(texts, words, strict=True):
         at = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
@@ -84,7 +88,6 @@ def _encode_slice(lattice: Lattice, texts: list[str | None], n: int, all_ids: bo
         if text is None:
             scores.append([])
             tokens.append([])
-            equal.append(None)
             text_ends.append(text_ends[-1])
             continue
         gap = gaps[at]
@@ -97,14 +100,17 @@ def _encode_slice(lattice: Lattice, texts: list[str | None], n: int, all_ids: bo
         near = np.sort(near[gap[near] < 1 << 60])
         for j in near.tolist():
             if at[j] not in searched:
-                searched[at[j]] = lattice.n_best(ws[j], n)
+                ways_of = lattice.searched.get((ws[j], n))
+                if ways_of is None:
+                    ways_of = lattice.n_best(ws[j], n)
+                    if len(ws[j]) <= LONG:
+                        lattice.searched[ws[j], n] = ways_of
+                searched[at[j]] = ways_of
         options = [searched[at[j]] for j in near.tolist()]
         merged = merge_best(options, n)
         best, size = int(got.best[at].sum()), len(ids)
         scores.append([(best - loss) / SCALE for loss, _ in merged])
         tokens.append([size + sum(len(o[i][1]) - len(o[0][1]) for o, i in zip(options, pick, strict=True)) for _, pick in merged])
-        if verify:
-            equal.append(lattice.decode(ids.tolist()) == text)
         if all_ids:
             starts = np.concatenate([[0], np.cumsum(lengths)])
             for _, pick in merged:
@@ -117,7 +123,10 @@ def _encode_slice(lattice: Lattice, texts: list[str | None], n: int, all_ids: bo
             text_ends.append(text_ends[-1] + len(merged))
     nulls = pa.array([t is None for t in texts], pa.bool_())
     join = lambda parts: pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32), pa.int32())
-    out = {"n_tokens": counts, "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), join(flats), mask=nulls), "nbest_scores": scores, "nbest_tokens": tokens, "decoded_equal": equal}
+    out = {"n_tokens": counts, "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), join(flats), mask=nulls), "nbest_scores": scores, "nbest_tokens": tokens}
+    if verify:
+        raw = lattice.decode_all(np.concatenate(flats) if flats else np.empty(0, np.int32), offsets)
+        out["decoded_equal"] = [None if t is None else x == (b" " + t.encode("utf-8", "surrogatepass") if t else b"") for t, x in zip(texts, raw, strict=True)]
     if all_ids:
         each = pa.ListArray.from_arrays(pa.array(way_ends, pa.int32()), join(ways))
         out["nbest_ids"] = pa.ListArray.from_arrays(pa.array(text_ends, pa.int32()), each)

@@ -167,6 +167,33 @@ def test_op2_query(spark, sf, docs):
     assert len(rows) == docs.count() and all(r["decoded_equal"] for r in rows) and all(r["nbest_ids"][0] == r["ids"] and len(r["nbest_ids"]) == len(r["nbest_scores"]) for r in rows)
 
 
+def test_op2_ids_go_through_python_once(spark, sf):
+    plan = queries.op2_sentencepiece(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+
+
+def test_decoding_of_many_texts_and_kept_searches():
+    lattice = lattice_of(MODEL)
+    texts = ["a  b\n\tc,, d", "漢字かな é!é", None, "", "x" * 40, " \U0001f600\x01"]
+    lattice.searched.clear()
+    got = sentencepiece._encode_slice(lattice, texts, 4, True)
+    kept = dict(lattice.searched)
+    assert kept and all(len(w) <= 32 and ways == lattice.n_best(w, n) for (w, n), ways in kept.items())
+    assert got["decoded_equal"] == [True, True, None, True, True, True]
+    ids = got["ids"].to_pylist()
+    flat = np.array([x for i in ids for x in i or []], np.int32)
+    raw = lattice.decode_all(flat, np.cumsum([0, *(len(i or []) for i in ids)]).tolist())
+    assert [x.decode()[1:] for x in raw] == [lattice.decode(i or []) for i in ids] == [t or "" for t in texts]
+    again = sentencepiece._encode_slice(lattice, texts, 4, True)
+    assert lattice.searched == kept and all(again[k] == got[k] if isinstance(got[k], list) else again[k].equals(got[k]) for k in got)
+    # What is not decoded back is told.
+    lattice.byte_table = lattice.byte_table ^ 1
+    try:
+        assert sentencepiece._encode_slice(lattice, texts, 4, False)["decoded_equal"] == [False, False, None, True, False, False]
+    finally:
+        lattice.byte_table = lattice.byte_table ^ 1
+
+
 def test_n_best_of_a_text():
     lattice = lattice_of(MODEL)
     text = "ab cd"
