@@ -135,7 +135,7 @@ STAGED = {
 }
 
 
-def staged(rows: DataFrame, name: str) -> DataFrame:
-    """The columns of a staging view, cast."""
+def staged(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    """The columns of a staging view, cast, and ``more`` as they are."""
     fields = T.StructType.fromDDL(STAGED[name])
-    return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
+    return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields), *more)

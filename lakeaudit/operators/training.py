@@ -27,9 +27,9 @@ TRAINING_COLUMNS = [
 LABEL_COLUMNS = ["has_final_label", "is_fraud", "has_label_payload_conflict"]
 
 
-def label_side(labels: DataFrame) -> DataFrame:
+def label_side(labels: DataFrame, *more: str) -> DataFrame:
     """What a transaction takes of its label."""
-    return labels.select("source", "event_id", F.col("is_fraud").alias("label"), F.col("has_payload_conflict").alias("label_conflict"), F.lit(True).alias("found"))
+    return labels.select(*more, "source", "event_id", F.col("is_fraud").alias("label"), F.col("has_payload_conflict").alias("label_conflict"), F.lit(True).alias("found"))
 
 
 def with_label(rows: DataFrame) -> DataFrame:
@@ -46,9 +46,9 @@ def labeled(transactions: DataFrame, labels: DataFrame) -> DataFrame:
     return with_label(transactions.join(label_side(labels), ["source", "event_id"], "left"))
 
 
-def labeled_facts(rows: DataFrame, committed: DataFrame | None, labels: DataFrame) -> DataFrame:
-    """The same from staged rows: the labels come to where the canonical rows lie, which are shuffled once."""
-    return with_label(canonical.transaction_facts(rows, committed, label_side(labels)))
+def labeled_facts(rows: DataFrame, committed: DataFrame | None, labels: DataFrame, deal: str | None = None) -> DataFrame:
+    """The same from staged rows: the labels come to where the canonical rows lie, which are shuffled once, or not at all if they lie by ``deal``."""
+    return with_label(canonical.transaction_facts(rows, committed, label_side(labels, *([deal] if deal else [])), deal))
 
 
 def candidates(facts: DataFrame) -> DataFrame:

@@ -37,13 +37,13 @@ class Marts:
 
     @cached_property
     def labels(self) -> DataFrame:
-        return self._table("fct_transaction_labels", lambda: canonical.label_facts(self.lake.committed_rows("labels", self.committed), None))
+        return self._table("fct_transaction_labels", lambda: canonical.label_facts(self.lake.dealt_rows("labels", self.committed), None, self.lake.deal))
 
     @cached_property
     def transactions(self) -> DataFrame:
         """The facts with their labels beside them, so that no reader joins the two again."""
         committed = self.committed
-        return self._table("fct_transactions", lambda: training.labeled_facts(self.lake.committed_rows("transactions", committed), None, self.labels))
+        return self._table("fct_transactions", lambda: training.labeled_facts(self.lake.dealt_rows("transactions", committed), None, self.labels, self.lake.deal))
 
     @property
     def labeled(self) -> DataFrame:

@@ -35,6 +35,8 @@ class Lake:
     def __init__(self, spark: SparkSession, sf_dir: str, warehouse: Warehouse | None = None) -> None:
         """Staged rows come from the warehouse if one is given, else from the fixtures over the tables of sf_dir."""
         self.spark, self.dir, self.warehouse = spark, sf_dir, warehouse
+        #: What staged rows can be had dealt out by; a warehouse's are dealt out by their key.
+        self.deal = None if warehouse else fx.DEAL
 
     def fixture(self, sql: str) -> DataFrame:
         return fx.spark(self.spark, self.dir, sql)
@@ -50,17 +52,25 @@ class Lake:
 
     def committed_rows(self, name: str, committed: DataFrame | None = None) -> DataFrame:
         """The staged transactions or labels of committed batches (J1, J2). The batches are written: Spark broadcasts them while their file is small."""
+        return self._of_batches(self.staged(name), name, committed)
+
+    def dealt_rows(self, name: str, committed: DataFrame | None = None) -> DataFrame:
+        """The same, with the column ``deal`` and lying by it, if there is one."""
+        rows = loading.staged(fx.dealt(self.spark, self.dir, name), name, self.deal) if self.deal else self.staged(name)
+        return self._of_batches(rows, name, committed)
+
+    def _of_batches(self, rows: DataFrame, name: str, committed: DataFrame | None) -> DataFrame:
         bits = canonical.batch_bits(self.committed() if committed is None else committed, name)
-        return canonical.rows_of_batches(self.staged(name), zones.materialized(bits))
+        return canonical.rows_of_batches(rows, zones.materialized(bits))
 
     def transactions(self) -> DataFrame:
-        return canonical.transaction_facts(self.committed_rows("transactions"), None)
+        return canonical.transaction_facts(self.dealt_rows("transactions"), None, deal=self.deal)
 
     def labels(self) -> DataFrame:
-        return canonical.label_facts(self.committed_rows("labels"), None)
+        return canonical.label_facts(self.dealt_rows("labels"), None, self.deal)
 
     def labeled(self) -> DataFrame:
-        return training.labeled_facts(self.committed_rows("transactions"), None, self.labels())
+        return training.labeled_facts(self.dealt_rows("transactions"), None, self.labels(), self.deal)
 
     def candidates(self) -> DataFrame:
         return training.candidates(self.labeled())
