@@ -56,6 +56,10 @@ AGREE = 37
 BLOCK_SHINGLES = 1_000_000
 BLOCK_SETS = 256
 COLUMNS = 4096
+#: Bits of the bitmap of members: so many for each, at most so many, and as they lie in the rows of ``bitmap_construct_agg``.
+MARKS = 16
+MOST_MARKS = 1 << 28
+PIECE = 32_768
 
 _odd = np.random.default_rng(20240229).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -197,9 +201,22 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def _texts(slim: DataFrame, members: DataFrame) -> DataFrame:
-    """members(rep_id, rep_th, ...) with the text. Identical rows of a document bring it more than once; whoever reads them takes the first
-    in each task (``once``)."""
-    return slim.join(members, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th")))
+    """members(rep_id, rep_th, ...), which must be written, with the text. Identical rows of a document bring it more than once; whoever reads them takes the first
+    in each task (``once``). Few documents are members of anything: ``_marked`` leaves the texts of most others where they are, and the join is exact."""
+    return _marked(slim, members).join(members, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th")))
+
+
+def _marked(slim: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of slim that may be among members(rep_id, rep_th): those whose hash is marked in a bitmap with ``MARKS`` bits for each member, in pieces of
+    32,768. At most ``MOST_MARKS`` bits (32 MB), which serve 16 million members; with more of them more rows are let through, and none is missed."""
+    n = members.count()
+    pieces = max(1, min(MARKS * n, MOST_MARKS) // PIECE)
+    place = lambda *key: F.pmod(F.xxhash64(*key), F.lit(pieces * PIECE))
+    at = members.select(place("rep_id", "rep_th").alias("at"))
+    marks = durable(at.groupBy(F.expr(f"at div {PIECE}").alias("piece")).agg(F.expr(f"bitmap_construct_agg(at % {PIECE})").alias("marks")))
+    bit = F.expr(f"shiftright(cast(conv(hex(substring(marks, cast(at % {PIECE} div 8 as int) + 1, 1)), 16, 10) as int), cast(at % 8 as int)) & 1 = 1")
+    rows = slim.withColumn("at", place("id", "th"))
+    return rows.join(F.broadcast(marks), (F.expr(f"at div {PIECE}") == F.col("piece")) & bit, "left_semi").drop("at")
 
 
 def _trees(slim: DataFrame, members: DataFrame, least: float) -> DataFrame:
@@ -212,7 +229,7 @@ def _trees(slim: DataFrame, members: DataFrame, least: float) -> DataFrame:
             trees = [paths(shingle_set(text, hashes), least) for text in strings(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(trees, _TREE)], ["node", "tree"])
 
-    trees = _texts(slim, members).select("node", "text").mapInArrow(describe, f"node long, tree {_TREE_SQL}")
+    trees = _texts(slim, durable(members)).select("node", "text").mapInArrow(describe, f"node long, tree {_TREE_SQL}")
     return durable(trees.groupBy("node").agg(F.first("tree").alias("tree")))
 
 
@@ -331,7 +348,7 @@ def _verified(slim: DataFrame, classes: DataFrame, parts: DataFrame, least: floa
     # One row for each component of several blocks. Both tables are written: Spark broadcasts them while their files are small.
     leaders = durable(weights.where("blocks > 1").join(classes, F.col("root") == F.col("node")).select("node", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")))
     references = _references(slim, leaders)
-    members = members.join(weights, "root").select("node", "root", "copies", "n", "blocks", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
+    members = durable(members.join(weights, "root").select("node", "root", "copies", "n", "blocks", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")))
     # No reference has a negative key: sets of components of one block find none, and are dealt out by themselves.
     key = F.when(F.col("blocks") > 1, F.col("root")).otherwise(-1 - F.col("node")).alias("key")
     texts = _texts(slim, members).select("node", "root", "copies", "n", "blocks", "text", key).join(references, "key", "left")

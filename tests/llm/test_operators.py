@@ -812,3 +812,13 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(200, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len(got) == 121 and len({got[i] for i in range(61)}) == 1 and len({got[i] for i in range(100, 160)}) == 1 and got[0] != got[100]
+
+
+def test_texts_of_members_are_marked_before_they_are_joined(spark):
+    rows = spark.range(8000).selectExpr("if(id = 7, null, id) id", "if(id = 9, null, concat('text ', id % 6000)) text").withColumn("th", F.xxhash64("text"))
+    members = jaccard_join.durable(rows.where("id % 50 = 0 or id is null or id = 9").selectExpr("id rep_id", "th rep_th"))
+    want = rows.join(members, rows.id.eqNullSafe(members.rep_id) & (rows.th == members.rep_th)).count()
+    # None is missed, and few others are let through to the join, which is exact.
+    assert jaccard_join._texts(rows, members).count() == want == members.count() == 162
+    assert want <= jaccard_join._marked(rows, members).count() < 2 * want
+    assert jaccard_join._marked(rows, jaccard_join.durable(members.where("false"))).isEmpty()
