@@ -176,11 +176,11 @@ def _months(lake: Lake) -> DataFrame:
 
 
 def _bucketed(lake: Lake) -> DataFrame:
-    """Facts and labels in buckets by key, joined as they lie."""
+    """Facts and labels, with the columns that their queries give, in buckets by key, joined as they lie."""
     name = f"lake_{uuid.uuid4().hex}"
     root = f"{zones.shared_folder(lake.spark)}/{name}"
-    facts = zones.write_bucketed(lake.transactions(), f"{name}_facts", f"{root}/facts", canonical.KEY)
-    labels = zones.write_bucketed(lake.labels(), f"{name}_labels", f"{root}/labels", canonical.KEY)
+    facts = zones.write_bucketed(lake.transactions().select(*FACT), f"{name}_facts", f"{root}/facts", canonical.KEY)
+    labels = zones.write_bucketed(lake.labels().select(*LABEL_FACT), f"{name}_labels", f"{root}/labels", canonical.KEY)
     return training.labeled(facts, labels)
 
 

@@ -179,7 +179,7 @@ def append_hashed(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
 def write_bucketed(rows: DataFrame, name: str, path: str, by: list[str], buckets: int = BUCKETS) -> DataFrame:
     """A table of the catalog with rows in buckets by the hash of ``by``, one sorted file each: all replays of a key lie together, and a
     join, aggregation or window by the key needs no exchange (S13, L4). Tables that are to be joined have as many buckets."""
-    rows.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).option("path", path).mode("overwrite").saveAsTable(name)
+    rows.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).option("path", path).option("compression", "zstd").mode("overwrite").saveAsTable(name)
     return rows.sparkSession.table(name)
 
 

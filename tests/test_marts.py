@@ -163,3 +163,12 @@ def test_months_are_overwritten_and_pruned(spark, sf, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*event_month", plan(read)) and {r[0] for r in read.select("event_month").distinct().collect()} == {FIRST_MONTH, MENDED_MONTH, LAST_MONTH}
     files = read.where(F.col("event_month") == MENDED_MONTH).select(F.input_file_name()).distinct().collect()
     assert len(files) == 1  # a small month is one file
+
+
+def test_buckets_are_written_small(spark, tmp_path):
+    name = f"t{uuid.uuid4().hex}"
+    rows = zones.write_bucketed(spark.sql("select 's' source, cast(id as string) event_id from range(10)"), name, f"{tmp_path}/z", canonical.KEY, 2)
+    try:
+        assert rows.count() == 10 and all(f.endswith(".zstd.parquet") for f in rows.inputFiles())
+    finally:
+        spark.sql(f"drop table {name}")
