@@ -206,17 +206,16 @@ def _texts(slim: DataFrame, members: DataFrame) -> DataFrame:
     return _marked(slim, members).join(members, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th")))
 
 
-def _marked(slim: DataFrame, members: DataFrame) -> DataFrame:
-    """The rows of slim that may be among members(rep_id, rep_th): those whose hash is marked in a bitmap with ``MARKS`` bits for each member, in pieces of
-    32,768. At most ``MOST_MARKS`` bits (32 MB), which serve 16 million members; with more of them more rows are let through, and none is missed."""
+def _marked(rows: DataFrame, members: DataFrame, key: tuple[str, ...] = ("id", "th"), of: tuple[str, ...] = ("rep_id", "rep_th")) -> DataFrame:
+    """The rows whose key may be among those of members, by its columns ``of``: the hash of the key is marked in a bitmap with ``MARKS`` bits for each member, in
+    pieces of 32,768. At most ``MOST_MARKS`` bits (32 MB), which serve 16 million members; with more of them more rows are let through, and none is missed."""
     n = members.count()
     pieces = max(1, min(MARKS * n, MOST_MARKS) // PIECE)
     place = lambda *key: F.pmod(F.xxhash64(*key), F.lit(pieces * PIECE))
-    at = members.select(place("rep_id", "rep_th").alias("at"))
+    at = members.select(place(*of).alias("at"))
     marks = durable(at.groupBy(F.expr(f"at div {PIECE}").alias("piece")).agg(F.expr(f"bitmap_construct_agg(at % {PIECE})").alias("marks")))
     bit = F.expr(f"shiftright(cast(conv(hex(substring(marks, cast(at % {PIECE} div 8 as int) + 1, 1)), 16, 10) as int), cast(at % 8 as int)) & 1 = 1")
-    rows = slim.withColumn("at", place("id", "th"))
-    return rows.join(F.broadcast(marks), (F.expr(f"at div {PIECE}") == F.col("piece")) & bit, "left_semi").drop("at")
+    return rows.withColumn("at", place(*key)).join(F.broadcast(marks), (F.expr(f"at div {PIECE}") == F.col("piece")) & bit, "left_semi").drop("at")
 
 
 def _trees(slim: DataFrame, members: DataFrame, least: float) -> DataFrame:
@@ -239,25 +238,26 @@ def _candidates(slim: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     # The sizes are written, so that both sides of the join are shuffles as they are, and a bucket of very many rows is split among
     # tasks at run time.
     sizes = durable(steps.groupBy("p").agg(F.count("*").alias("size")).where("size > 1"))
-    level = durable(steps.join(sizes, "p"))
+    # Most steps lead a set to a bucket of its own: these are left where they are.
+    level = durable(_marked(steps, sizes, ("p",), ("p",)).join(sizes, "p"))
     known = components(durable(_compared(_sampled(level), classes)))
     large = level.where(F.col("size") > BUCKET).select("node", "p")
     if large.isEmpty():
         return known
     rooted = lambda rows: rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    level = _judged(rooted(large))
+    level, _ = _judged(rooted(large))
     rows = _dealt(level)
     # A pair that met in open buckets only has both its sets in them: these go through the further runs, by themselves.
     again = durable(level.where("open").select("node").distinct())
     if not again.isEmpty():
-        trees = durable(rooted(_trees(slim, classes.join(again, "node").select("node", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")), least)))
-        level = _judged(trees.select("node", "root", F.posexplode("tree").alias("i", "x")).select("node", "root", "i", F.col("x.p").alias("p")))
+        trees = _trees(slim, classes.join(again, "node").select("node", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")), least)
+        tree = durable(rooted(trees).select("node", "root", F.explode("tree").alias("x")))
+        level, opened = _judged(tree.select("node", "root", F.col("x.p").alias("p")))
         rows = rows.unionByName(_dealt(level))
-        kids = level.where("open").drop("root").join(trees, "node").select("node", "root", "i", F.posexplode(F.col("tree")[F.col("i")]["kids"]).alias("k", "x"))
-        level = _judged(kids.select("node", "root", "i", "k", F.col("x.p").alias("p")))
+        tree = durable(_kids(tree, opened))
+        level, opened = _judged(tree.select("node", "root", F.col("x.p").alias("p")))
         rows = rows.unionByName(_dealt(level))
-        kids = level.where("open").drop("root").join(trees, "node").select("node", "root", F.explode(F.col("tree")[F.col("i")]["kids"][F.col("k")]["kids"]).alias("p"))
-        level = _judged(kids)
+        level, _ = _judged(durable(_kids(tree, opened).withColumnRenamed("x", "p")))
         # No further split: what is still open is compared in pairs of blocks.
         pairs = level.where("open").withColumn("block", F.pmod(F.xxhash64("node", "p"), F.col("blocks")).cast("int"))
         pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -275,13 +275,20 @@ def _sampled(level: DataFrame) -> DataFrame:
     return level.select("node", F.when(F.col("size") <= BUCKET, F.array("p")).otherwise(F.transform(places, lambda b: F.xxhash64("p", b))).alias("ps")).select("node", F.explode("ps").alias("p"))
 
 
-def _judged(level: DataFrame) -> DataFrame:
-    """The rows of level(node, root, p, ...) in buckets of several components, with the number of blocks of the bucket, whether the set lies
-    aside of the component that most of the bucket is in, and whether the bucket is open: too many sets lie aside. A bucket of one component has nothing to find."""
+def _kids(tree: DataFrame, opened: DataFrame) -> DataFrame:
+    """(node, root, x), the next steps of tree(node, root, x) from the open buckets. Of opened(p) there is one for ``BUCKET`` rows of a level at most, so it is
+    broadcast, and the trees, which are large, stay where they are."""
+    return tree.join(F.broadcast(opened), F.col("x.p") == F.col("p"), "left_semi").select("node", "root", F.explode("x.kids").alias("x"))
+
+
+def _judged(level: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of level(node, root, p) in buckets of several components, with the number of blocks of the bucket, whether the set lies
+    aside of the component that most of the bucket is in, and whether the bucket is open: too many sets lie aside. A bucket of one component has nothing to find.
+    Also (p) of the open buckets."""
     of = level.groupBy("p", "root").agg(F.count("*").alias("n")).groupBy("p").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main"))
     aside = F.col("size") - F.col("main.n")
     sizes = durable(of.where(aside > 0).select("p", F.ceil(F.col("size") / BUCKET).cast("int").alias("blocks"), (aside > BUCKET).alias("open"), F.col("main.root").alias("main")))
-    return durable(level.join(sizes, "p").withColumn("aside", F.col("root") != F.col("main")).drop("main"))
+    return durable(level.join(sizes, "p").withColumn("aside", F.col("root") != F.col("main")).drop("main")), sizes.where("open").select("p")
 
 
 def _dealt(level: DataFrame) -> DataFrame:

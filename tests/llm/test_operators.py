@@ -445,6 +445,35 @@ def test_jaccard_of_short_texts_in_split_nodes(spark, monkeypatch):
     assert [i for i in got if got[i] != (1 if i % 4 else 3)] == []
 
 
+def test_trees_and_steps_of_lone_sets_are_not_shuffled(spark, monkeypatch):
+    # Pairs of near copies around a common passage, in open buckets, and lone texts: to the levels of the further runs trees come as they lie, and most
+    # steps of lone texts are not joined with the sizes.
+    monkeypatch.setattr(jaccard_join, "BUCKET", 4)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 2)
+    judged, marked, plans, through = jaccard_join._judged, jaccard_join._marked, [], []
+
+    def seen(rows, members, *keys):
+        out = marked(rows, members, *keys)
+        if "p" in rows.columns:
+            at = out.alias("o").join(rows.groupBy("p").count().where("count = 1"), "p")
+            through.append((rows.groupBy("p").count().where("count = 1").count(), at.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_judged", lambda level: (plans.append(level._jdf.queryExecution().executedPlan().toString()), judged(level))[1])
+    monkeypatch.setattr(jaccard_join, "_marked", seen)
+    pair = lambda i: " ".join([f"c{k}" for k in range(60)] + [f"p{i // 2}w{k}" for k in range(50)] + [f"x{i}"])
+    rows = [(i, pair(i)) for i in range(40)] + [(1000 + i, " ".join(f"l{i}w{k}" for k in range(9))) for i in range(500)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [i for i in got if got[i] != (i < 1000)] == []
+    assert len(plans) == 4 and not any("hashpartitioning" in p for p in plans[1:])
+    assert len(through) == 1 and through[0][1] < through[0][0] / 4
+
+
 def test_jaccard_runs_reach_the_target():
     assert math.isclose(jaccard_join.meeting(4, 5, 0.8), 0.263, abs_tol=1e-3) and jaccard_join.deep_runs(4, 0.8) == jaccard_join.deep_runs(5, 0.8) == 33
     for n in range(1, 300):
